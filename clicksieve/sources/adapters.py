@@ -80,7 +80,9 @@ def bid_logs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def stream(name: str) -> DataFrame:
         schema = table(spark, sf_dir, name).schema
-        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+        # A stream wants a folder or a pattern; the bracket makes the path a
+        # pattern that matches just this table, stored as one file or many.
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
     return lineitem_as_logs(stream("lineitem")).unionByName(events_as_logs(stream("events")))
 

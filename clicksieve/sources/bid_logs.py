@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from clicksieve.functions.columns import AsOf, hours_before
+from clicksieve.functions.columns import AsOf, as_timestamp, hours_before
 from clicksieve.rules import DETECTION, DetectionRules
 from clicksieve.schemas import BID_LOGS
 
@@ -26,6 +26,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(spark.read.schema(BID_LOGS).parquet(path))
 
 
+# The JSON writer cuts times to milliseconds unless told otherwise.
+JSON_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines that ``read_json`` gives back unchanged."""
+    df.write.option("timestampNTZFormat", JSON_TIME_FORMAT).json(path)
+
+
 def read_json(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
     """JSON lines with the fixed schema; nothing is inferred, nothing is lost.
 
@@ -55,8 +64,6 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 def stamped(df: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Fill ``processed_at`` for rows that arrive without one."""
-    from clicksieve.functions.columns import as_timestamp
-
     return df.withColumn(
         "processed_at",
         F.coalesce(F.col("processed_at"), as_timestamp(as_of).cast("timestamp_ntz")),
