@@ -2,12 +2,14 @@
 
 The column form in ``operators.alerts`` is the default and runs in generated
 code. These exist because the rule is also offered as a named SQL function; a
-test keeps both equal. They are vectorised: one call per Arrow batch.
+test keeps both equal. They work on whole Arrow batches, and on Arrow arrays
+rather than pandas series, which could not tell a NaN score from a missing one.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,26 +20,26 @@ STRICT_FUNCTION = "classify_fraud_udf"
 
 
 def action_udf(rules: ActionRules = ACTIONS):
-    """A pandas UDF ``(score double, confidence double) -> string``.
+    """An Arrow UDF ``(score double, confidence double) -> string``.
 
     The inner function refers only to plain values, so executors need nothing
-    but pandas to run it.
+    but pyarrow to run it.
     """
     tiers, otherwise, inclusive = rules.tiers, rules.otherwise, rules.inclusive
     fallback, missing = rules.missing_confidence, MISSING_SCORE
 
-    def decide(score: pd.Series, confidence: pd.Series) -> pd.Series:
-        sure = confidence.fillna(fallback)
-        action = pd.Series(otherwise, index=score.index, dtype=object)
+    def decide(score: pa.Array, confidence: pa.Array) -> pa.Array:
+        reaches = pc.greater_equal if inclusive else pc.greater
+        sure = pc.fill_null(confidence, fallback)
+        action = pa.array([otherwise] * len(score), pa.string())
         for name, min_score, min_confidence in reversed(tiers):
-            holds = score >= min_score if inclusive else score > min_score
+            holds = reaches(score, min_score)
             if min_confidence is not None:
-                holds &= sure >= min_confidence if inclusive else sure > min_confidence
-            action[holds.fillna(False).astype(bool)] = name
-        action[score.isna()] = missing
-        return action
+                holds = pc.and_(holds, reaches(sure, min_confidence))
+            action = pc.if_else(pc.fill_null(holds, False), name, action)
+        return pc.if_else(pc.is_null(score), missing, action)
 
-    return F.pandas_udf(decide, "string")
+    return F.arrow_udf(decide, "string")
 
 
 def register(spark: SparkSession) -> None:

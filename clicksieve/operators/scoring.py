@@ -179,11 +179,13 @@ def ratio_score(metrics: DataFrame, reputation: DataFrame, rules: RatioScoreRule
     """
 
     def closeness(value: Column) -> Column:
-        return F.least(F.lit(1.0), F.lit(rules.gap_scale_ms) / F.greatest(value.cast("double"), F.lit(1.0)))
+        # greatest() skips NULL, so an unknown spread must be caught first
+        near = F.least(F.lit(1.0), F.lit(rules.gap_scale_ms) / F.greatest(value.cast("double"), F.lit(1.0)))
+        return F.when(value.isNull(), F.lit(0.0)).otherwise(near)
 
     speed = closeness(F.col("fastest_click_ms"))
     volume = F.least(F.lit(1.0), F.col("total_clicks").cast("double") / F.lit(rules.volume_scale))
-    regularity = F.coalesce(closeness(F.col("click_interval_stddev")), F.lit(0.0))
+    regularity = closeness(F.col("click_interval_stddev"))
     reputation_risk = F.coalesce(F.col("reputation_risk"), F.lit(0.0))
     return metrics.join(reputation, "ip_address", "left").select(
         "ip_address",

@@ -57,7 +57,7 @@ def events_as_logs(events: DataFrame) -> DataFrame:
         "cast(ts as timestamp_ntz) as timestamp",
         "concat('10.2.', user_id div 256, '.', user_id % 256) as ip_address",
         "props as user_agent",
-        "cast(value * 10 as bigint) as time_to_click_ms",
+        "cast(floor(value * 10) as bigint) as time_to_click_ms",
         "concat('c-', event_id % 9) as campaign_id",
         "concat('p-', event_id % 4) as publisher_id",
         "cast(null as string) as advertiser_id",

@@ -32,7 +32,7 @@ bid_logs AS (
   UNION ALL
   SELECT 'E-' || event_id, ts,
          '10.2.' || (user_id // 256) || '.' || (user_id % 256),
-         props, cast(value * 10 AS BIGINT),
+         props, cast(floor(value * 10) AS BIGINT),
          'c-' || (event_id % 9), 'p-' || (event_id % 4), NULL,
          ['mobile', 'desktop', 'tablet'][(user_id % 3)::INT + 1],
          ['US', 'CN', 'RU', 'BR', 'IN', 'DE', 'GB', 'FR'][(user_id % 8)::INT + 1],
@@ -425,7 +425,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT ip_address, total_clicks, fastest_click_ms, round(greatest(0::DOUBLE, least(1::DOUBLE,
           0.40 * least(1::DOUBLE, 100::DOUBLE / greatest(fastest_click_ms, 1))
           + 0.30 * least(1::DOUBLE, total_clicks / 5000::DOUBLE)
-          + 0.20 * coalesce(least(1::DOUBLE, 100::DOUBLE / greatest(click_interval_stddev, 1)), 0)
+          + 0.20 * (CASE WHEN click_interval_stddev IS NULL THEN 0 ELSE least(1::DOUBLE, 100::DOUBLE / greatest(click_interval_stddev, 1)) END)
           + 0.10 * coalesce(reputation_risk, 0))), 9) AS ratio_score
       FROM velocity LEFT JOIN reputation USING (ip_address)"""
 
