@@ -5,7 +5,7 @@
 Writes ``copies`` shifted copies of the sf0.1 logs to FOLDER once (143 copies
 are about 100 million events) and times the detectors over them. Steps:
 volume, velocity, window (the plain per-address window, for comparison),
-suspects, alerts, auc.
+suspects, alerts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import os
 import sys
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicksieve.operators import alerts, scoring, suspects, velocity, volume
@@ -54,8 +54,6 @@ def scaled_logs(spark, copies: int) -> DataFrame:
 
 def plain_window(logs: DataFrame) -> DataFrame:
     """What the sliced plan replaces: one sort of a whole address."""
-    from pyspark.sql import Window
-
     gap = velocity.millis(F.col("timestamp")) - velocity.millis(
         F.lag("timestamp").over(Window.partitionBy("ip_address").orderBy("timestamp"))
     )
@@ -86,7 +84,6 @@ def main(argv: list[str]) -> None:
         "alerts": lambda: alerts.actionable_alerts(
             scoring.risk_scores(suspects.suspect_ips(logs, adapters.AS_OF), adapters.AS_OF), adapters.AS_OF
         ),
-        "approx_volume": lambda: volume.approx_volume_metrics(logs),
     }
     for step in steps:
         started = time.time()

@@ -47,7 +47,7 @@ def with_previous_event(
     a table of slice ends that has one row per (address, slice).
     """
     sliced = logs.withColumn(_SLICE, time_slice(slice_seconds))
-    in_slice = Window.partitionBy(*keys, _SLICE).orderBy("timestamp", *tie_break)
+    in_slice = Window.partitionBy(_SLICE, *keys).orderBy("timestamp", *tie_break)
     by_address = Window.partitionBy(*keys).orderBy(_SLICE)
 
     ends = (
@@ -56,7 +56,7 @@ def with_previous_event(
         .select(*keys, _SLICE, F.lag("_end").over(by_address).alias("_before"))
     )
     rows = sliced.withColumn("_prev", F.lag("timestamp").over(in_slice))
-    joined = rows.join(ends, [*keys, _SLICE])
+    joined = rows.join(ends, [_SLICE, *keys])
     previous = F.coalesce("_prev", "_before")
     return joined.select(
         *[F.col(c) for c in logs.columns],
@@ -79,7 +79,8 @@ def gap_counts(
     grouping columns because a string among the aggregates would turn the hash
     aggregation into a sort.
     """
-    by_slice = [*keys, _SLICE]
+    # slice first: it is a number, and sorting compares the first column fastest
+    by_slice = [_SLICE, *keys]
     in_slice = Window.partitionBy(*by_slice).orderBy("timestamp")
     earlier_slices = (
         Window.partitionBy(*keys).orderBy(_SLICE).rangeBetween(Window.unboundedPreceding, -1)

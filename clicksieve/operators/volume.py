@@ -18,51 +18,38 @@ def volume_metrics(logs: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFrame:
 
     One scan is grouped four ways at once: by (address, place) and by (address,
     value) for each counted column. That step combines map-side, so a hot
-    address is spread over its values, and its buffers are numbers and times
-    only, so it stays a hash aggregation; ``min`` of a string beside
-    ``count_distinct`` would sort every row first. The second step counts the
-    few remaining rows per address. No task ever holds a set of values, which
-    is why ``size(collect_set(...))`` is not used although it would save an
-    exchange.
+    address is spread over its values, and no task ever holds a set of values;
+    ``size(collect_set(...))`` would save an exchange but not survive such an
+    address. The second step counts what is left per address and place, the
+    third joins the few places. Up to there all buffers are numbers and times:
+    a ``min`` of a string any earlier would make Spark sort the rows instead of
+    hashing them.
     """
     place, counted = ["country_code", "device_type"], ["user_agent", "campaign_id", "publisher_id"]
+    names = {"user_agent": "distinct_uas", "campaign_id": "distinct_campaigns", "publisher_id": "distinct_publishers"}
     sets = [[*keys, *place]] + [[*keys, c] for c in counted]
     per_value = logs.groupingSets(sets, *keys, *place, *counted).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min("timestamp").alias("_first"),
-        F.max("timestamp").alias("_last"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
         F.grouping("country_code").alias("_not_place"),
         *[F.grouping(c).alias(f"_not_{c}") for c in counted],
     )
-    by_place = F.col("_not_place") == 0
-
-    def distinct(column: str):
-        return F.count_if((F.col(f"_not_{column}") == 0) & F.col(column).isNotNull())
-
-    return per_value.groupBy(*keys).agg(
-        F.sum(F.when(by_place, F.col("_n"))).alias("total_events"),
-        distinct("user_agent").alias("distinct_uas"),
-        distinct("campaign_id").alias("distinct_campaigns"),
-        distinct("publisher_id").alias("distinct_publishers"),
-        F.min("_first").alias("first_seen"),
-        F.max("_last").alias("last_seen"),
-        F.min(F.when(by_place, F.col("country_code"))).alias("country_code"),
-        F.min(F.when(by_place, F.col("device_type"))).alias("device_type"),
+    # value rows have no place and come together in the row of the NULL place
+    per_place = per_value.groupBy(*keys, *place).agg(
+        F.sum(F.when(F.col("_not_place") == 0, F.col("_n"))).alias("total_events"),
+        *[
+            F.count_if((F.col(f"_not_{c}") == 0) & F.col(c).isNotNull()).alias(names[c])
+            for c in counted
+        ],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
     )
-
-
-def approx_volume_metrics(logs: DataFrame, keys: Sequence[str] = ADDRESS, rsd: float = 0.02) -> DataFrame:
-    """The same columns with sketched distinct counts: one exchange, fixed memory.
-
-    Not a replacement for the exact form: counts are within ``rsd``.
-    """
-    return logs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.approx_count_distinct("user_agent", rsd).alias("distinct_uas"),
-        F.approx_count_distinct("campaign_id", rsd).alias("distinct_campaigns"),
-        F.approx_count_distinct("publisher_id", rsd).alias("distinct_publishers"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+    return per_place.groupBy(*keys).agg(
+        F.sum("total_events").alias("total_events"),
+        *[F.sum(name).alias(name) for name in names.values()],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
         F.min("country_code").alias("country_code"),
         F.min("device_type").alias("device_type"),
     )

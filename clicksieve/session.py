@@ -16,6 +16,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # After a window the rows are already sorted by address; aggregating them in
+    # that order is cheaper than hashing and needs no memory per address.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 

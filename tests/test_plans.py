@@ -31,15 +31,16 @@ def test_velocity_sorts_no_raw_rows_by_address_alone(stored):
     first, second = exchanges(velocity.velocity_metrics(stored))[::-1]
     assert "ip_address" in first and "_slice" in first
     assert "ip_address" in second and "_slice" not in second
-    text = plan(velocity.velocity_metrics(stored))
-    assert "SortAggregate" not in text
 
 
 def test_volume_combines_by_value_before_address(stored):
-    outer, inner = exchanges(volume.volume_metrics(stored))
-    assert "user_agent" in inner and "user_agent" not in outer
+    outer, middle, inner = exchanges(volume.volume_metrics(stored))
+    assert "user_agent" in inner and "user_agent" not in middle and "country_code" not in outer
     before_shuffle = plan(volume.volume_metrics(stored)).rsplit("Exchange", 1)[1]
     assert "HashAggregate" in before_shuffle and "SortAggregate" not in before_shuffle
+    first_two_steps = plan(volume.volume_metrics(stored)).split("Exchange", 1)[1]
+    assert "SortAggregate(key=[ip_address#" in first_two_steps.split("HashAggregate", 1)[0]
+    assert "SortAggregate" not in first_two_steps.split("HashAggregate", 1)[1]
 
 
 def test_scan_is_filtered_and_narrow(stored):
