@@ -114,16 +114,17 @@ def velocity_metrics(
     """Gap statistics per address; an address with a single event has no row.
 
     ``total_clicks`` and ``first_seen`` leave out the first event, which has no
-    gap. The deviation comes from whole-number sums, so it does not depend on
-    the order in which tasks finish.
+    gap. The deviation comes from the sum of squares: within a day that stays
+    below 2**53, so the double sum is exact and does not depend on the order in
+    which tasks finish, and only the difference per address needs decimals.
     """
     gap, clicks = F.col("gap_ms"), F.col("clicks")
-    exact_gap = gap.cast("decimal(18,0)")
+    wide_gap = gap.cast("double")
     grouped = gap_counts(logs, keys, slice_seconds).groupBy(*keys).agg(
         F.sum(clicks).alias("total_clicks"),
         F.min(gap).alias("fastest_click_ms"),
         F.sum(gap * clicks).alias("_gap_sum"),
-        F.sum(exact_gap * exact_gap * clicks).cast("decimal(38,0)").alias("_gap_sq"),
+        F.sum(wide_gap * wide_gap * clicks).alias("_gap_sq"),
         F.percentile(gap, F.lit(0.5), clicks).alias("median_click_ms"),
         F.sum(F.when(gap < rules.ultra_fast_gap_ms, clicks).otherwise(0)).alias("ultra_fast_clicks"),
         F.sum(F.when(gap < rules.very_fast_gap_ms, clicks).otherwise(0)).alias("very_fast_clicks"),
@@ -134,8 +135,9 @@ def velocity_metrics(
     )
     n, total = F.col("total_clicks"), F.col("_gap_sum")
     exact_total = total.cast("decimal(18,0)")
-    spread = F.col("_gap_sq") * n.cast("decimal(18,0)") - exact_total * exact_total
-    variance = spread.cast("double") / F.nullif(n.cast("double") * (n - 1).cast("double"), F.lit(0.0))
+    spread = F.col("_gap_sq").cast("decimal(25,0)") * n.cast("decimal(13,0)") - exact_total * exact_total
+    pairs = n.cast("double") * (n - 1).cast("double")
+    variance = F.greatest(spread.cast("double"), F.lit(0.0)) / F.nullif(pairs, F.lit(0.0))
     return grouped.select(
         *keys,
         "total_clicks",

@@ -42,6 +42,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # call sites for error messages cost more than building a short plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
