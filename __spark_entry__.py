@@ -94,9 +94,13 @@ def _rates(spark, d):
     return staged_filters.engagement_rates(_logs(spark, d))
 
 
+def _stream(spark, d):
+    splits = _logs(spark, d).rdd.getNumPartitions()
+    return adapters.bid_logs_stream(sinks.stream_session(spark, splits), d)
+
+
 def _timed_stream(spark, d):
-    sinks.keep_state_on_disk(spark)
-    return detect.with_event_time(adapters.bid_logs_stream(spark, d))
+    return detect.with_event_time(_stream(spark, d))
 
 
 # queries that need more than one step ---------------------------------------------
@@ -322,13 +326,13 @@ _QUERIES: dict[str, Query] = {
     "data_quality": lambda s, d: evaluation.data_quality(_logs(s, d)),
     # streams
     "stream_dedup": lambda s, d: sinks.drain(
-        detect.dedup(adapters.bid_logs_stream(s, d)).select("bid_request_id"), "stream-dedup"
+        detect.dedup(_stream(s, d)).select("bid_request_id"), "stream-dedup", s
     ),
     "stream_high_volume": lambda s, d: _by_window_end(
-        sinks.drain(detect.high_volume_suspects(_timed_stream(s, d)), "stream-volume")
+        sinks.drain(detect.high_volume_suspects(_timed_stream(s, d)), "stream-volume", s)
     ),
     "stream_velocity": lambda s, d: _by_window_end(
-        sinks.drain(detect.high_velocity_suspects(_timed_stream(s, d)), "stream-velocity")
+        sinks.drain(detect.high_velocity_suspects(_timed_stream(s, d)), "stream-velocity", s)
     ),
     "stream_alerts": _stream_alerts,
 }

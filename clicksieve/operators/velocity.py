@@ -12,7 +12,7 @@ Gaps are whole milliseconds inside a slice, so a slice has at most
 sqrt(2 * slice length in ms) different ones and a day at most about half a
 million rows however many events it holds: the per-address step is bounded by
 the clock and not by the traffic. The same argument bounds the exact median:
-24 hours hold at most 13,146 different gap lengths.
+24 hours hold at most 13,145 different gap lengths.
 """
 
 from __future__ import annotations

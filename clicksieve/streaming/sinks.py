@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clicksieve.operators.alerts import actionable_alerts
 from clicksieve.operators.scoring import risk_scores
-from clicksieve.session import work_folder
+from clicksieve.session import configure, work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTITIONS = "spark.sql.shuffle.partitions"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -19,6 +20,20 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
 
 
+def stream_session(spark: SparkSession, input_splits: int) -> SparkSession:
+    """A sibling session whose state has about four partitions per input split.
+
+    The number of state partitions is fixed by a stream's first run and AQE
+    does not merge them, so a small input in 200 of them is mostly waiting.
+    It never exceeds the number the given session is set to.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, 4 * input_splits)
+    session = configure(spark.newSession())
+    keep_state_on_disk(session)
+    session.conf.set(PARTITIONS, str(min(int(spark.conf.get(PARTITIONS)), wanted)))
+    return session
+
+
 def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append results to a Parquet folder, exactly once per checkpoint."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
@@ -27,12 +42,12 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return writer.start(path)
 
 
-def drain(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run over all input there is, wait, and read the result back."""
+def drain(stream: DataFrame, purpose: str, reader: SparkSession | None = None) -> DataFrame:
+    """Run over all input there is, wait, and read the result back (in ``reader``)."""
     spark = stream.sparkSession
     folder = work_folder(spark, purpose)
     to_files(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return (reader or spark).read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def alerts_from_suspects(suspects: DataFrame) -> DataFrame:
