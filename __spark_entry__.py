@@ -35,6 +35,13 @@ from clicksieve.session import configure, work_folder  # noqa: E402
 from clicksieve.sources import adapters, bid_logs  # noqa: E402
 from clicksieve.streaming import detect, sinks  # noqa: E402
 
+try:
+    from clicksieve.llm import queries as text_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("clicksieve.llm", "corpus_pipeline"):
+        raise
+    text_queries = None
+
 AS_OF = adapters.AS_OF
 ENTRY_DATA = "/root/testdata/sf0.001"
 
@@ -351,8 +358,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _exported(query) for name, query in _QUERIES.items()}
+    core = {name: _exported(query) for name, query in _QUERIES.items()}
+    return core | (text_queries.queries() if text_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (text_queries.oracle_sql() if text_queries else {})

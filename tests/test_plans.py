@@ -55,7 +55,7 @@ def test_no_python_in_the_main_path(spark):
     assert "Python" not in text and "Arrow" not in text
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("stream") and n not in
+@pytest.mark.parametrize("name", [n for n in entry._QUERIES if not n.startswith("stream") and n not in
                                   ("json_ingest", "dated_layout", "stored_alerts")])
 def test_no_cross_joins(spark, name):
     text = plan(entry.queries()[name](spark, SF_DIR))
