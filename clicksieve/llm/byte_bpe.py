@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-Documents are gathered in blocks of a bounded number of characters, each one
+Documents are gathered in blocks of a bounded size, each one
 row: the distinct words of the block and, per document, which words it has in
 which order. The merges run over the distinct words as Spark higher-order
-functions: a fold whose state is the word's pieces and the ranks of all
-neighbouring pairs, merging the lowest-ranked pair in each step. The ranks are
-a literal: pairs of piece ids hashed to buckets, made from the rank file.
+functions: a fold whose state is the word's pieces; each step merges the
+lowest-ranked neighbouring pair. The ranks are
+a literal, a table of pairs of piece ids made from the rank file.
 Decoding looks up each id's bytes and concatenates them.
 
 A fold is quadratic in the length of a word. Words over ``FOLDED_BYTES`` bytes
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import table, whole
 
 FOLDED_BYTES = 96
-BLOCK_CHARS = 8_000_000
-BUCKETS = 1 << 17
-NO_RANK = 2**31 - 1
+BLOCK_BYTES = 24_000_000
+SLOTS = 1 << 18
+NO_ENTRY = 1 << 54
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,68 +57,69 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     }
 
 
-def _bucket(left, right):
-    return F.pmod(left * 40503 + right * 9973, F.lit(BUCKETS)).cast("int")
+def _slots(left, right, both):
+    """The two slots that a pair may be in."""
+    return both(left * 40503 + right * 9973), both(left * 24851 + right * 50021)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """Struct of literals: ``keys`` and ``merged``, per bucket, and ``bytes``, the ids of single bytes."""
-    keys, merged = [[] for _ in range(BUCKETS)], [[] for _ in range(BUCKETS)]
+def pair_table(ranks: dict[bytes, int]) -> list[int]:
+    """``pair << 20 | rank`` of all pairs, each in one of its two slots (cuckoo hashing)."""
+    table = [NO_ENTRY] * SLOTS
     for (left, right), rank in pair_ranks(ranks).items():
-        at = (left * 40503 + right * 9973) % BUCKETS
-        keys[at].append(left << 20 | right)
-        merged[at].append(rank)
-    single = [ranks.get(bytes([b]), -1) for b in range(256)]
-    folded = lambda value, kind: F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+        entry, slot = (left << 17 | right) << 20 | rank, None
+        for _ in range(1000):
+            pair = entry >> 20
+            first, second = _slots(pair >> 17, pair & 0x1FFFF, lambda x: x & SLOTS - 1)
+            slot = second if slot == first else first
+            entry, table[slot] = table[slot], entry
+            if entry == NO_ENTRY:
+                break
+        else:
+            raise ValueError(f"{SLOTS} slots are too few for these ranks")
+    return table
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """Struct of literals: ``pairs``, the table of ranks, and ``bytes``, the ids of single bytes."""
+    literal = lambda value: F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), "array<bigint>")
     return F.struct(
-        folded(keys, "array<array<bigint>>").alias("keys"),
-        folded(merged, "array<array<int>>").alias("merged"),
-        folded(single, "array<int>").alias("bytes"),
+        literal(pair_table(ranks)).alias("pairs"), literal([ranks.get(bytes([b]), -1) for b in range(256)]).alias("bytes")
     )
 
 
-def _rank(known: Column, left: Column, right: Column) -> Column:
-    """Rank of the pair, which is also the id of the merged piece."""
-    at = _bucket(left.cast("long"), right.cast("long"))
-    key = left.cast("long") * (1 << 20) + right.cast("long")
-    place = F.array_position(F.get(known["keys"], at), key).cast("int")
-    return F.coalesce(F.get(F.get(known["merged"], at), place - 1), F.lit(NO_RANK))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda's argument is not computed again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold_merges(word: Column, known: Column) -> Column:
-    """Ids of one word: binary or string in, array<int> out."""
-    # one character per byte, so that the bytes can be split
-    one_each = F.decode(word.cast("binary"), "ISO-8859-1")
-    ids = F.transform(F.split(one_each, ""), lambda c: F.get(known["bytes"], F.ascii(c)))
-    n = F.octet_length(word)
-    none = F.array().cast("array<int>")
-
-    def start(pieces: Column) -> Column:
-        pairs = F.when(n > 1, F.transform(
-            F.sequence(F.lit(1), n - 1), lambda i: _rank(known, F.get(pieces, i - 1), F.get(pieces, i)),
-        )).otherwise(none)
-        return F.struct(pieces.alias("ids"), pairs.alias("pairs"))
+    """Ids of one word: binary or string in, array<bigint> out."""
 
-    def step(state: Column, _: Column) -> Column:
-        least = F.array_min(state["pairs"])
+    def step(ids: Column, _: Column) -> Column:
+        def candidate(left: Column, at: Column) -> Column:
+            # rank << 8 | place; the entry of another pair keeps a high bit, and behind the last piece is null
+            right = F.get(ids, at + 1)
+            pair = F.shiftleft(F.shiftleft(left, 17).bitwiseOR(right), 20)
+            slots = _slots(left, right, lambda x: x.bitwiseAND(SLOTS - 1))
+            entries = (F.get(known["pairs"], slot.cast("int")).bitwiseXOR(pair) for slot in slots)
+            return F.shiftleft(F.least(*entries), 8).bitwiseOR(at.cast("long"))
 
-        def merge(at: Column) -> Column:  # at: from 1, the left piece of the pair
-            ids, pairs = state["ids"], state["pairs"]
-            before = F.when(at > 1, F.array(_rank(known, F.get(ids, at - 2), least))).otherwise(none)
-            after = F.when(at < F.size(pairs), F.array(_rank(known, least, F.get(ids, at + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(
-                    F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after,
-                    F.slice(pairs, at + 2, F.size(pairs)),
-                ).alias("pairs"),
-            )
+        def merge(best: Column) -> Column:
+            at = best.bitwiseAND(255).cast("int")
+            whole_pair = F.array(F.shiftright(best, 8))
+            return F.concat(F.slice(ids, F.lit(1), at), whole_pair, F.slice(ids, at + 3, F.lit(FOLDED_BYTES)))
 
-        at = F.array_position(state["pairs"], least).cast("int")
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(merge(at))
+        least = F.array_min(F.transform(ids, candidate))  # the leftmost of the lowest rank
+        return _let(least, lambda best: F.when(best < 1 << 28, merge(best)).otherwise(ids))
 
-    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(none), start(ids), step)
-    return F.when(n == 0, none).otherwise(folded["ids"])
+    # one character per byte, so that the bytes can be split
+    one_each = F.decode(word.cast("binary"), "ISO-8859-1")
+    ids = F.transform(F.split(one_each, ""), lambda c: F.get(known["bytes"], F.ascii(c)))
+    merges = F.sequence(F.lit(1), F.octet_length(word) - 1)
+    none = F.array().cast("array<bigint>")
+    return F.when(F.octet_length(word) == 0, none).when(F.octet_length(word) == 1, ids).otherwise(
+        F.aggregate(merges, ids, step)
+    )
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -153,7 +154,7 @@ _BLOCK = pa.schema([
 ])
 
 
-def _gather(block_chars: int):
+def _gather(block_bytes: int):
     """Batches of (doc_id, words) to one row per block."""
 
     def close(docs: list, ends: list, flat: list) -> pa.RecordBatch:
@@ -166,7 +167,7 @@ def _gather(block_chars: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ends, flat, chars, total = [], [], [], 0, 0
+        docs, ends, flat, held, total = [], [], [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -177,10 +178,10 @@ def _gather(block_chars: int):
                 ends += (total + np.cumsum(lengths)).tolist()
                 total += int(lengths.sum())
                 flat.append(values)
-                chars += values.nbytes
-                if chars >= block_chars:
+                held += values.nbytes
+                if held >= block_bytes:
                     yield close(docs, ends, flat)
-                    docs, ends, flat, chars, total = [], [], [], 0, 0
+                    docs, ends, flat, held, total = [], [], [], 0, 0
         if docs:
             yield close(docs, ends, flat)
 
@@ -202,7 +203,7 @@ def _deal(ranks: dict[bytes, int]):
                     listed = ids.to_pylist()
                     for at, word in zip(cell("long_at").to_pylist(), words):
                         listed[at] = heap_merges(word.encode(), ranks)
-                    ids = pa.array(listed, pa.list_(pa.int32()))
+                    ids = pa.array(listed, pa.list_(pa.int64()))
                 places = np.frombuffer(batch.column("places")[row].as_py(), np.int32)
                 taken = ids.take(pa.array(places))
                 starts = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
@@ -215,7 +216,7 @@ def _deal(ranks: dict[bytes, int]):
 
 
 def encode(
-    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id and ids of each document's whole text; null text has no ids.
 
@@ -225,7 +226,7 @@ def encode(
     """
     words = F.regexp_extract_all(whole(text_col), F.lit(java_pattern(pattern)), F.lit(1))
     split = documents.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    blocks = split.mapInArrow(_gather(block_chars), "docs array<long>, ends array<long>, places binary, words array<string>")
+    blocks = split.mapInArrow(_gather(block_bytes), "docs array<long>, ends array<long>, places binary, words array<string>")
     is_long = lambda w: F.octet_length(w) > FOLDED_BYTES
     # naming the literal in a lambda keeps it in the plan once
     folded = F.transform(

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, license_scan, topk_search
+from . import byte_bpe, exact_dedup, license_scan, packing, revisits, topk_search
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1,
         "op3_topk_search": topk_search.op3,
+        "op5_revisits": revisits.op5,
+        "op6_packing": packing.op6,
         "op7_license_scan": license_scan.op7,
         "op10_byte_bpe": byte_bpe.op10,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_topk_search": topk_search.ORACLE_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op3_topk_search": topk_search.ORACLE_SQL,
+        "op5_revisits": revisits.ORACLE_SQL,
+    }
