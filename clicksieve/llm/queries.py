@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, license_scan, packing, revisits, topk_search
+from . import byte_bpe, exact_dedup, license_scan, near_dedup, packing, revisits, topk_search
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1,
         "op3_topk_search": topk_search.op3,
+        "op4_near_dedup": near_dedup.op4,
         "op5_revisits": revisits.op5,
         "op6_packing": packing.op6,
         "op7_license_scan": license_scan.op7,
