@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, license_scan, near_dedup, packing, revisits, topk_search
+from . import byte_bpe, exact_dedup, language_id, license_scan, near_dedup, packing, revisits, topk_search
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_revisits": revisits.op5,
         "op6_packing": packing.op6,
         "op7_license_scan": license_scan.op7,
+        "op9_language_id": language_id.op9,
         "op10_byte_bpe": byte_bpe.op10,
     }
 
