@@ -101,25 +101,25 @@ def _prefix_length(n):
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(list, sig, doc_id): the inverted lists, each under the most frequent value it is met with.
+    """(list, cid): the inverted lists, each under the most frequent value it is met with.
 
     Documents of one family share many values, whose lists would hold the same
     members again and again. A list is therefore filed under the most frequent
     value in any prefix that holds it; lists filed together are compared once.
     """
-    values = classes.select("sig", "n", F.explode("sketch").alias("value"))
+    values = classes.select("cid", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
-    shared = values.join(often, "value").groupBy("sig").agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "value"))).alias("shared")
-    )
+    shared = values.join(often, "value").groupBy("cid").agg(
+        F.array_sort(F.collect_list(F.struct("often", "value"))).alias("shared")
+    ).join(classes.select("cid", "n"), "cid")
     retained = F.least("n", F.lit(K)).cast("int")
     room = _prefix_length(F.col("n")) - (retained - F.size("shared"))  # the values that occur once come first
-    prefixes = shared.where(room > 0).select("sig", F.slice("shared", F.lit(1), room).alias("prefix"))
+    prefixes = shared.where(room > 0).select("cid", F.slice("shared", F.lit(1), F.greatest(room, F.lit(0))).alias("prefix"))
     # one of two equally frequent values must win in all documents
     top = F.element_at("prefix", -1)
-    listed = staged(prefixes.select("sig", top.alias("top"), F.explode("prefix").alias("entry")), "neardup-prefixes")
+    listed = staged(prefixes.select("cid", top.alias("top"), F.explode("prefix").alias("entry")), "neardup-prefixes")
     filed = listed.groupBy("entry").agg(F.max("top").alias("file"))
-    return listed.join(filed, "entry").select(F.col("file.value").alias("list"), "sig").distinct()
+    return listed.join(filed, "entry").select(F.col("file.value").alias("list"), "cid").distinct()
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -188,7 +188,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray
     return possible
 
 
-_EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _forest(names_a: list, names_b: list, mask: np.ndarray) -> list[tuple]:
@@ -222,17 +222,17 @@ def _compared(percent: int):
                 out.extend(_forest([n for n, _ in left], [n for n, _ in other], mask))
 
         def emitted():
-            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], schema=_EDGES)
+            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=_EDGES)
             out.clear()
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("list", "left", "right", "side", "sig", "full")]
-            for *pair, side, sig, full in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("list", "left", "right", "side", "cid", "full")]
+            for *pair, side, cid, full in zip(*columns):
                 if pair != key:
                     close()
                     key, sides = pair, ([], [])
-                sides[side].append((sig, np.frombuffer(full, np.uint64)))
+                sides[side].append((cid, np.frombuffer(full, np.uint64)))
             if len(out) > 10_000:
                 yield emitted()
         close()
@@ -247,21 +247,21 @@ def _links(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     busy = lists.join(sizes, "list")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("sig"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     # the full sets are made again for members of lists only
-    wanted = busy.select("sig").distinct().join(classes.select("sig", F.col("doc_id").alias("_id")), "sig")
+    wanted = busy.select("cid").distinct().join(classes.select("cid", "sig", F.col("doc_id").alias("_id")), "cid")
     texts = documents.join(wanted.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     full = texts.mapInArrow(_sets(True), "doc_id long, n long, sig binary, full binary").join(
-        wanted.withColumnRenamed("_id", "doc_id"), ["doc_id", "sig"], "left_semi"
-    ).dropDuplicates(["sig"])
-    full = staged(full.select("sig", "full"), "neardup-sets")
+        wanted.withColumnRenamed("_id", "doc_id"), ["doc_id", "sig"]
+    ).dropDuplicates(["cid"])
+    full = staged(full.select("cid", "full"), "neardup-sets")
     met = busy.withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "list", "sig",
+        "list", "cid",
         F.least("_block", "_other").alias("left"), F.greatest("_block", "_other").alias("right"),
         (F.col("_block") > F.col("_other")).cast("int").alias("side"),
     )
-    pairs = met.join(full, "sig").repartition("list", "left", "right").sortWithinPartitions("list", "left", "right", "side")
-    return pairs.mapInArrow(_compared(percent), "a binary, b binary").distinct()
+    pairs = met.join(full, "cid").repartition("list", "left", "right").sortWithinPartitions("list", "left", "right", "side")
+    return pairs.mapInArrow(_compared(percent), "a long, b long").distinct()
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -307,11 +307,12 @@ def near_duplicates(documents: DataFrame, percent: int = 85, id_col: str = "doc_
     sketched = staged(plain.mapInArrow(_sets(False), "doc_id long, n long, sig binary, sketch array<long>"), "neardup-sketches")
     usable = sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     smallest = usable.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    classes = staged(usable.join(smallest, ["sig", "doc_id"]).dropDuplicates(["sig"]).select("sig", "doc_id", "n", "sketch"), "neardup-classes")
+    classes = staged(usable.join(smallest, ["sig", "doc_id"]).dropDuplicates(["sig"]).select(
+        F.monotonically_increasing_id().alias("cid"), "sig", "doc_id", "n", "sketch"), "neardup-classes")
     labels = smallest_reachable(
-        classes.select(F.col("sig").alias("node"), F.col("doc_id").alias("label")), staged(_links(plain, classes, percent), "neardup-links")
+        classes.select(F.col("cid").alias("node"), F.col("doc_id").alias("label")), staged(_links(plain, classes, percent), "neardup-links")
     )
-    found = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
+    found = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         "sig", F.coalesce("label", "doc_id").alias("_component")
     )
     # the class is joined for documents that have one; a hot class is one row there
