@@ -40,8 +40,8 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-# Upper-case letters beyond A-Z: where there is none, lower() changes A-Z only.
-OTHER_UPPER_CASE = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+# Upper-case letters beyond A-Z, and what this JVM's tables do not know: where there is none, lower() changes A-Z only.
+OTHER_UPPER_CASE = r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]"
 
 
 def lower_ascii(text: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, whole
 
 SLOTS = 1 << 16
+FULL_WORDS = 30  # up to so many distinct words each counts whole
 CACHED_WORDS = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile(r"[^\w\s]+")
@@ -64,25 +65,26 @@ def _slots() -> _Slots:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: 1 for each distinct word, and shares of marks, capitals and repeats.
+    """Slots and values: one value for all distinct words, and shares of marks, capitals and repeats.
 
-    Only presence counts for words, so a long text isn't outvoted by its length,
-    and a few telling words in it still show.
+    The words of a long text count less each, so that a text isn't judged by
+    its length and its shares still show among many words.
     """
     words = text.split()
     known = _slots()
     distinct = set(words)
     present = np.fromiter({s for w in distinct for s in known[w]}, np.int64)
     n = len(words)
+    value = np.full(len(present), min(1.0, (FULL_WORDS / max(len(present), 1)) ** 0.5))
     if not n:
-        return present, np.ones(len(present))
+        return present, value
     upper = sum(w.isupper() and len(w) > 1 for w in words) / n
     marked = sum(not w[-1].isalnum() and w[-1] not in ".,;:?\"')" for w in words) / n
     bare = sum(not any(map(str.isalpha, w)) for w in words) / n
     repeated = 1 - len(distinct) / n if n >= 20 else 0.0
     shares = {"upper": upper, "marked": marked, "bare": bare, "repeated": repeated * repeated}
     slots = [zlib.crc32(("\0share " + k).encode()) % SLOTS for k in shares]
-    return np.concatenate([present, slots]), np.concatenate([np.ones(len(present)), [10 * v for v in shares.values()]])
+    return np.concatenate([present, slots]), np.concatenate([value, [10 * v for v in shares.values()]])
 
 
 def fit(texts: list[str], grades: list[int], epochs: int = 8, rate: float = 0.05, decay: float = 2e-5, seed: int = 3) -> OrdinalModel:
