@@ -31,7 +31,8 @@ from .common import ROW, numbered, staged, table, whole
 
 CHUNK_ROWS = 4096
 CHUNK_WINDOWS = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+_STOPS = frozenset((b".", b","))
 ENCODED_AT_ONCE = 1024
 
 
@@ -54,27 +55,36 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.kind = _tokenizer(path), id_type(path)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes new words many at a time: white space ends a word for this tokenizer."""
-        for at in range(0, len(words), ENCODED_AT_ONCE):
-            texts = [w.decode() for w in words[at : at + ENCODED_AT_ONCE]]
-            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            ids = np.array(coded.ids, self.kind)
-            cuts = np.searchsorted([a for a, _ in coded.offsets], starts)
-            packed, size = ids.tobytes(), ids.itemsize
-            for word, a, b in zip(words[at : at + ENCODED_AT_ONCE], cuts[:-1].tolist(), cuts[1:].tolist()):
-                self[word] = packed[a * size : b * size]
-
-    def of(self, text: str) -> bytes:
-        words = text.encode().split()
-        missing = [w for w in set(words) if w not in self]
+    def _encoded(self, words: list[bytes]) -> None:
+        """Encodes many words at once: white space ends a word for this tokenizer."""
+        texts = [w.decode() for w in words]
+        coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        ids = np.array(coded.ids, self.kind)
+        cuts = np.searchsorted([a for a, _ in coded.offsets], starts)
+        packed, size = ids.tobytes(), ids.itemsize
+        for word, a, b in zip(words, (cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist()):
+            self[word] = packed[a:b]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Adds new words. A full stop or comma behind a letter or digit is a token of its own, so the rest is looked up."""
+        ended = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[-2:-1].isalnum()}
+        plain = list(((words - ended.keys()) | set(ended.values()) | _STOPS) - self.keys())
+        for at in range(0, len(plain), ENCODED_AT_ONCE):
+            self._encoded(plain[at : at + ENCODED_AT_ONCE])
+        for word, rest in ended.items():
+            self[word] = self[rest] + self[word[-1:]]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        listed = [t.encode().split() for t in texts]
+        found = [list(map(self.get, words)) for words in listed]
+        missing = {w for words, ids in zip(listed, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if len(self) + 2 * len(missing) > CACHED_WORDS:
+            self.clear()
+            missing = set().union(*listed)
         if missing:
-            if len(self) + len(missing) > CACHED_WORDS:
-                self.clear()
-                missing = list(set(words))
             self.learn(missing)
-        return b"".join(map(self.__getitem__, words))
+        return [b"".join(map(self.__getitem__, words) if None in ids else ids) for words, ids in zip(listed, found)]
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +105,7 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int, queue: Column, i
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [words.of(t) + end for t in part.column("text").to_pylist()]
+                ids = [i + end for i in words.of(part.column("text").to_pylist())]
                 n = pa.array([len(i) // len(end) for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), n, pa.array(ids, pa.binary())], schema=schema)
 
@@ -182,16 +192,19 @@ _PIECES = pa.schema([
 def _with_ids(kind: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], kind)
-                out = []
-                for p in row["pieces"]:
-                    part = ids[p["start"] : p["start"] + p["length"]]
-                    out.append({
-                        "doc_id": row["doc_id"], "doc_tokens": len(ids), "ids_crc32": zlib.crc32(part.astype("<u4").tobytes()),
-                        "ids": part.tolist() if keep_ids else None, **p,
-                    })
-                yield pa.RecordBatch.from_pylist(out, schema=_PIECES)
+            ids = [np.frombuffer(packed, kind) for packed in batch.column("ids").to_pylist()]
+            listed = batch.column("pieces")
+            doc = np.repeat(np.arange(len(ids)), listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            pieces = pa.RecordBatch.from_struct_array(listed.flatten())
+            starts, lengths = pieces.column("start").to_numpy(), pieces.column("length").to_numpy()
+            parts = [ids[d][s : s + n] for d, s, n in zip(doc.tolist(), starts.tolist(), lengths.tolist())]
+            columns = {name: pieces.column(name) for name in pieces.schema.names} | {
+                "doc_id": batch.column("doc_id").take(pa.array(doc)),
+                "ids_crc32": pa.array([zlib.crc32(p.astype("<u4")) for p in parts], pa.int64()),
+                "doc_tokens": pa.array(np.array([len(i) for i in ids], np.int64)[doc] if len(doc) else [], pa.int64()),
+                "ids": pa.array(parts if keep_ids else [None] * len(parts), pa.list_(pa.int32())),
+            }
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in _PIECES], schema=_PIECES)
 
     return run
 
