@@ -120,7 +120,8 @@ def _rounded_spread(metrics: DataFrame) -> DataFrame:
 def _json_ingest(spark, d):
     folder = work_folder(spark, "json-logs")
     bid_logs.write_json(_logs(spark, d), folder)
-    return bid_logs.read_json(spark, folder).groupBy("event_type").agg(
+    typed, _ = bid_logs.read_json(spark, folder)
+    return typed.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_distinct("ip_address").alias("addresses"),
         F.min("timestamp").alias("first_event"),

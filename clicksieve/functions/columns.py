@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ def as_timestamp(moment: AsOf) -> Column:
         return moment.cast("timestamp")
     if isinstance(moment, str):
         moment = datetime.fromisoformat(moment)
+    if moment.tzinfo is not None:  # times at rest are UTC without a zone
+        moment = moment.astimezone(timezone.utc)
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 

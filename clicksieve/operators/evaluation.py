@@ -76,7 +76,7 @@ def confusion_summary(performance: DataFrame) -> DataFrame:
         F.sum("revenue_impact").alias("total_revenue_impact"),
     )
     place = lookup(F.col("evaluation_category"), ((TP, 1), (TN, 2), (FP, 3), (FN, 4)), None)
-    return with_share(grouped, "ip_count", "percentage").orderBy(place)
+    return with_share(grouped, "ip_count", "percentage").orderBy(F.asc_nulls_last(place))
 
 
 def _in(cell: str) -> Column:
@@ -137,7 +137,7 @@ def user_type_breakdown(performance: DataFrame) -> DataFrame:
             F.sum("revenue_impact").alias("revenue_impact"),
             F.avg("total_clicks").alias("avg_clicks"),
         )
-        .orderBy(place, F.desc("revenue_impact"), "user_type")
+        .orderBy(F.asc_nulls_last(place), F.desc_nulls_first("revenue_impact"), F.asc_nulls_last("user_type"))
     )
 
 

@@ -21,7 +21,8 @@ from clicksieve.rules import (
 
 
 def clamp_unit(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    """The score cut to [0, 1]; NULL stays NULL, which least() and greatest() would skip."""
+    return F.when(score > 1, F.lit(1.0)).when(score < 0, F.lit(0.0)).otherwise(score)
 
 
 def base_score(reason: Column, rules: ScoringRules = SCORING) -> Column:
@@ -184,7 +185,7 @@ def ratio_score(metrics: DataFrame, reputation: DataFrame, rules: RatioScoreRule
         return F.when(value.isNull(), F.lit(0.0)).otherwise(near)
 
     speed = closeness(F.col("fastest_click_ms"))
-    volume = F.least(F.lit(1.0), F.col("total_clicks").cast("double") / F.lit(rules.volume_scale))
+    volume = clamp_unit(F.col("total_clicks").cast("double") / F.lit(rules.volume_scale))
     regularity = closeness(F.col("click_interval_stddev"))
     reputation_risk = F.coalesce(F.col("reputation_risk"), F.lit(0.0))
     return metrics.join(reputation, "ip_address", "left").select(

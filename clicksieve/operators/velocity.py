@@ -43,24 +43,23 @@ def with_previous_event(
     """Every row with the time of the previous event of its address.
 
     Adds ``prev_timestamp`` and ``time_diff_ms``; both are NULL for the first
-    event. The first row of a slice takes the end of the slice before it, from
-    a table of slice ends that has one row per (address, slice).
+    event. Only the first row of a slice, with the slice's end, goes through a
+    window over the address, so no row is joined and none with a NULL key lost.
     """
     sliced = logs.withColumn(_SLICE, time_slice(slice_seconds))
     in_slice = Window.partitionBy(_SLICE, *keys).orderBy("timestamp", *tie_break)
+    whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_address = Window.partitionBy(*keys).orderBy(_SLICE)
-
-    ends = (
-        sliced.groupBy(*keys, _SLICE)
-        .agg(F.max("timestamp").alias("_end"))
-        .select(*keys, _SLICE, F.lag("_end").over(by_address).alias("_before"))
-    )
-    rows = sliced.withColumn("_prev", F.lag("timestamp").over(in_slice))
-    joined = rows.join(ends, [_SLICE, *keys])
-    previous = F.coalesce("_prev", "_before")
-    return joined.select(
+    rows = sliced.withColumn("prev_timestamp", F.lag("timestamp").over(in_slice)).withColumn(
+        "_place", F.row_number().over(in_slice)
+    ).withColumn("_end", F.max("timestamp").over(whole_slice))
+    later = rows.where(F.col("_place") > 1)
+    # one row per slice goes through the address; it carries the slice's end for the next
+    first = rows.where(F.col("_place") == 1).withColumn("prev_timestamp", F.lag("_end").over(by_address))
+    previous = F.col("prev_timestamp")
+    return later.unionByName(first).select(
         *[F.col(c) for c in logs.columns],
-        previous.alias("prev_timestamp"),
+        previous,
         (millis(F.col("timestamp")) - millis(previous)).alias("time_diff_ms"),
     )
 

@@ -65,4 +65,8 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="clicksieve-")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    # intermediates go when the session's JVM ends
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -35,18 +35,23 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("timestampNTZFormat", JSON_TIME_FORMAT).json(path)
 
 
-def read_json(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
-    """JSON lines with the fixed schema; nothing is inferred, nothing is lost.
+def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with the fixed schema, as (typed rows, rejected rows); nothing is inferred or lost.
 
-    Unreadable lines are kept in ``_corrupt_record`` when asked for, so they
-    can be counted and stored; otherwise rows without the required columns are
-    left out of the typed result.
+    A line is rejected as a whole if any of its values cannot be read or a
+    required column is missing. Rejected rows have the typed columns, as far as
+    they could be read, and the line in ``_corrupt_record``, which is null for
+    a readable line without a required value.
     """
-    raw = spark.read.schema(_lenient(BID_LOGS)).option("mode", "PERMISSIVE").json(path)
-    if keep_corrupt:
-        return raw
-    required = [c.name for c in BID_LOGS.fields if not c.nullable]
-    return with_defaults(raw.dropna(subset=required).drop(CORRUPT))
+    # as a file source, JSON only checks the columns that a query happens to use
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", _lenient(BID_LOGS), options)
+    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parsed.alias("_row")).select("_row.*")
+    required = [F.col(c.name).isNotNull() for c in BID_LOGS.fields if not c.nullable]
+    good = F.col(CORRUPT).isNull()
+    for present in required:
+        good = good & present
+    return with_defaults(raw.where(good).drop(CORRUPT)), raw.where(~good)
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:

@@ -23,12 +23,12 @@ def test_trailing_window_keeps_its_edge_and_the_future(make_logs):
 def test_json_round_trip_and_corrupt_lines(spark, make_logs, tmp_path):
     logs = make_logs([("a", 1.5), ("b", 2, {"event_type": None, "user_agent": None})])
     bid_logs.write_json(logs, str(tmp_path / "j"))
-    (tmp_path / "j" / "extra.json").write_text('{"broken\n{"ip_address": "no time"}\n')
-    back = bid_logs.read_json(spark, str(tmp_path / "j"))
-    assert rows(back) == rows(bid_logs.with_defaults(logs))
-    raw = bid_logs.read_json(spark, str(tmp_path / "j"), keep_corrupt=True)
-    assert raw.cache().where(F.col(bid_logs.CORRUPT).isNotNull()).count() == 1
-    assert raw.count() == 4
+    half_bad = '{"bid_request_id":"h","timestamp":"2024-01-30T00:00:00.000000","ip_address":"c","time_to_click_ms":"oops"}\n'
+    (tmp_path / "j" / "extra.json").write_text('{"broken\n{"ip_address": "no time"}\n' + half_bad)
+    typed, rejected = bid_logs.read_json(spark, str(tmp_path / "j"))
+    assert rows(typed) == rows(bid_logs.with_defaults(logs))
+    lines = {r[bid_logs.CORRUPT] for r in rejected.collect()}
+    assert lines == {'{"broken', half_bad.strip(), None} and rejected.count() == 3
 
 
 def test_layout_prunes_dates_and_keeps_all_rows(spark, make_logs, tmp_path):

@@ -93,6 +93,7 @@ def test_weights_are_added_in_double_from_the_left(spark):
 def test_score_stays_in_unit_interval(spark):
     assert value(spark, scoring.clamp_unit(F.lit(1.7))) == 1.0
     assert value(spark, scoring.clamp_unit(F.lit(-0.2))) == 0.0
+    assert value(spark, scoring.clamp_unit(F.lit(None).cast("double"))) is None
 
 
 @pytest.mark.parametrize(

@@ -92,6 +92,14 @@ def test_previous_event_per_row(make_logs, slice_seconds):
     assert rows(velocity.with_previous_event(logs, slice_seconds=slice_seconds)) == sorted(expected, key=repr)
 
 
+def test_previous_event_keeps_rows_without_address_and_joins_nothing(spark):
+    events = [("r0", START, None), ("r1", START + timedelta(seconds=70), None), ("r2", START, "a")]
+    logs = spark.createDataFrame(events, "bid_request_id string, timestamp timestamp_ntz, ip_address string")
+    found = velocity.with_previous_event(logs)
+    assert [(r.bid_request_id, r.time_diff_ms) for r in found.orderBy("bid_request_id").collect()] == [("r0", None), ("r1", 70_000), ("r2", None)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def metrics(spark, fastest, ultra=0, average=5000.0):
     return spark.createDataFrame(
         [("a", fastest, ultra, average)],
