@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, whole
 
 FOLDED_BYTES = 96
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 SLOTS = 1 << 18
 NO_ENTRY = 1 << 54
 
