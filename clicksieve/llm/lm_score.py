@@ -16,24 +16,45 @@ add to it, so pairs seen nowhere else need no row of the count table.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, staged, table, whole
+from .common import staged, table, whole
 
 BACKOFF = 0.4
 VOCABULARY = 1 << 16
-WORDS = r"[^\x20\x09-\x0D]+"
+
+
+COUNTED_AT_ONCE = 200_000  # distinct words a task holds before it passes their counts on
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to words and counts; a word may come more than once."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        words = pa.array([w.decode() for w in counts], pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+    counts = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update(_words(text))
+            if len(counts) > COUNTED_AT_ONCE:
+                yield rows(counts)
+                counts.clear()
+    yield rows(counts)
 
 
 def word_counts(documents: DataFrame, text_col: str, size: int) -> tuple[dict[bytes, int], np.ndarray]:
     """Ids from 1 of the ``size`` - 1 most frequent words and the counts of all ids; 0 is any other word."""
-    words = F.regexp_extract_all(lower_ascii(whole(text_col)), F.lit(f"({WORDS})"), F.lit(1))
-    counted = staged(documents.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "lm-words")
+    words = documents.select(whole(text_col).alias("text")).mapInArrow(_counted, "w string, n long")
+    counted = staged(words.groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     top = counted.orderBy(F.desc("n"), "w").limit(size - 1).collect()
     counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.float64)
@@ -67,8 +88,13 @@ def _exploded(vocabulary, size: int):
     return run
 
 
+def _words(text: str) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case."""
+    return text.encode().lower().split()
+
+
 def _ids(text: str, ids_of) -> np.ndarray:
-    return np.array([ids_of(w, 0) for w in text.encode().lower().split()], np.int64)
+    return np.array([ids_of(w, 0) for w in _words(text)], np.int64)
 
 
 def backed_off(counts: np.ndarray) -> np.ndarray:
@@ -92,22 +118,12 @@ def _bases(vocabulary):
     return run
 
 
-def _gains(vocabulary, size: int):
-    """Joined pairs to what they add to the backed-off score."""
-    schema = pa.schema([(KEY, pa.int64()), ("n", pa.int64()), ("gain", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.maximum(vocabulary.value[1], 0.5)
-        context, terms = np.log(counts), backed_off(vocabulary.value[1])
-        for batch in batches:
-            pair, own = batch.column("pair").to_numpy(), batch.column("own").to_numpy()
-            others = batch.column("all").to_numpy() - own
-            gain = own * (np.log(others) - context[pair // size] - terms[pair % size])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), pa.array(own, pa.int64()), pa.array(gain, pa.float64())], schema=schema
-            )
-
-    return run
+def _gain(counts: np.ndarray, size: int) -> Column:
+    """What a joined pair adds to the backed-off score; the terms of the vocabulary are literals."""
+    literal = lambda values: F.from_json(F.lit(json.dumps(values.tolist())), "array<double>")
+    context, terms = literal(np.log(np.maximum(counts, 0.5))), literal(backed_off(counts))
+    first, second = F.floor(F.col("pair") / size).cast("int"), (F.col("pair") % size).cast("int")
+    return F.col("own") * (F.ln(F.col("all") - F.col("own")) - F.get(context, first) - F.get(terms, second))
 
 
 def lm_scores(documents: DataFrame, vocabulary_size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,14 +135,18 @@ def lm_scores(documents: DataFrame, vocabulary_size: int = VOCABULARY, id_col: s
     so each is seen in the other.
     """
     size = vocabulary_size
-    vocabulary = documents.sparkSession.sparkContext.broadcast(word_counts(documents, text_col, size))
+    counts = word_counts(documents, text_col, size)
+    vocabulary = documents.sparkSession.sparkContext.broadcast(counts)
     text = whole(text_col)
     rows = documents.select(
         F.xxhash64(id_col, text).alias(KEY), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")
     )
     pairs = rows.select(KEY, "text").mapInArrow(_exploded(vocabulary, size), f"{KEY} long, pair long, own int")
     shared = pairs.groupBy("pair").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
-    seen = pairs.join(shared.select("pair", "all"), "pair").mapInArrow(_gains(vocabulary, size), f"{KEY} long, n long, gain double")
+    # the counts are the smaller side, a row per pair: hashing them spares sorting all pairs of all documents
+    seen = pairs.join(shared.select("pair", "all").hint("shuffle_hash"), "pair").select(
+        KEY, F.col("own").cast("long").alias("n"), _gain(counts[1], size).alias("gain")
+    )
     gained = seen.groupBy(KEY).agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
     bases = rows.mapInArrow(_bases(vocabulary), f"{KEY} long, doc_id long, n_words long, base double")
     copies = bases.groupBy(KEY).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
