@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,39 @@ def _pairs(ids, size: int) -> tuple[np.ndarray, np.ndarray]:
 KEY = "_key"  # of a document: 64 bits of its id and text
 
 
+PAIRS_AT_ONCE = 2_000_000  # pairs a task sums up by itself before it passes them on
+
+
+def _pair_counts(vocabulary, size: int):
+    """Documents to pairs, how often they occur and how many documents have them; a pair may come more than once."""
+
+    def rows(pairs: list, own: list) -> pa.RecordBatch:
+        pair, times = np.concatenate(pairs), np.concatenate(own)
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        holders = np.diff(first, append=len(pair))
+        columns = (pair[first], np.add.reduceat(times[order], first), holders)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pair", "all", "holders"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = vocabulary.value[0].get
+        pairs, own, held = [], [], 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found, n = _pairs(_ids(text, ids_of), size)
+                if len(found):
+                    pairs.append(found), own.append(n)
+                    held += len(found)
+                if held > PAIRS_AT_ONCE:
+                    yield rows(pairs, own)
+                    pairs, own, held = [], [], 0
+        if held:
+            yield rows(pairs, own)
+
+    return run
+
+
 def _exploded(vocabulary, size: int):
     """Documents to their distinct pairs."""
     schema = pa.schema([(KEY, pa.int64()), ("pair", pa.int64()), ("own", pa.int32())])
@@ -94,7 +128,7 @@ def _words(text: str) -> list[bytes]:
 
 
 def _ids(text: str, ids_of) -> np.ndarray:
-    return np.array([ids_of(w, 0) for w in _words(text)], np.int64)
+    return np.fromiter(map(ids_of, _words(text), repeat(0)), np.int64)
 
 
 def backed_off(counts: np.ndarray) -> np.ndarray:
@@ -142,7 +176,8 @@ def lm_scores(documents: DataFrame, vocabulary_size: int = VOCABULARY, id_col: s
         F.xxhash64(id_col, text).alias(KEY), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")
     )
     pairs = rows.select(KEY, "text").mapInArrow(_exploded(vocabulary, size), f"{KEY} long, pair long, own int")
-    shared = pairs.groupBy("pair").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
+    counted = rows.select("text").mapInArrow(_pair_counts(vocabulary, size), "pair long, all long, holders long")
+    shared = counted.groupBy("pair").agg(F.sum("all").alias("all"), F.sum("holders").alias("holders")).where(F.col("holders") > 1)
     # the counts are the smaller side, a row per pair: hashing them spares sorting all pairs of all documents
     seen = pairs.join(shared.select("pair", "all").hint("shuffle_hash"), "pair").select(
         KEY, F.col("own").cast("long").alias("n"), _gain(counts[1], size).alias("gain")
