@@ -70,20 +70,21 @@ def _pairs(ids, size: int) -> tuple[np.ndarray, np.ndarray]:
 KEY = "_key"  # of a document: 64 bits of its id and text
 
 
-PAIRS_AT_ONCE = 2_000_000  # pairs a task sums up by itself before it passes them on
+PAIRS_AT_ONCE = 500_000  # pairs a task sums up by itself before it passes them on
 
 
 def _pair_counts(vocabulary, size: int):
     """Documents to pairs, how often they occur and how many documents have them; a pair may come more than once."""
 
-    def rows(pairs: list, own: list) -> pa.RecordBatch:
+    def rows(pairs: list, own: list) -> Iterator[pa.RecordBatch]:
         pair, times = np.concatenate(pairs), np.concatenate(own)
         order = np.argsort(pair)
         pair = pair[order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
         holders = np.diff(first, append=len(pair))
         columns = (pair[first], np.add.reduceat(times[order], first), holders)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pair", "all", "holders"])
+        summed = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pair", "all", "holders"])
+        yield from (summed.slice(at, 65536) for at in range(0, len(first), 65536))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = vocabulary.value[0].get
@@ -95,10 +96,10 @@ def _pair_counts(vocabulary, size: int):
                     pairs.append(found), own.append(n)
                     held += len(found)
                 if held > PAIRS_AT_ONCE:
-                    yield rows(pairs, own)
+                    yield from rows(pairs, own)
                     pairs, own, held = [], [], 0
         if held:
-            yield rows(pairs, own)
+            yield from rows(pairs, own)
 
     return run
 
