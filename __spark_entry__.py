@@ -43,6 +43,8 @@ except ModuleNotFoundError as missing:
     text_queries = None
 
 AS_OF = adapters.AS_OF
+STATE_PARTITIONS = 8  # of the registered streams
+LAYOUT_FILES = 16
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,8 +104,7 @@ def _rates(spark, d):
 
 
 def _stream(spark, d):
-    splits = _logs(spark, d).rdd.getNumPartitions()
-    return adapters.bid_logs_stream(sinks.stream_session(spark, splits), d)
+    return adapters.bid_logs_stream(sinks.stream_session(spark, STATE_PARTITIONS), d)
 
 
 def _timed_stream(spark, d):
@@ -132,7 +133,7 @@ def _json_ingest(spark, d):
 
 def _dated_layout(spark, d):
     folder = work_folder(spark, "dated-logs")
-    bid_logs.write_layout(_logs(spark, d), folder)
+    bid_logs.write_layout(_logs(spark, d), folder, LAYOUT_FILES)
     stored = bid_logs.trailing_window(spark.read.parquet(folder), AS_OF)
     return stored.groupBy("event_date").agg(
         F.count(F.lit(1)).alias("events"),
@@ -236,7 +237,7 @@ def _stream_alerts(spark, d):
     folder = work_folder(spark, "stream-alerts")
     found = detect.suspect_ips(_timed_stream(spark, d))
     sinks.upsert_alerts(found, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts").drop("batch_id")
+    return sinks.alerts_by_window(spark.read.parquet(f"{folder}/alerts"))
 
 
 def _by_window_end(windowed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from clicksieve.functions.columns import (
     AsOf,
@@ -266,17 +267,25 @@ def _score_counts(traffic: DataFrame, score: str) -> DataFrame:
     """Cumulative label counts per distinct score, highest score first.
 
     A running sum over all scores would sort them in one task. Scores are cut
-    into blocks of 65,536 neighbouring values instead: the window inside a
-    block sees at most that many rows, and the running sum over block totals
-    sees one row per block.
+    into blocks instead, and the running sum over block totals sees one row
+    per block. Whole numbers are cut every 65,536 values, so the window inside
+    a block sees at most that many rows. Other scores keep their fractions and
+    are cut into 65,536 ranges between the least and the largest score.
     """
     bot = F.col("is_actually_bot")
+    whole = isinstance(traffic.schema[score].dataType, (ByteType, ShortType, IntegerType, LongType))
     per_score = (
         traffic.where(bot.isNotNull() & F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("bigint").alias("score"))
+        .groupBy(F.col(score).cast("bigint" if whole else "double").alias("score"))
         .agg(F.count_if(bot).alias("bots"), F.count_if(~bot).alias("humans"))
-        .withColumn("_block", F.shiftright("score", _BLOCK_BITS))
     )
+    if whole:
+        block = F.shiftright("score", _BLOCK_BITS)
+    else:
+        low, high = per_score.agg(F.min("score"), F.max("score")).first()
+        even = low is None or low == high  # no ranges to cut
+        block = F.lit(0) if even else F.width_bucket("score", F.lit(low), F.lit(high), F.lit(1 << _BLOCK_BITS))
+    per_score = per_score.withColumn("_block", block.cast("bigint"))
     higher_blocks = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         per_score.groupBy("_block")

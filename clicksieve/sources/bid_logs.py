@@ -89,16 +89,21 @@ def trailing_window(df: DataFrame, as_of: AsOf, rules: DetectionRules = DETECTIO
     return kept
 
 
-def write_layout(df: DataFrame, path: str, files: int | None = None) -> None:
+ROWS_PER_FILE = 20_000_000
+
+
+def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store logs by date, clustered on address and time inside each date.
 
     Range partitioning on (date, address, time) cuts a hot address into several
     files along its time axis. Hash partitioning or bucketing by address would
     put all its rows into one task and one file. Clustered files also make the
     detectors cheaper: the map-side halves of their aggregations see each
-    address in few tasks.
+    address in few tasks. ``files`` is how many tasks write, to be chosen for
+    the size of the logs; none writes a file of more than ``rows_per_file``.
     """
     dated = df.withColumn(EVENT_DATE, F.col("timestamp").cast("date"))
     order = [EVENT_DATE, "ip_address", "timestamp"]
-    ranged = dated.repartitionByRange(files, *order) if files else dated.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(EVENT_DATE).parquet(path)
+    ranged = dated.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    writer = ranged.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy(EVENT_DATE).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,16 +16,38 @@ def overwrite(df: DataFrame, target: str) -> DataFrame:
     A target with a slash is a Parquet folder, anything else a catalog table.
     Reading back what was written means later summaries scan a small table
     instead of running the whole plan again, and a lost executor cannot force
-    more than that scan to be repeated.
+    more than that scan to be repeated. A folder is written beside the target
+    and takes its place when it is complete, so a failed job leaves the old
+    table, and ``df`` may read the table it replaces.
     """
     spark = df.sparkSession
     if "/" in target:
-        df.write.mode("overwrite").parquet(target)
+        target = target.rstrip("/")
+        fresh = f"{target}-{uuid.uuid4().hex}"
+        df.write.parquet(fresh)
+        _replace(spark, fresh, target)
     else:
         df.write.mode("overwrite").format("parquet").saveAsTable(target)
     return read(spark, target)
 
 
+def _replace(spark: SparkSession, fresh: str, target: str) -> None:
+    """Puts a complete folder where the old one was; the old one goes last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    old = path(f"{fresh}-old")
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had_one = files.exists(path(target))
+    if had_one and not files.rename(path(target), old):
+        raise OSError(f"{target} could not be set aside; the new rows are in {fresh}")
+    if not files.rename(path(fresh), path(target)):
+        if had_one:
+            files.rename(old, path(target))
+        raise OSError(f"{target} could not be replaced; the new rows are in {fresh}")
+    if had_one:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(target)
+
+
 def read(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target) if "/" in target else spark.table(target)
 

@@ -12,6 +12,8 @@ from clicksieve.session import configure, work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PARTITIONS = "spark.sql.shuffle.partitions"
+QUERY_ID = "sql.streaming.queryId"
+FOLDERS = ("query_id", "batch_id")
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -20,17 +22,16 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
 
 
-def stream_session(spark: SparkSession, input_splits: int) -> SparkSession:
-    """A sibling session whose state has about four partitions per input split.
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A sibling session whose streams keep their state in so many partitions.
 
-    The number of state partitions is fixed by a stream's first run and AQE
-    does not merge them, so a small input in 200 of them is mostly waiting.
-    It never exceeds the number the given session is set to.
+    The number is fixed by a stream's first run and AQE does not merge them,
+    so it is chosen for the traffic the stream is to grow to, not for what
+    there is at the start. Without one, the given session's setting holds.
     """
-    wanted = max(spark.sparkContext.defaultParallelism, 4 * input_splits)
     session = configure(spark.newSession())
     keep_state_on_disk(session)
-    session.conf.set(PARTITIONS, str(min(int(spark.conf.get(PARTITIONS)), wanted)))
+    session.conf.set(PARTITIONS, str(state_partitions or spark.conf.get(PARTITIONS)))
     return session
 
 
@@ -42,11 +43,29 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, available_now: bool
     return writer.start(path)
 
 
-def drain(stream: DataFrame, purpose: str, reader: SparkSession | None = None) -> DataFrame:
-    """Run over all input there is, wait, and read the result back (in ``reader``)."""
+class LateRows(RuntimeError):
+    """A stream left rows out because they came after the watermark."""
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the query's recent batches left out because they came after the watermark."""
+    operators = (o for p in query.recentProgress for o in p["stateOperators"])
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)
+
+
+def drain(
+    stream: DataFrame, purpose: str, reader: SparkSession | None = None, allow_late: bool = False
+) -> DataFrame:
+    """Run over all input there is, wait, and read the result back (in ``reader``).
+
+    Raises ``LateRows`` if rows came too late to be counted, unless ``allow_late``.
+    """
     spark = stream.sparkSession
     folder = work_folder(spark, purpose)
-    to_files(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    query = to_files(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    query.awaitTermination()
+    if not allow_late and (late := late_rows(query)):
+        raise LateRows(f"{late} rows of {purpose} came after the watermark")
     return (reader or spark).read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -60,14 +79,19 @@ def alerts_from_suspects(suspects: DataFrame) -> DataFrame:
 
 
 def upsert_alerts(suspects: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Alerts of each micro-batch into ``path/batch_id=n``.
+    """Alerts of each micro-batch into ``path/query_id=q/batch_id=n``.
 
-    The batch number is the folder name and the folder is overwritten, so a
-    batch that runs again after a failure leaves no second copy.
+    The folder is overwritten, so a batch that runs again after a failure
+    leaves no second copy. A stream with a new checkpoint has a new query id
+    and counts its batches from 0 in folders of its own; ``alerts_by_window``
+    merges what several streams stored.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        alerts_from_suspects(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        query_id = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
+        if not query_id:
+            raise RuntimeError("alerts are only written from within a running stream")
+        alerts_from_suspects(batch).write.mode("overwrite").parquet(f"{path}/query_id={query_id}/batch_id={batch_id}")
 
     writer = suspects.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
@@ -75,8 +99,15 @@ def upsert_alerts(suspects: DataFrame, path: str, checkpoint: str, available_now
     return writer.start()
 
 
+def alerts_by_window(stored: DataFrame) -> DataFrame:
+    """One alert per address and window; of several, the one that saw most clicks."""
+    columns = [c for c in stored.columns if c not in FOLDERS]
+    fullest = F.max_by(F.struct(*columns), F.struct("total_clicks", "alert_id"))
+    return stored.groupBy("ip_address", "created_at").agg(fullest.alias("a")).select("a.*")
+
+
 def current_alerts(stored: DataFrame) -> DataFrame:
     """Latest alert of each address over all batches."""
-    columns = [c for c in stored.columns if c not in ("batch_id",)]
-    newest = F.max_by(F.struct(*columns), F.struct("created_at", "alert_id"))
+    columns = [c for c in stored.columns if c not in FOLDERS]
+    newest = F.max_by(F.struct(*columns), F.struct("created_at", "total_clicks", "alert_id"))
     return stored.groupBy("ip_address").agg(newest.alias("a")).select("a.*")

@@ -141,6 +141,15 @@ def test_roc_against_brute_force(spark, spread):
     assert evaluation.roc_auc(data).first().auc == pytest.approx(pairs / (bots * humans))
 
 
+@pytest.mark.parametrize("scores", [[0.9, 0.8, 0.2, 0.1], [0.5, 0.5, 0.5, 0.5], [-1e9, 3.25, 3.5, 1e9]])
+def test_roc_of_fractions(spark, scores):
+    rows = [(s, i < 2) for i, s in enumerate(scores)]
+    data = spark.createDataFrame(rows, "total_clicks double, is_actually_bot boolean")
+    pairs = [(a > c) + 0.5 * (a == c) for a, x in rows if x for c, y in rows if not y]
+    assert evaluation.roc_auc(data).first().auc == pytest.approx(sum(pairs) / len(pairs))
+    assert [r.score_at_least for r in evaluation.roc_curve(data).orderBy("score_at_least").collect()] == sorted(set(scores))
+
+
 def test_data_quality(spark):
     df = spark.createDataFrame([(1, None), (2, None), (None, "x")], "a int, b string")
     got = {r.column_name: (r.row_count, r.null_count, r.null_percent) for r in evaluation.data_quality(df).collect()}

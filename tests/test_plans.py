@@ -23,7 +23,7 @@ def exchanges(df):
 @pytest.fixture(scope="module")
 def stored(spark, make_logs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("logs") / "dated")
-    bid_logs.write_layout(make_logs([("a", i) for i in range(10)]), folder)
+    bid_logs.write_layout(make_logs([("a", i) for i in range(10)]), folder, files=2)
     return bid_logs.trailing_window(spark.read.parquet(folder), adapters.AS_OF)
 
 

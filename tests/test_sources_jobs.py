@@ -86,6 +86,16 @@ def test_catalog_tables(spark, make_logs):
     spark.sql("DROP TABLE clicksieve_probe")
 
 
+def test_a_table_may_be_replaced_by_what_is_read_from_it(spark, make_logs, tmp_path):
+    target = str(tmp_path / "t")
+    stored = tables.overwrite(make_logs([("a", 1), ("b", 2)]), target)
+    kept = tables.overwrite(stored.where("ip_address = 'a'"), target)
+    assert [r.ip_address for r in kept.collect()] == ["a"]
+    with pytest.raises(Exception):  # noqa: B017
+        tables.overwrite(kept.select(F.raise_error(F.lit("broken")).alias("x")), target)
+    assert tables.read(spark, target).count() == 1
+
+
 def test_history_equals_one_run_per_day(spark, make_logs):
     events = [(ip, day * DAY_MS + i * 40, {"user_agent": f"u{i % 7}"}) for day in range(3) for ip in ("a", "b") for i in range(9)]
     events += [("edge", DAY_MS - 10), ("edge", DAY_MS + 10)]  # fast across midnight, but on two days

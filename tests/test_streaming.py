@@ -67,8 +67,10 @@ def test_events_later_than_the_watermark_are_dropped(stream_of):
     # A new watermark closes windows in the next batch and drops rows in the one after.
     far = 50 * HOUR
     timed = detect.with_event_time(stream_of([("a", 0), ("a", 20)], [("a", far)], [("a", far + 1)], [("a", 40)], [CLOSER]))
-    got = sinks.drain(detect.velocity_metrics(timed), "t-late")
+    got = sinks.drain(detect.velocity_metrics(timed), "t-late", allow_late=True)
     assert {r.total_clicks for r in in_window(got, 24).collect()} == {1}
+    with pytest.raises(sinks.LateRows):
+        sinks.drain(detect.velocity_metrics(timed), "t-late")
 
 
 def test_alerts_are_written_per_batch_and_rerun_safely(spark, stream_of, tmp_path):
@@ -87,3 +89,8 @@ def test_alerts_are_written_per_batch_and_rerun_safely(spark, stream_of, tmp_pat
     # nothing new to read: a restart from the checkpoint adds nothing
     sinks.upsert_alerts(detect.suspect_ips(timed), target, checkpoint).awaitTermination()
     assert rows(spark.read.parquet(target)) == before
+    # a new checkpoint reads everything again: nothing is overwritten, and the merge has each alert once
+    merged = rows(sinks.alerts_by_window(stored))
+    sinks.upsert_alerts(detect.suspect_ips(timed), target, str(tmp_path / "cp2")).awaitTermination()
+    both = spark.read.parquet(target)
+    assert both.count() == 2 * len(before) and rows(sinks.alerts_by_window(both)) == merged
