@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
 Documents are gathered in blocks of a bounded size, each one
-row: the distinct words of the block and, per document, which words it has in
-which order. The merges run over the distinct words as Spark higher-order
+row: the distinct words that no earlier block of the task had and, per document,
+which words it has in which order. The merges run over these words as Spark higher-order
 functions: a fold whose state is the word's pieces; each step merges the
-lowest-ranked neighbouring pair. The ranks are
+lowest-ranked neighbouring pair. The table of words that a task has met is
+bounded and starts anew when it is full. The ranks are
 a literal, a table of pairs of piece ids made from the rank file.
 Decoding looks up each id's bytes and concatenates them.
 
@@ -12,7 +13,7 @@ A fold is quadratic in the length of a word. Words over ``FOLDED_BYTES`` bytes
 (runs of one kind of character thousands long) take the same merges with a
 heap in Python; both ways give the same ids.
 
-Nothing is shuffled: a block depends on its own documents only.
+Nothing is shuffled: a block depends on the documents of its task only.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .common import table, whole
 
 FOLDED_BYTES = 96
 BLOCK_BYTES = 8_000_000
+TABLE_WORDS = 500_000
 SLOTS = 1 << 18
 NO_ENTRY = 1 << 54
 
@@ -93,32 +95,42 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, known: Column) -> Column:
-    """Ids of one word: binary or string in, array<bigint> out."""
+    """Ids of one word: binary or string in, array<bigint> out.
 
-    def step(ids: Column, _: Column) -> Column:
-        def candidate(left: Column, at: Column) -> Column:
-            # rank << 8 | place; the entry of another pair keeps a high bit, and behind the last piece is null
-            right = F.get(ids, at + 1)
-            pair = F.shiftleft(F.shiftleft(left, 17).bitwiseOR(right), 20)
-            slots = _slots(left, right, lambda x: x.bitwiseAND(SLOTS - 1))
-            entries = (F.get(known["pairs"], slot.cast("int")).bitwiseXOR(pair) for slot in slots)
-            return F.shiftleft(F.least(*entries), 8).bitwiseOR(at.cast("long"))
+    The state holds for each piece ``rank << 17 | id``, the rank being that of
+    the pair it starts, so that a merge looks up two pairs and no others.
+    """
+    none, rest, low_bits = F.lit(1 << 20), F.lit(FOLDED_BYTES), (1 << 17) - 1
+
+    def piece(left: Column, right: Column) -> Column:
+        # the entry of another pair keeps a high bit, and behind the last piece is null
+        pair = F.shiftleft(F.shiftleft(left, 17).bitwiseOR(right), 20)
+        slots = _slots(left, right, lambda x: x.bitwiseAND(SLOTS - 1))
+        entries = (F.get(known["pairs"], slot.cast("int")).bitwiseXOR(pair) for slot in slots)
+        return F.shiftleft(F.least(*entries, none), 17).bitwiseOR(left)
+
+    def step(pieces: Column, _: Column) -> Column:
+        id_at = lambda place: F.get(pieces, place).bitwiseAND(low_bits)
 
         def merge(best: Column) -> Column:
-            at = best.bitwiseAND(255).cast("int")
-            whole_pair = F.array(F.shiftright(best, 8))
-            return F.concat(F.slice(ids, F.lit(1), at), whole_pair, F.slice(ids, at + 3, F.lit(FOLDED_BYTES)))
+            at, merged = best.bitwiseAND(255).cast("int"), F.shiftright(best, 8)
+            before, after = id_at(at - 1), F.array(piece(merged, id_at(at + 2)))
+            return F.when(at == 0, F.concat(after, F.slice(pieces, F.lit(3), rest))).otherwise(
+                F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece(before, merged)), after, F.slice(pieces, at + 3, rest))
+            )
 
-        least = F.array_min(F.transform(ids, candidate))  # the leftmost of the lowest rank
-        return _let(least, lambda best: F.when(best < 1 << 28, merge(best)).otherwise(ids))
+        ranked = F.transform(pieces, lambda x, at: F.shiftleft(F.shiftright(x, 17), 8).bitwiseOR(at.cast("long")))
+        least = F.array_min(ranked)  # the leftmost of the lowest rank
+        return _let(least, lambda best: F.when(best < 1 << 28, merge(best)).otherwise(pieces))
 
     # one character per byte, so that the bytes can be split
     one_each = F.decode(word.cast("binary"), "ISO-8859-1")
     ids = F.transform(F.split(one_each, ""), lambda c: F.get(known["bytes"], F.ascii(c)))
+    start = _let(ids, lambda i: F.transform(i, lambda x, at: piece(x, F.get(i, at + 1))))
     merges = F.sequence(F.lit(1), F.octet_length(word) - 1)
-    none = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(word) == 0, none).when(F.octet_length(word) == 1, ids).otherwise(
-        F.aggregate(merges, ids, step)
+    empty = F.array().cast("array<bigint>")
+    return F.when(F.octet_length(word) == 0, empty).when(F.octet_length(word) == 1, ids).otherwise(
+        F.aggregate(merges, start, step, lambda pieces: F.transform(pieces, lambda x: x.bitwiseAND(low_bits)))
     )
 
 
@@ -150,23 +162,34 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _BLOCK = pa.schema([
-    ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.list_(pa.string())),
+    ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("first", pa.int64()),
+    ("words", pa.list_(pa.string())),
 ])
 
 
-def _gather(block_bytes: int):
-    """Batches of (doc_id, words) to one row per block."""
+def _gather(block_bytes: int, table_words: int):
+    """Batches of (doc_id, words) to one row per block.
 
-    def close(docs: list, ends: list, flat: list) -> pa.RecordBatch:
-        coded = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x], f.type) for x, f in zip((docs, ends, places, coded.dictionary.to_pylist()), _BLOCK)], schema=_BLOCK
-        )
+    Words are numbered through a task: a block lists those that no block before
+    it had, the first of them being word ``first``. A full table starts anew at 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str, int] = {}
+
+        def close(docs: list, ends: list, flat: list) -> pa.RecordBatch:
+            coded = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            if len(numbers) > table_words:
+                numbers.clear()
+            first, distinct = len(numbers), coded.dictionary.to_pylist()
+            new = [w for w in distinct if w not in numbers]
+            numbers.update(zip(new, range(first, first + len(new))))
+            number = np.fromiter(map(numbers.__getitem__, distinct), np.int32, len(distinct))
+            places = number[coded.indices.to_numpy(zero_copy_only=False)].tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((docs, ends, places, first, new), _BLOCK)], schema=_BLOCK)
+
         docs, ends, flat, held, total = [], [], [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -192,9 +215,14 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def _deal(ranks: dict[bytes, int]):
-    """Blocks with the ids of their words to one row of ids per document."""
+    """Blocks with the ids of their new words to one row of ids per document.
+
+    Follows the table of the task that gathered; both run in one stage, so the
+    blocks of a task come in their order, again too after a lost executor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array([], pa.list_(pa.int32()))
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[row].values  # noqa: E731, B023
@@ -204,19 +232,20 @@ def _deal(ranks: dict[bytes, int]):
                     for at, word in zip(cell("long_at").to_pylist(), words):
                         listed[at] = heap_merges(word.encode(), ranks)
                     ids = pa.array(listed, pa.list_(pa.int64()))
-                places = np.frombuffer(batch.column("places")[row].as_py(), np.int32)
-                taken = ids.take(pa.array(places))
+                table = pa.concat_arrays([table.slice(0, batch.column("first")[row].as_py()), ids.cast(table.type)])
+                taken = table.take(pa.array(np.frombuffer(batch.column("places")[row].as_py(), np.int32)))
                 starts = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
                 ends = cell("ends").to_numpy(zero_copy_only=False)
                 offsets = np.concatenate([[0], starts[ends]]).astype(np.int32)
-                per_doc = pa.ListArray.from_arrays(pa.array(offsets), taken.flatten().cast(pa.int32()))
+                per_doc = pa.ListArray.from_arrays(pa.array(offsets), taken.flatten())
                 yield pa.RecordBatch.from_arrays([cell("docs"), per_doc], schema=_ENCODED)
 
     return run
 
 
 def encode(
-    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
+    table_words: int = TABLE_WORDS,
 ) -> DataFrame:
     """doc_id and ids of each document's whole text; null text has no ids.
 
@@ -226,7 +255,9 @@ def encode(
     """
     words = F.regexp_extract_all(whole(text_col), F.lit(java_pattern(pattern)), F.lit(1))
     split = documents.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    blocks = split.mapInArrow(_gather(block_bytes), "docs array<long>, ends array<long>, places binary, words array<string>")
+    blocks = split.mapInArrow(
+        _gather(block_bytes, table_words), "docs array<long>, ends array<long>, places binary, first long, words array<string>"
+    )
     is_long = lambda w: F.octet_length(w) > FOLDED_BYTES
     # naming the literal in a lambda keeps it in the plan once
     folded = F.transform(
@@ -236,7 +267,7 @@ def encode(
     numbered = F.transform("words", lambda w, i: F.when(is_long(w), i))
     long_at = F.filter(numbered, lambda i: i.isNotNull())
     coded = blocks.select(
-        "docs", "ends", "places", F.get(folded, F.lit(0)).alias("ids"),
+        "docs", "ends", "places", "first", F.get(folded, F.lit(0)).alias("ids"),
         F.filter("words", is_long).alias("long_words"), long_at.alias("long_at"),
     )
     return coded.mapInArrow(_deal(ranks), "doc_id long, ids array<int>")
