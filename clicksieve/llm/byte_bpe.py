@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, whole
 
 FOLDED_BYTES = 96
-BLOCK_BYTES = 8_000_000
+BLOCK_CHARACTERS = 8_000_000
 TABLE_WORDS = 500_000
 SLOTS = 1 << 18
 NO_ENTRY = 1 << 54
@@ -44,11 +44,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def java_pattern(pattern: str) -> str:
-    """The splitting pattern for the JVM: white space as Unicode has it."""
-    return f"(?U)({pattern})"
-
-
 def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     """Every pair of tokens whose concatenation is a token."""
     return {
@@ -167,46 +162,43 @@ _BLOCK = pa.schema([
 ])
 
 
-def _gather(block_bytes: int, table_words: int):
-    """Batches of (doc_id, words) to one row per block.
+def _gather(pattern: str, block_characters: int, table_words: int):
+    """Batches of (doc_id, text) to one row per block.
 
     Words are numbered through a task: a block lists those that no block before
     it had, the first of them being word ``first``. A full table starts anew at 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(pattern).findall
         numbers: dict[str, int] = {}
+        docs, ends, places, new, first, held, total = [], [], [], [], 0, 0, 0
+
+        def block() -> pa.RecordBatch:
+            values = (docs, ends, np.concatenate(places).tobytes(), first, new)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCK)], schema=_BLOCK)
 
-        def close(docs: list, ends: list, flat: list) -> pa.RecordBatch:
-            coded = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
-            if isinstance(coded, pa.ChunkedArray):
-                coded = coded.combine_chunks()
-            if len(numbers) > table_words:
-                numbers.clear()
-            first, distinct = len(numbers), coded.dictionary.to_pylist()
-            new = [w for w in distinct if w not in numbers]
-            numbers.update(zip(new, range(first, first + len(new))))
-            number = np.fromiter(map(numbers.__getitem__, distinct), np.int32, len(distinct))
-            places = number[coded.indices.to_numpy(zero_copy_only=False)].tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((docs, ends, places, first, new), _BLOCK)], schema=_BLOCK)
-
-        docs, ends, flat, held, total = [], [], [], 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                words = part.column("words")
-                values = words.flatten()
-                lengths = np.diff(words.offsets.to_numpy())
-                docs += part.column("doc_id").to_pylist()
-                ends += (total + np.cumsum(lengths)).tolist()
-                total += int(lengths.sum())
-                flat.append(values)
-                held += values.nbytes
-                if held >= block_bytes:
-                    yield close(docs, ends, flat)
-                    docs, ends, flat, held, total = [], [], [], 0, 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py()
+                words = split(text)
+                unknown = set(words).difference(numbers)
+                numbers.update(zip(unknown, range(len(numbers), len(numbers) + len(unknown))))
+                new += unknown
+                places.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                total += len(words)
+                docs.append(doc)
+                ends.append(total)
+                held += len(text)
+                if held >= block_characters:
+                    yield block()
+                    if len(numbers) > table_words:
+                        numbers.clear()
+                    docs, ends, places, new, first, held, total = [], [], [], [], len(numbers), 0, 0
         if docs:
-            yield close(docs, ends, flat)
+            yield block()
 
     return run
 
@@ -243,20 +235,13 @@ def _deal(ranks: dict[bytes, int]):
     return run
 
 
-def encode(
-    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
-    table_words: int = TABLE_WORDS,
+def _folded(
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_characters: int, id_col: str, text_col: str, table_words: int
 ) -> DataFrame:
-    """doc_id and ids of each document's whole text; null text has no ids.
-
-    Each match of ``pattern`` is encoded by itself, without special tokens.
-    Rows repeated under an id, or without one, each get their own row. A text
-    of one very long word is encoded like any other.
-    """
-    words = F.regexp_extract_all(whole(text_col), F.lit(java_pattern(pattern)), F.lit(1))
-    split = documents.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    blocks = split.mapInArrow(
-        _gather(block_bytes, table_words), "docs array<long>, ends array<long>, places binary, first long, words array<string>"
+    """Blocks with the ids of their new words; null for a very long word, which comes with them."""
+    plain = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    blocks = plain.mapInArrow(
+        _gather(pattern, block_characters, table_words), "docs array<long>, ends array<long>, places binary, first long, words array<string>"
     )
     is_long = lambda w: F.octet_length(w) > FOLDED_BYTES
     # naming the literal in a lambda keeps it in the plan once
@@ -266,10 +251,23 @@ def encode(
     )
     numbered = F.transform("words", lambda w, i: F.when(is_long(w), i))
     long_at = F.filter(numbered, lambda i: i.isNotNull())
-    coded = blocks.select(
+    return blocks.select(
         "docs", "ends", "places", "first", F.get(folded, F.lit(0)).alias("ids"),
         F.filter("words", is_long).alias("long_words"), long_at.alias("long_at"),
     )
+
+
+def encode(
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_characters: int = BLOCK_CHARACTERS, id_col: str = "doc_id", text_col: str = "text",
+    table_words: int = TABLE_WORDS,
+) -> DataFrame:
+    """doc_id and ids of each document's whole text; null text has no ids.
+
+    Each match of ``pattern`` is encoded by itself, without special tokens.
+    Rows repeated under an id, or without one, each get their own row. A text
+    of one very long word is encoded like any other.
+    """
+    coded = _folded(documents, ranks, pattern, block_characters, id_col, text_col, table_words)
     return coded.mapInArrow(_deal(ranks), "doc_id long, ids array<int>")
 
 
@@ -312,10 +310,10 @@ def _decoder(ranks: dict[bytes, int], ids_col: str):
     return run
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
 
+def _digest(ranks: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(ranks)
         for batch in batches:
@@ -329,13 +327,31 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 batch.column("doc_id"), pa.array(counts, pa.int64()),
                 pa.array(sha(values[b - n : b].tobytes() for b, n in zip(last, counts)), pa.string()),
                 pa.array(sha(data[a:b] for a, b in zip([0, *ends[:-1]], ends)), pa.string()),
-            ], schema=schema)
+            ], schema=_DIGESTS)
+
+    return run
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+_DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
+    return encoded.mapInArrow(_digest(ranks), _DIGESTS_DDL)
+
+
+def encoded_digests(
+    documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_characters: int = BLOCK_CHARACTERS, id_col: str = "doc_id", text_col: str = "text",
+    table_words: int = TABLE_WORDS,
+) -> DataFrame:
+    """``digests`` of ``encode`` in one Python step, so that the ids don't leave it."""
+    deal, digest = _deal(ranks), _digest(ranks)
+    coded = _folded(documents, ranks, pattern, block_characters, id_col, text_col, table_words)
+    return coded.mapInArrow(lambda batches: digest(deal(batches)), _DIGESTS_DDL)
 
 
 def op10(spark, sf_dir):
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return digests(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)

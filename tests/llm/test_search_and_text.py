@@ -116,7 +116,7 @@ def test_bpe(spark, texts):
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int").repartition(3)
-    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_bytes=50_000, table_words=1_000)
+    coded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_characters=50_000, table_words=1_000)
     for r in byte_bpe.decode(coded, RANKS).collect():
         text = texts[r.doc_id] or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
