@@ -120,11 +120,14 @@ def test_bpe(spark, texts):
     for r in byte_bpe.decode(coded, RANKS).collect():
         text = texts[r.doc_id] or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
-    for r in byte_bpe.digests(coded, RANKS).collect():
+    at_once = byte_bpe.encoded_digests(docs, RANKS, public_tokenizers.PATTERN, block_characters=50_000, table_words=1_000).collect()
+    assert len(at_once) == len(texts)
+    for r in byte_bpe.digests(coded, RANKS).collect() + at_once:
         ids = library.encode_ordinary(texts[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert byte_bpe.digests(byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN), RANKS).collect() == []
+    assert byte_bpe.encoded_digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
 def test_every_token_is_itself(spark):
