@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import staged, table, whole
 
 K = 64
-SHARED = 38  # of K retained values; at a similarity of 0.85 fewer are shared in one of ten million pairs
+MISSED = 2e-7  # the largest part of the links at exactly ``percent`` that sketches may miss
+LEAST_PERCENT = 80
 BLOCK = 128
 CACHED_WORDS = 500_000
 _MIX = tuple(np.uint64(m) for m in (
@@ -94,13 +96,31 @@ def _sets(with_sets: bool):
     return run
 
 
-def _prefix_length(n):
+@lru_cache
+def shared_values(percent: int) -> int:
+    """Of K retained values, how many linked sets share: fewer come with a probability of at most MISSED."""
+    likely = percent / 100
+    below, fewer = 0, 0.0
+    while below < K:
+        fewer += comb(K, below) * likely**below * (1 - likely) ** (K - below)
+        if fewer > MISSED:
+            break
+        below += 1
+    return below
+
+
+def whole_up_to(percent: int) -> int:
+    """Sizes of sets whose own sketch, and that of any set linked to them, is the whole set."""
+    return percent * K // 100
+
+
+def _prefix_length(n, percent: int):
     """Retained values to list: with fewer the shared ones could be missed."""
-    exact = n - F.ceil(n * 0.85) + 1
-    return F.when(n <= 54, exact).otherwise(F.least(n, F.lit(K)) - SHARED + 1).cast("int")
+    exact = n - F.floor((n * percent + 99) / 100) + 1
+    return F.when(n <= whole_up_to(percent), exact).otherwise(F.least(n, F.lit(K)) - shared_values(percent) + 1).cast("int")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
+def _lists(classes: DataFrame, percent: int) -> DataFrame:
     """(list, cid): the inverted lists, each under the most frequent value it is met with.
 
     Documents of one family share many values, whose lists would hold the same
@@ -113,7 +133,7 @@ def _lists(classes: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("often", "value"))).alias("shared")
     ).join(classes.select("cid", "n"), "cid")
     retained = F.least("n", F.lit(K)).cast("int")
-    room = _prefix_length(F.col("n")) - (retained - F.size("shared"))  # the values that occur once come first
+    room = _prefix_length(F.col("n"), percent) - (retained - F.size("shared"))  # the values that occur once come first
     prefixes = shared.where(room > 0).select("cid", F.slice("shared", F.lit(1), F.greatest(room, F.lit(0))).alias("prefix"))
     # one of two equally frequent values must win in all documents
     top = F.element_at("prefix", -1)
@@ -167,8 +187,8 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray
     if not possible.any():
         return possible
     sketch_a, sketch_b = [s[:K] for s in a], [s[:K] for s in b]
-    whole_sketches = large <= percent * K // 100
-    needed = np.where(whole_sketches, -(-large * percent // 100), np.minimum(small, SHARED))
+    whole_sketches = large <= whole_up_to(percent)
+    needed = np.where(whole_sketches, -(-large * percent // 100), np.minimum(small, shared_values(percent)))
     possible &= _overlaps(sketch_a, sketch_b) >= needed
     i, j = np.nonzero(possible)
     if len(i):
@@ -179,7 +199,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray
         for at in range(0, len(i), 8192):
             part = slice(at, at + 8192)
             estimate = union_estimates(padded[0][i[part]], padded[1][j[part]])
-            possible[i[part], j[part]] = estimate >= (SHARED - 1) / K
+            possible[i[part], j[part]] = estimate >= (shared_values(percent) - 1) / K
     rows, columns = np.flatnonzero(possible.any(axis=1)), np.flatnonzero(possible.any(axis=0))
     if len(rows):
         shared = np.zeros(possible.shape, np.int64)
@@ -243,7 +263,7 @@ def _compared(percent: int):
 
 def _links(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges between classes: a spanning forest per pair of blocks."""
-    lists = staged(_lists(classes), "neardup-lists")
+    lists = staged(_lists(classes, percent), "neardup-lists")
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     busy = lists.join(sizes, "list")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -296,13 +316,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85, id_col: str = "doc_
 
     Words are runs of anything but space and the five ASCII controls around
     tab, A-Z lower-cased; a text of fewer than five words is one shingle. Sets
-    with ``100 * intersection >= percent * union`` are linked (percent from 85
+    with ``100 * intersection >= percent * union`` are linked (percent from 80
     on); ``component_id`` is the smallest doc_id reachable. Documents without
     words, and rows without id, are linked with nothing and kept; their
     component is their own id. Rows repeated under one id each get a row.
     """
-    if percent < 85:
-        raise ValueError("the prefixes of the sketches are made for 85 percent and more")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the sketches are large enough for {LEAST_PERCENT} percent and more")
     plain = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     sketched = staged(plain.mapInArrow(_sets(False), "doc_id long, n long, sig binary, sketch array<long>"), "neardup-sketches")
     usable = sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
