@@ -1,197 +1,191 @@
 """Stupid-backoff language model scores, gathered and joined relationally.
 
-The vocabulary is the most frequent words of the whole corpus, a stated number
-of them; all other words are one class, so word counts have a fixed size and
-are broadcast. Pairs of neighbouring words are counted over all documents in a
-table partitioned by the pair, and joined to the pairs of each document. A
-document's own pairs are taken off their counts first.
+All words of all documents are counted, and all pairs of neighbouring words. A
+word is known by a 64-bit hash, a pair by those of both its words. Documents
+lie in blocks of some megabytes. A block sums up its words and pairs and sends
+one row of each to a table partitioned by the hashes, which adds them up over
+all blocks; where other blocks have more of a word or pair, the total goes
+back to the block. A document's own pairs are taken off their counts.
 
     score(w2 | w1) = c(w1 w2) / c(w1)       if others have the pair
                      0.4 * c(w2) / N        otherwise
 
-Per document, the logarithms are summed. The backed-off term of every pair is
-known where the document is; the join only brings what pairs seen elsewhere
-add to it, so pairs seen nowhere else need no row of the count table.
+Per document, the logarithms are summed. What a block gets back names its
+words and pairs by their number in the block: sorted by hash they have the
+same numbers each time the block is read.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import staged, table, whole
 
 BACKOFF = 0.4
-VOCABULARY = 1 << 16
+BLOCK_BYTES = 8 << 20  # of text, on average; a block is held by a task
+WORD = 0  # stands for the second hash in the rows of single words; no word has it
+OTHERS = 1  # hash of the class of words outside a vocabulary
 
 
-COUNTED_AT_ONCE = 200_000  # distinct words a task holds before it passes their counts on
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to words and counts; a word may come more than once."""
+def _words(text: str) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case."""
+    return text.encode().lower().split()
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        words = pa.array([w.decode() for w in counts], pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
-    counts = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(_words(text))
-            if len(counts) > COUNTED_AT_ONCE:
-                yield rows(counts)
-                counts.clear()
-    yield rows(counts)
-
-
-def word_counts(documents: DataFrame, text_col: str, size: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids from 1 of the ``size`` - 1 most frequent words and the counts of all ids; 0 is any other word."""
-    words = documents.select(whole(text_col).alias("text")).mapInArrow(_counted, "w string, n long")
-    counted = staged(words.groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "w").limit(size - 1).collect()
-    counts = np.array([total - sum(r.n for r in top), *(r.n for r in top)], np.float64)
-    return {r.w.encode(): i for i, r in enumerate(top, 1)}, counts
-
-
-def _pairs(ids, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of a document, first id * size + second, and how often it has them."""
-    return np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-
-
-KEY = "_key"  # of a document: 64 bits of its id and text
-
-
-PAIRS_AT_ONCE = 500_000  # pairs a task sums up by itself before it passes them on
-
-
-def _pair_counts(vocabulary, size: int):
-    """Documents to pairs, how often they occur and how many documents have them; a pair may come more than once."""
-
-    def rows(pairs: list, own: list) -> Iterator[pa.RecordBatch]:
-        pair, times = np.concatenate(pairs), np.concatenate(own)
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        holders = np.diff(first, append=len(pair))
-        columns = (pair[first], np.add.reduceat(times[order], first), holders)
-        summed = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["pair", "all", "holders"])
-        yield from (summed.slice(at, 65536) for at in range(0, len(first), 65536))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = vocabulary.value[0].get
-        pairs, own, held = [], [], 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found, n = _pairs(_ids(text, ids_of), size)
-                if len(found):
-                    pairs.append(found), own.append(n)
-                    held += len(found)
-                if held > PAIRS_AT_ONCE:
-                    yield from rows(pairs, own)
-                    pairs, own, held = [], [], 0
-        if held:
-            yield from rows(pairs, own)
+def word_hash(word: bytes) -> int:
+    """64 bits; WORD and OTHERS are not among them."""
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(word)
+    return value if value > OTHERS else value + 2
+
+
+@dataclass
+class Block:
+    """Counts of a block. Words are numbered by hash, pairs by the hashes of both words."""
+
+    hashes: np.ndarray  # of the words
+    word_n: np.ndarray
+    first: np.ndarray  # numbers of the words of each pair
+    second: np.ndarray
+    pair_n: np.ndarray
+    lengths: np.ndarray  # of the documents, in words
+    words: np.ndarray  # all places: the word,
+    at: np.ndarray  # where a pair begins: the place,
+    pairs: np.ndarray  # its pair,
+    own: np.ndarray  # how often the document has it,
+    document: np.ndarray  # and the document
+
+
+def counted(texts: list[str], vocabulary: np.ndarray | None = None) -> Block:
+    """Counts the words and pairs of texts; words outside the sorted ``vocabulary`` are one class."""
+    known = defaultdict()
+    known.default_factory = known.__len__
+    parts = []
+    for text in texts:
+        listed = _words(text)
+        parts.append(np.fromiter(map(known.__getitem__, listed), np.int64, len(listed)))
+    raw = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    hashed = np.fromiter(map(word_hash, known), np.uint64, len(known))
+    if vocabulary is not None:
+        hashed = np.where(np.isin(hashed, vocabulary), hashed, np.uint64(OTHERS))
+    hashes, number = np.unique(hashed, return_inverse=True)
+    words, size = number[raw], max(1, len(hashes))
+    lengths = np.array([len(p) for p in parts], np.int64)
+    document = np.repeat(np.arange(len(parts)), lengths)
+    at = np.flatnonzero(document[1:] == document[:-1])
+    distinct, pairs = np.unique(words[at] * size + words[at + 1], return_inverse=True)
+    _, place, times = np.unique(document[at] * max(1, len(distinct)) + pairs, return_inverse=True, return_counts=True)
+    return Block(
+        hashes, np.bincount(words, minlength=len(hashes)), distinct // size, distinct % size, np.bincount(pairs, minlength=len(distinct)),
+        lengths, words, at, pairs, times[place], document[at],
+    )
 
-    return run
 
+_SENT = pa.schema([("block", pa.int32()), ("i", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-def _exploded(vocabulary, size: int):
-    """Documents to their distinct pairs."""
-    schema = pa.schema([(KEY, pa.int64()), ("pair", pa.int64()), ("own", pa.int32())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = vocabulary.value[0].get
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, pairs, own = [], [], []
-                for key, text in zip(part.column(KEY).to_pylist(), part.column("text").to_pylist()):
-                    found, n = _pairs(_ids(text, ids_of), size)
-                    keys.append(np.full(len(found), key)), pairs.append(found), own.append(n)
-                columns = (np.concatenate(x) for x in (keys, pairs, own))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _sums(vocabulary):
+    def run(rows: pa.Table) -> pa.Table:
+        """A block to its words and pairs with their counts; words have the first numbers."""
+        found = counted(rows["text"].to_pylist(), vocabulary and vocabulary.value)
+        a = np.concatenate([found.hashes, found.hashes[found.first]]).view(np.int64)
+        b = np.concatenate([np.full(len(found.hashes), WORD, np.uint64), found.hashes[found.second]]).view(np.int64)
+        n = np.concatenate([found.word_n, found.pair_n])
+        columns = (np.full(len(n), rows["block"][0].as_py()), np.arange(len(n)), a, b, n)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
 
     return run
 
 
-def _words(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.encode().lower().split()
-
-
-def _ids(text: str, ids_of) -> np.ndarray:
-    return np.fromiter(map(ids_of, _words(text), repeat(0)), np.int64)
-
-
-def backed_off(counts: np.ndarray) -> np.ndarray:
-    """Logarithm of the backed-off score of each word."""
-    return np.log(BACKOFF * np.maximum(counts, 0.5) / max(counts.sum(), 1.0))
-
+_SCORED = pa.schema([
+    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_seen", pa.int64()), ("n_backed_off", pa.int64()), ("part", pa.float64()),
+])
+
+
+def _scored(vocabulary):
+    def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
+        """A block and the totals that exceed its own to scores without N."""
+        found = counted(rows["text"].to_pylist(), vocabulary and vocabulary.value)
+        n = np.concatenate([found.word_n, found.pair_n])
+        n[totals["i"].to_numpy()] = totals["total"].to_numpy()
+        one, two = n[: len(found.hashes)], n[len(found.hashes) :]
+        others = two[found.pairs] - found.own
+        seen = others > 0
+        score = np.where(
+            seen,
+            np.log(np.maximum(others, 1)) - np.log(one[found.words[found.at]]),
+            np.log(BACKOFF * one[found.words[found.at + 1]]),
+        )
+        documents = len(found.lengths)
+        n_seen = np.bincount(found.document, seen, documents).astype(np.int64)
+        columns = (
+            rows["doc_id"].combine_chunks(), found.lengths, n_seen, np.bincount(found.document, minlength=documents) - n_seen,
+            np.bincount(found.document, score, documents),
+        )
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
 
-def _bases(vocabulary):
-    """Documents to what their pairs score if all back off."""
-    schema = pa.schema([(KEY, pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("base", pa.float64())])
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, terms = vocabulary.value[0].get, backed_off(vocabulary.value[1])
-        for batch in batches:
-            ids = [_ids(t, ids_of) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(KEY), batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([float(terms[i[1:]].sum()) for i in ids], pa.float64()),
-            ], schema=schema)
 
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to words and counts; a word comes once per batch."""
+    for batch in batches:
+        counts = Counter(w for text in batch.column(0).to_pylist() for w in _words(text))
+        words = pa.array([w.decode() for w in counts], pa.string())
+        yield pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
 
-def _gain(counts: np.ndarray, size: int) -> Column:
-    """What a joined pair adds to the backed-off score; the terms of the vocabulary are literals."""
-    literal = lambda values: F.from_json(F.lit(json.dumps(values.tolist())), "array<double>")
-    context, terms = literal(np.log(np.maximum(counts, 0.5))), literal(backed_off(counts))
-    first, second = F.floor(F.col("pair") / size).cast("int"), (F.col("pair") % size).cast("int")
-    return F.col("own") * (F.ln(F.col("all") - F.col("own")) - F.get(context, first) - F.get(terms, second))
+def _most_frequent(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the ``size`` most frequent words; of equally frequent ones the first in order."""
+    words = texts.mapInArrow(_counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    top = words.orderBy(F.desc("n"), "w").limit(size).collect()
+    return np.sort(np.array([word_hash(r.w.encode()) for r in top], np.uint64))
 
 
-def lm_scores(documents: DataFrame, vocabulary_size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(
+    documents: DataFrame, vocabulary_size: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_seen, log_score, mean_log_score.
 
     ``n_seen`` counts the places whose pair another document has too. Null text
     is empty; a text of less than two words has no pair, log_score 0 and no
     mean. Rows repeated under one id with one text are documents of their own,
-    so each is seen in the other.
+    so each is seen in the other. With a ``vocabulary_size`` the words beyond
+    the ``vocabulary_size`` - 1 most frequent ones are one class.
     """
-    size = vocabulary_size
-    counts = word_counts(documents, text_col, size)
-    vocabulary = documents.sparkSession.sparkContext.broadcast(counts)
     text = whole(text_col)
-    rows = documents.select(
-        F.xxhash64(id_col, text).alias(KEY), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")
-    )
-    pairs = rows.select(KEY, "text").mapInArrow(_exploded(vocabulary, size), f"{KEY} long, pair long, own int")
-    counted = rows.select("text").mapInArrow(_pair_counts(vocabulary, size), "pair long, all long, holders long")
-    shared = counted.groupBy("pair").agg(F.sum("all").alias("all"), F.sum("holders").alias("holders")).where(F.col("holders") > 1)
-    # the counts are the smaller side, a row per pair: hashing them spares sorting all pairs of all documents
-    seen = pairs.join(shared.select("pair", "all").hint("shuffle_hash"), "pair").select(
-        KEY, F.col("own").cast("long").alias("n"), _gain(counts[1], size).alias("gain")
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # the block follows from the row alone, however often it is read
+    block = F.pmod(F.xxhash64(id_col, text), F.lit(size // block_bytes + 1)).cast("int")
+    rows = documents.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    sent = "block int, i int, a long, b long, n long"
+    vocabulary = None
+    if vocabulary_size is not None:
+        found = _most_frequent(rows.select("text"), vocabulary_size - 1)
+        vocabulary = documents.sparkSession.sparkContext.broadcast(found)
+    sums = rows.groupBy("block").applyInArrow(_sums(vocabulary), sent)
+    total = F.sum("n").over(Window.partitionBy("a", "b"))
+    totals = sums.withColumn("total", total).where(F.col("total") > F.col("n")).select("block", "i", "total")
+    scored = staged(
+        rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
+            _scored(vocabulary), "doc_id long, n_words long, n_seen long, n_backed_off long, part double"
+        ),
+        "lm-scored",
     )
-    gained = seen.groupBy(KEY).agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
-    bases = rows.mapInArrow(_bases(vocabulary), f"{KEY} long, doc_id long, n_words long, base double")
-    copies = bases.groupBy(KEY).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    # repeated rows have one key: what was joined for it is theirs in equal parts
-    joined = bases.join(gained, KEY, "left").join(copies, KEY, "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    log_score = F.round(F.col("base") + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0)), 6)
-    return joined.select(
-        "doc_id", "n_words", F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0)).alias("n_seen"),
-        log_score.alias("log_score"), F.when(F.col("n_words") > 1, log_score / (F.col("n_words") - 1)).alias("mean_log_score"),
+    everything = scored.agg(F.sum("n_words")).first()[0] or 1
+    log_score = F.round(F.col("part") - F.col("n_backed_off") * F.ln(F.lit(float(max(everything, 1)))), 6)
+    return scored.select(
+        "doc_id", "n_words", "n_seen", log_score.alias("log_score"),
+        F.when(F.col("n_words") > 1, log_score / (F.col("n_words") - 1)).alias("mean_log_score"),
     )
 
 

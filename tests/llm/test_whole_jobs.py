@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import corpus_pipeline
-from clicksieve.llm import near_dedup
+from clicksieve.llm import lm_score, near_dedup
 from tests.conftest import SF_DIR
 from tests.llm.test_dedup import documents, family, shingles
 
@@ -45,3 +47,31 @@ def test_near_copies_stage_links_at_80(spark):
     listed = near_copies()
     left = corpus_pipeline.without_near_copies(spark, documents(spark, listed), SF_DIR)
     assert {r.doc_id for r in left.collect()} == {i for i, label in components(listed, 80).items() if i == label}
+
+
+def test_lm_scores_count_every_word(spark):
+    """Rare words beyond any vocabulary: no two of the unrelated pairs of them are one pair."""
+    draw = random.Random(5)
+    frequent = " ".join(f"f{i} f{i}" for i in range(66_000))
+    texts = [frequent, *(" ".join(f"r{draw.randrange(10**9)}" for _ in range(20)) for _ in range(30)), "both here", "both here now"]
+    docs = documents(spark, list(enumerate(texts)))
+    words = [t.split() for t in texts]
+    one, own = Counter(w for t in words for w in t), [Counter(zip(t, t[1:])) for t in words]
+    two = sum(own, Counter())
+    for block_bytes in (1 << 23, 2_000):
+        got = {r.doc_id: r for r in lm_score.lm_scores(docs, block_bytes=block_bytes).collect()}
+        assert len(got) == len(texts)
+        everything = sum(one.values())
+        for i, (t, mine) in enumerate(zip(words, own)):
+            score, seen = 0.0, 0
+            for pair in zip(t, t[1:]):
+                if two[pair] > mine[pair]:
+                    score, seen = score + math.log((two[pair] - mine[pair]) / one[pair[0]]), seen + 1
+                else:
+                    score += math.log(0.4 * one[pair[1]] / everything)
+            assert (got[i].n_words, got[i].n_seen) == (len(t), seen) and abs(got[i].log_score - score) < 1e-3
+
+
+def test_lm_scores_of_repeated_rows(spark):
+    got = lm_score.lm_scores(documents(spark, [(1, "a b"), (2, "a b c"), (1, "a b")]))
+    assert [tuple(r)[:3] for r in got.orderBy("doc_id", "n_words").collect()] == [(1, 2, 1), (1, 2, 1), (2, 3, 1)]
