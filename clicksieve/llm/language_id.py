@@ -22,6 +22,7 @@ from .common import table
 WIDTHS = (2, 3, 4)
 WINDOW = 256
 UNDECIDED = "und"
+LETTER = r"\p{L}"  # what has_letter finds, for the JVM
 
 
 @dataclass
@@ -207,6 +208,43 @@ def learn(documents: DataFrame, at_most: int = 1500, id_col: str = "doc_id", tex
     return train([r.t for r in sample], [r.l for r in sample])
 
 
+BANDS = (32, 64, 128, WINDOW)  # bytes; texts of one length band are held to one least score
+MARGIN = 0.95
+
+
+def least_scores(documents: DataFrame, net: ByteNet, at_most: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[float]:
+    """Per length band, and for longer texts, MARGIN of the lowest score with which a held-out labelled text is told right.
+
+    Texts that score less are like none that the network can tell. Short texts
+    score less than long ones, so pieces of the texts stand for them. At most
+    about ``at_most`` texts of up to 20,000 characters are drawn, as for
+    training; a band without any right one has 0 and rejects nothing.
+    """
+    usable = documents.where(
+        F.col(lang_col).isNotNull() & held_out(F.col(id_col)) & F.length(text_col).between(1, 20_000)
+    )
+    rate = min(1.0, 1.2 * at_most / max(usable.count(), 1))
+    drawn = F.pmod(F.xxhash64(id_col, F.lit(19)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1
+    sample = usable.where(drawn).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * at_most).collect()
+    right = [[] for _ in range(len(BANDS) + 1)]
+    for r in sample:
+        pieces = [r.t, *(r.t[:n] for n in (8, 16, 48, 100, 200, 300))]
+        for piece, name, score in zip(pieces, *predict(net, pieces)):
+            if name == r.l:
+                right[int(np.searchsorted(BANDS, len(piece.encode()), side="right"))].append(score)
+    # no text needs more than a longer one
+    lowest = np.minimum.accumulate([min(scores, default=1.0) for scores in reversed(right)])[::-1]
+    return [MARGIN * float(low) if scores else 0.0 for low, scores in zip(lowest, right)]
+
+
+def least_score(text: Column, least: list[float]) -> Column:
+    """The least score of a text's length band."""
+    chosen = F.lit(least[-1])
+    for bound, score in reversed(list(zip(BANDS, least))):
+        chosen = F.when(F.octet_length(text) < bound, F.lit(score)).otherwise(chosen)
+    return chosen
+
+
 def op9(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     found = identify(documents, learn(documents))

@@ -6,11 +6,15 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from clicksieve.llm import lm_score, near_dedup
+from clicksieve.llm import language_id, lm_score, near_dedup
 from tests.conftest import SF_DIR
 from tests.llm.test_dedup import documents, family, shingles
 
+BIGGER = "/root/testdata/sf0.01"
+
 
 def components(texts, percent):
     sets = {i: shingles(t) for i, t in texts}
@@ -75,3 +79,20 @@ def test_lm_scores_count_every_word(spark):
 def test_lm_scores_of_repeated_rows(spark):
     got = lm_score.lm_scores(documents(spark, [(1, "a b"), (2, "a b c"), (1, "a b")]))
     assert [tuple(r)[:3] for r in got.orderBy("doc_id", "n_words").collect()] == [(1, 2, 1), (1, 2, 1), (2, 3, 1)]
+
+
+def test_language_stage_goes_by_the_network(spark):
+    """Gibberish goes, and with nothing labelled every text with a letter stays."""
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet")
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    gibberish = [" ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(60)) for _ in range(50)]
+    strange = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(gibberish)], "doc_id long, text string")
+    mixed = docs.unionByName(strange, allowMissingColumns=True)
+    left = {r.doc_id for r in corpus_pipeline.known_language(spark, mixed, BIGGER).select("doc_id").collect()}
+    assert sum(10**6 + i not in left for i in range(50)) >= 25
+    lettered = {r.doc_id for r in docs.collect() if r.text and language_id.has_letter(r.text)}
+    assert len(lettered - left) <= 0.005 * len(lettered)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, unlabelled, BIGGER)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == lettered
