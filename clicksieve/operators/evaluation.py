@@ -282,9 +282,15 @@ def _score_counts(traffic: DataFrame, score: str) -> DataFrame:
     if whole:
         block = F.shiftright("score", _BLOCK_BITS)
     else:
-        low, high = per_score.agg(F.min("score"), F.max("score")).first()
+        endless = F.isnan("score") | (F.abs("score") == float("inf"))
+        low, high = per_score.where(~endless).agg(F.min("score"), F.max("score")).first()
         even = low is None or low == high  # no ranges to cut
         block = F.lit(0) if even else F.width_bucket("score", F.lit(low), F.lit(high), F.lit(1 << _BLOCK_BITS))
+        # blocks of their own at both ends; NaN is above all, as Spark sorts it
+        last = (1 << _BLOCK_BITS) + 2
+        block = F.when(F.isnan("score"), last + 1).when(F.col("score") == float("inf"), last).when(
+            F.col("score") == float("-inf"), -1
+        ).otherwise(block)
     per_score = per_score.withColumn("_block", block.cast("bigint"))
     higher_blocks = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
