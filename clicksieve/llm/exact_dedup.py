@@ -1,10 +1,10 @@
-"""Exact dedup: a tree merge of sorted digest runs, in DataFrame functions only.
+"""Exact dedup: a salted aggregation of digests in levels, in DataFrame functions only.
 
 Every text is reduced to a digest. Rows start in ``fan ** rounds`` leaf runs.
 In round r the runs whose numbers agree in all but one base-``fan`` digit
 exchange rows: that digit of the run number is replaced by the same digit of
-the digest, and the ``fan`` sorted runs that meet are merged, keeping one row
-with the best identifier and the number of copies per digest. After the last
+the digest, and the rows of the ``fan`` runs that meet are merged by hash
+aggregation, which stands in for a merge of sorted runs, keeping one row with the best identifier and the number of copies per digest. After the last
 round a run is a digest range and every digest is in one place. The verdicts
 then go down the same tree, so a text that fills a third of the table is
 spread over all leaf runs on the way up and on the way down, and no row count
