@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, packing, quality, revisits, simhash_dedup, topk_search
+from . import byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, packing, periodic_runs, quality, revisits, simhash_dedup, topk_search
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op9_language_id": language_id.op9,
         "op10_byte_bpe": byte_bpe.op10,
         "op11_simhash_dedup": simhash_dedup.op11,
+        "op12_periodic_runs": periodic_runs.op12,
         "pipeline": corpus_pipeline.run,
     }
 
