@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, packing, periodic_runs, quality, revisits, simhash_dedup, topk_search
+from . import byte_bpe, exact_dedup, language_id, license_scan, lm_score, near_dedup, packing, periodic_runs, prefix_trie, quality, revisits, simhash_dedup, topk_search
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op10_byte_bpe": byte_bpe.op10,
         "op11_simhash_dedup": simhash_dedup.op11,
         "op12_periodic_runs": periodic_runs.op12,
+        "op13_prefix_trie": prefix_trie.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql():
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
         "op3_topk_search": topk_search.ORACLE_SQL,
         "op5_revisits": revisits.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }
