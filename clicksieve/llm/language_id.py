@@ -210,15 +210,17 @@ def learn(documents: DataFrame, at_most: int = 1500, id_col: str = "doc_id", tex
 
 BANDS = (32, 64, 128, WINDOW)  # bytes; texts of one length band are held to one least score
 MARGIN = 0.95
+LEAST_PIECES = 100  # a band with fewer right pieces says nothing about the scores to expect
 
 
 def least_scores(documents: DataFrame, net: ByteNet, at_most: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[float]:
     """Per length band, and for longer texts, MARGIN of the lowest score with which a held-out labelled text is told right.
 
-    Texts that score less are like none that the network can tell. Short texts
+    Texts that score less are unlike what the network was seen to tell, which
+    is a hint and no proof: it is the lowest of a small sample. Short texts
     score less than long ones, so pieces of the texts stand for them. At most
     about ``at_most`` texts of up to 20,000 characters are drawn, as for
-    training; a band without any right one has 0 and rejects nothing.
+    training; a band with fewer than LEAST_PIECES right pieces has 0.
     """
     usable = documents.where(
         F.col(lang_col).isNotNull() & held_out(F.col(id_col)) & F.length(text_col).between(1, 20_000)
@@ -234,7 +236,7 @@ def least_scores(documents: DataFrame, net: ByteNet, at_most: int = 500, id_col:
                 right[int(np.searchsorted(BANDS, len(piece.encode()), side="right"))].append(score)
     # no text needs more than a longer one
     lowest = np.minimum.accumulate([min(scores, default=1.0) for scores in reversed(right)])[::-1]
-    return [MARGIN * float(low) if scores else 0.0 for low, scores in zip(lowest, right)]
+    return [MARGIN * float(low) if len(scores) >= LEAST_PIECES else 0.0 for low, scores in zip(lowest, right)]
 
 
 def least_score(text: Column, least: list[float]) -> Column:

@@ -76,12 +76,12 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_force(texts):
+def brute_force(texts, percent=85):
     sets = {i: shingles(t) for i, t in texts}
     label = {i: i for i in sets}
     edges = [
         (a, b) for a in sets for b in sets
-        if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
     ]
     changed = True
     while changed:

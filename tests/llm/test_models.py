@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clicksieve.llm import language_id, packing, quality
+from clicksieve.llm.common import staged
 from tests.conftest import SF_DIR
 from tests.llm.test_dedup import ascii_lower, brute_force
 
@@ -69,6 +70,12 @@ def test_quality_odd_texts(spark):
     assert quality.score(docs, quality.learn(docs, labels)).count() == 4
 
 
+def plain_least(least, text):
+    """The least score of a text's length band, written plainly."""
+    n = len(text.encode())
+    return next((score for bound, score in zip(language_id.BANDS, least) if n < bound), least[-1])
+
+
 def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     model = quality.learn(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
@@ -77,16 +84,40 @@ def test_pipeline_against_plain_stages(spark):
         slots, values = quality.features(r.text or "")
         if model.tails((model.weights[slots] @ values).reshape(1))[0][1] >= 0.5:
             kept.append(r)
-    net = language_id.learn(spark.createDataFrame(kept, docs.schema))
-    kept = [r for r in kept if language_id.predict(net, [r.text])[0] != ["und"]]
+    good = spark.createDataFrame(kept, docs.schema)
+    net = language_id.learn(good)
+    least = language_id.least_scores(good, net)
+    told = []
+    for r in kept:
+        (name,), (score,) = language_id.predict(net, [r.text])
+        if name != "und" and (name == r.lang or score >= plain_least(least, r.text)):
+            told.append(r)
     first = {}
-    for r in sorted(kept, key=lambda r: r.doc_id):
+    for r in sorted(told, key=lambda r: r.doc_id):
         first.setdefault(ascii_lower(r.text or ""), r)
-    left = {i for i, _, _, stays in brute_force([(r.doc_id, r.text) for r in first.values()]) if stays}
+    left = {i for i, _, _, stays in brute_force([(r.doc_id, r.text) for r in first.values()], 80) if stays}
     got = corpus_pipeline.run(spark, SF_DIR)
     assert {r.doc_id for r in got.select("doc_id").collect()} == left and 0 < len(left) < docs.count()
 
 
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_language_stage_keeps_what_it_tells_rightly(spark, scale):
+    """In the pipeline's own order of stages; lettered texts of the language they are labelled."""
+    sf_dir = f"/root/testdata/sf{scale}"
+    docs = staged(corpus_pipeline.good_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir), "quality-kept")
+    told = language_id.identify(docs, language_id.learn(docs), keep=["lang"]).where("lang_pred = lang")
+    stayed = corpus_pipeline.known_language(spark, docs, sf_dir)
+    assert told.join(stayed, "doc_id", "left_anti").count() == 0
+
+
+def test_language_stage_drops_what_fits_no_language(spark):
+    docs = spark.read.parquet(f"{BIGGER}/documents.parquet")
+    odd = [(10_000_000, "12 34 -- !!", "en"), (10_000_001, None, "en"), (10_000_002, "", None)]
+    more = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in odd], docs.schema)
+    stayed = corpus_pipeline.known_language(spark, docs.unionByName(more), BIGGER)
+    assert stayed.where("doc_id >= 10000000").count() == 0
+
+
 def test_stages_keep_columns_and_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, "the good and the fine text", "en", "s", 3, "x", 1.0), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, "y", 2.0),
