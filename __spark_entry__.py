@@ -11,7 +11,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,6 +22,7 @@ from clicksieve.functions.columns import flatten_for_export  # noqa: E402
 from clicksieve.operators import (  # noqa: E402
     alerts,
     evaluation,
+    fused,
     reporting,
     scoring,
     staged_filters,
@@ -29,10 +30,10 @@ from clicksieve.operators import (  # noqa: E402
     velocity,
     volume,
 )
-from clicksieve.plans import jobs  # noqa: E402
-from clicksieve.rules import STRICT_ACTIONS, StagedFilterRules  # noqa: E402
+from clicksieve.plans import gold, jobs  # noqa: E402
+from clicksieve.rules import BLOCK, DISMISSED, ESCALATED, EXECUTED, PENDING, STRICT_ACTIONS, StagedFilterRules  # noqa: E402
 from clicksieve.session import configure, work_folder  # noqa: E402
-from clicksieve.sources import adapters, bid_logs  # noqa: E402
+from clicksieve.sources import adapters, bid_logs, tables  # noqa: E402
 from clicksieve.streaming import detect, sinks  # noqa: E402
 
 try:
@@ -70,7 +71,7 @@ def _velocity(spark, d):
 
 
 def _suspects(spark, d):
-    return suspects.suspect_ips(_recent(spark, d), AS_OF)
+    return fused.suspect_ips(_recent(spark, d), AS_OF)
 
 
 def _scores(spark, d):
@@ -85,10 +86,56 @@ def _history(spark, d):
     return jobs.alert_history(_logs(spark, d))
 
 
+_STORES: dict[tuple[str, str], gold.AlertStore] = {}
+
+
+def _new_store(spark, d) -> gold.AlertStore:
+    """A kept alert table, filled in two runs: first without the last day of the logs, then with it."""
+    folder = work_folder(spark, "gold")
+    layout = f"{folder}/logs"
+    store = gold.AlertStore(spark, f"{folder}/store")
+    before = F.col("timestamp") < F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
+    bid_logs.write_layout(_logs(spark, d).where(before), layout, LAYOUT_FILES)
+    store.backfill(layout)
+    bid_logs.write_layout(_logs(spark, d).where(~before), layout, LAYOUT_FILES, mode="append")
+    store.backfill(layout)
+    return store
+
+
+def _expired() -> Column:
+    return F.col("expires_at") <= F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _store(spark, d) -> gold.AlertStore:
+    """The kept table that the pages of one application read; blocks are executed and old alerts dismissed."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = _new_store(spark, d)
+        store.change("1-blocks", F.col("final_action") == BLOCK, EXECUTED, "auto", AS_OF)
+        store.change("2-clean-up", _expired(), DISMISSED, "clean-up", AS_OF)
+        store.fold()
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def _worked(spark, d):
-    executed = alerts.execute_all_blocks(_history(spark, d), "auto", AS_OF)
-    expired = F.col("expires_at") <= F.lit(AS_OF).cast("timestamp_ntz")
-    return alerts.dismiss(executed, expired, "clean-up", AS_OF)
+    return _store(spark, d).current().drop(gold.DAY)
+
+
+def _status_changes(spark, d):
+    """Changes of three kinds, some folded into the table and some only recorded."""
+    store = _new_store(spark, d)
+    store.change("1-blocks", F.col("final_action") == BLOCK, EXECUTED, "auto", AS_OF)
+    store.fold()
+    store.change("2-escalate", F.col("priority") == "MEDIUM", ESCALATED, "analyst", AS_OF)
+    store.change("3-clean-up", _expired(), DISMISSED, "clean-up", AS_OF, only_from=(PENDING, ESCALATED))
+    return store.current().select("alert_id", "priority", "final_action", "action_status", "actioned_by", "actioned_at")
+
+
+def _expired_cleanup(spark, d):
+    store = _new_store(spark, d)
+    store.expire(AS_OF)
+    return store.stored().select("alert_id", F.col(gold.DAY).alias("event_day"), "final_action", "expires_at")
 
 
 def _traffic(spark, d):
@@ -219,11 +266,14 @@ def _without_trusted(spark, d):
 
 
 def _fraud_filter(spark, d):
-    speed = velocity.velocity_metrics(_recent(spark, d)).select(
+    # all addresses' metrics are written once; suspects and speeds come from there
+    metrics = tables.overwrite(fused.detector_metrics(_recent(spark, d)), work_folder(spark, "metrics"))
+    found = suspects.finish_suspects(suspects.merge_suspects(fused.combined_suspects(metrics)), AS_OF)
+    speed = fused.velocity_metrics(metrics).select(
         "ip_address",
         (F.col("ultra_fast_clicks").cast("double") / F.col("total_clicks")).alias("bot_probability"),
     )
-    joined = _scores(spark, d).join(speed, "ip_address", "left")
+    joined = scoring.risk_scores(found, AS_OF).join(speed, "ip_address", "left")
     return staged_filters.fraud_filter(joined, F.col("bot_probability")).select(
         "ip_address", "risk_score", "velocity_score", "bot_probability"
     )
@@ -286,6 +336,8 @@ _QUERIES: dict[str, Query] = {
     "bulk_status_update": lambda s, d: _worked(s, d).select(
         "alert_id", "final_action", "action_status", "actioned_by", "actioned_at"
     ),
+    "status_changes": _status_changes,
+    "expired_cleanup": _expired_cleanup,
     "unexpired_alerts": lambda s, d: alerts.unexpired(_history(s, d), AS_OF).select("alert_id", "expires_at"),
     "masked_alerts": _masked,
     # staged filters

@@ -17,7 +17,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicksieve.operators import alerts, scoring, suspects, velocity, volume
+from clicksieve.operators import alerts, fused, scoring, velocity, volume
 from clicksieve.session import local_session
 from clicksieve.sources import adapters, bid_logs
 
@@ -80,9 +80,9 @@ def main(argv: list[str]) -> None:
         "volume": lambda: volume.volume_metrics(logs),
         "velocity": lambda: velocity.velocity_metrics(logs),
         "window": lambda: plain_window(logs),
-        "suspects": lambda: suspects.suspect_ips(logs, adapters.AS_OF),
+        "suspects": lambda: fused.suspect_ips(logs, adapters.AS_OF),
         "alerts": lambda: alerts.actionable_alerts(
-            scoring.risk_scores(suspects.suspect_ips(logs, adapters.AS_OF), adapters.AS_OF), adapters.AS_OF
+            scoring.risk_scores(fused.suspect_ips(logs, adapters.AS_OF), adapters.AS_OF), adapters.AS_OF
         ),
     }
     for step in steps:

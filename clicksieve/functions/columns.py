@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,18 @@ def flag_list(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs]))
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """What a detector says of an address: whether it is caught, all flags, the strongest reason."""
+
+    caught: Column
+    flags: Column
+    reason: Column
+
+    def kept(self, metrics: DataFrame) -> DataFrame:
+        return metrics.where(self.caught).withColumns({"fraud_flags": self.flags, "fraud_reason": self.reason})
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """Plain ratio as double; NULL, not an error, for an empty denominator."""
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicksieve.functions.columns import AsOf, as_timestamp
-from clicksieve.operators.velocity import flag_high_velocity, velocity_metrics
-from clicksieve.operators.volume import flag_high_volume, volume_metrics
+from clicksieve.functions.columns import AsOf, Verdict, as_timestamp
 from clicksieve.rules import DETECTION, DetectionRules
 
 ADDRESS = ("ip_address",)
@@ -21,26 +19,27 @@ def combine_detectors(volume: DataFrame, velocity: DataFrame, keys: Sequence[str
     No ``distinct``: each side has one row per address and the method name
     differs, so duplicates cannot exist.
     """
-    shared = ["fraud_flags", "fraud_reason", "country_code", "device_type", "first_seen", "last_seen"]
-    from_volume = volume.select(
-        *keys,
-        F.col("total_events").alias("total_clicks"),
-        "distinct_uas",
-        F.lit(None).cast("bigint").alias("fastest_click_ms"),
-        F.lit(None).cast("double").alias("avg_click_interval_ms"),
-        *shared,
-        F.lit("HIGH_VOLUME").alias("detection_method"),
+    def laid_out(suspects: DataFrame, method: str) -> DataFrame:
+        verdict = Verdict(F.lit(True), F.col("fraud_flags"), F.col("fraud_reason"))
+        return suspects.select(*keys, F.inline(F.array(combined_row(method, F.col, verdict))))
+
+    return laid_out(volume, "HIGH_VOLUME").unionByName(laid_out(velocity, "HIGH_VELOCITY"))
+
+
+def combined_row(method: str, value: Callable[[str], Column], verdict: Verdict) -> Column:
+    """A detector's find in the layout that both share, as a struct; ``value`` gives its metrics."""
+    by_volume = method == "HIGH_VOLUME"
+    missing, no_mean = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    return F.struct(
+        value("total_events" if by_volume else "total_clicks").alias("total_clicks"),
+        (value("distinct_uas") if by_volume else missing).alias("distinct_uas"),
+        (missing if by_volume else value("fastest_click_ms")).alias("fastest_click_ms"),
+        (no_mean if by_volume else value("avg_click_interval_ms")).alias("avg_click_interval_ms"),
+        verdict.flags.alias("fraud_flags"),
+        verdict.reason.alias("fraud_reason"),
+        *[value(c).alias(c) for c in ("country_code", "device_type", "first_seen", "last_seen")],
+        F.lit(method).alias("detection_method"),
     )
-    from_velocity = velocity.select(
-        *keys,
-        "total_clicks",
-        F.lit(None).cast("bigint").alias("distinct_uas"),
-        "fastest_click_ms",
-        "avg_click_interval_ms",
-        *shared,
-        F.lit("HIGH_VELOCITY").alias("detection_method"),
-    )
-    return from_volume.unionByName(from_velocity)
 
 
 def merge_suspects(combined: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFrame:
@@ -89,22 +88,6 @@ def finish_suspects(merged: DataFrame, detected_at: AsOf, rules: DetectionRules
     )
 
 
-def suspect_ips(
-    logs: DataFrame,
-    detected_at: AsOf,
-    rules: DetectionRules = DETECTION,
-    keys: Sequence[str] = ADDRESS,
-) -> DataFrame:
-    """Logs to suspects in one plan.
-
-    Each detector filters before the merge, so the last exchange carries only
-    suspects, well under one percent of the addresses.
-    """
-    volume = flag_high_volume(volume_metrics(logs, keys), rules)
-    velocity = flag_high_velocity(velocity_metrics(logs, keys, rules), rules)
-    return finish_suspects(merge_suspects(combine_detectors(volume, velocity, keys), keys), detected_at, rules)
-
-
 def filtering_summary(suspects: DataFrame) -> DataFrame:
     return suspects.agg(
         F.lit("FILTERING_COMPLETE").alias("status"),

@@ -17,12 +17,12 @@ the clock and not by the traffic. The same argument bounds the exact median:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clicksieve.functions.columns import flag_list, millis
+from clicksieve.functions.columns import Verdict, flag_list, millis
 from clicksieve.rules import DETECTION, DetectionRules
 
 ADDRESS = ("ip_address",)
@@ -117,70 +117,87 @@ def velocity_metrics(
     below 2**53, so the double sum is exact and does not depend on the order in
     which tasks finish, and only the difference per address needs decimals.
     """
-    gap, clicks = F.col("gap_ms"), F.col("clicks")
-    wide_gap = gap.cast("double")
     grouped = gap_counts(logs, keys, slice_seconds).groupBy(*keys).agg(
-        F.sum(clicks).alias("total_clicks"),
-        F.min(gap).alias("fastest_click_ms"),
-        F.sum(gap * clicks).alias("_gap_sum"),
-        F.sum(wide_gap * wide_gap * clicks).alias("_gap_sq"),
-        F.percentile(gap, F.lit(0.5), clicks).alias("median_click_ms"),
-        F.sum(F.when(gap < rules.ultra_fast_gap_ms, clicks).otherwise(0)).alias("ultra_fast_clicks"),
-        F.sum(F.when(gap < rules.very_fast_gap_ms, clicks).otherwise(0)).alias("very_fast_clicks"),
-        F.min("country_code").alias("country_code"),
-        F.min("device_type").alias("device_type"),
-        F.min("first_ts").alias("first_seen"),
-        F.max("last_ts").alias("last_seen"),
+        *[column.alias(name) for name, column in gap_sums(rules).items()]
     )
+    return grouped.select(*keys, *[column.alias(name) for name, column in gap_statistics().items()])
+
+
+def gap_sums(rules: DetectionRules = DETECTION, only: Column | None = None) -> dict[str, Column]:
+    """Aggregates over the rows of ``gap_counts``, or over those rows of a frame where ``only`` holds."""
+
+    def of(value: Column) -> Column:
+        return value if only is None else F.when(only, value)
+
+    gap, clicks = F.col("gap_ms"), F.col("clicks")
+    wide_gap = gap.cast("double")
+    return {
+        "total_clicks": F.sum(of(clicks)),
+        "fastest_click_ms": F.min(of(gap)),
+        "_gap_sum": F.sum(of(gap * clicks)),
+        "_gap_sq": F.sum(of(wide_gap * wide_gap * clicks)),
+        # rows without a gap do not count in a percentile
+        "median_click_ms": F.percentile(of(gap), F.lit(0.5), clicks),
+        "ultra_fast_clicks": F.sum(of(F.when(gap < rules.ultra_fast_gap_ms, clicks).otherwise(0))),
+        "very_fast_clicks": F.sum(of(F.when(gap < rules.very_fast_gap_ms, clicks).otherwise(0))),
+        "country_code": F.min(of(F.col("country_code"))),
+        "device_type": F.min(of(F.col("device_type"))),
+        "first_seen": F.min(of(F.col("first_ts"))),
+        "last_seen": F.max(of(F.col("last_ts"))),
+    }
+
+
+def gap_statistics() -> dict[str, Column]:
+    """The metrics of an address from its ``gap_sums``."""
     n, total = F.col("total_clicks"), F.col("_gap_sum")
     exact_total = total.cast("decimal(18,0)")
     spread = F.col("_gap_sq").cast("decimal(25,0)") * n.cast("decimal(13,0)") - exact_total * exact_total
     pairs = n.cast("double") * (n - 1).cast("double")
     variance = F.greatest(spread.cast("double"), F.lit(0.0)) / F.nullif(pairs, F.lit(0.0))
-    return grouped.select(
-        *keys,
-        "total_clicks",
-        "fastest_click_ms",
-        (total.cast("double") / n.cast("double")).alias("avg_click_interval_ms"),
-        "median_click_ms",
-        F.sqrt(variance).alias("click_interval_stddev"),
-        "ultra_fast_clicks",
-        "very_fast_clicks",
-        "country_code",
-        "device_type",
-        "first_seen",
-        "last_seen",
+    plain = (
+        "ultra_fast_clicks", "very_fast_clicks", "country_code", "device_type", "first_seen", "last_seen",
     )
-
-
-def flag_high_velocity(metrics: DataFrame, rules: DetectionRules = DETECTION) -> DataFrame:
-    """Keep addresses over any entry cut-off and say why. Speed flags add up."""
-    fastest, ultra = F.col("fastest_click_ms"), F.col("ultra_fast_clicks")
+    return {
+        "total_clicks": n,
+        "fastest_click_ms": F.col("fastest_click_ms"),
+        "avg_click_interval_ms": total.cast("double") / n.cast("double"),
+        "median_click_ms": F.col("median_click_ms"),
+        "click_interval_stddev": F.sqrt(variance),
+    } | {name: F.col(name) for name in plain}
+
+
+def velocity_verdict(value: Callable[[str], Column] = F.col, rules: DetectionRules = DETECTION) -> Verdict:
+    """Whether metrics are over any entry cut-off, and why. Speed flags add up."""
+    fastest, ultra = value("fastest_click_ms"), value("ultra_fast_clicks")
     inhuman = fastest < rules.inhuman_gap_ms
     bot_like = fastest < rules.ultra_fast_gap_ms
     suspicious = fastest < rules.very_fast_gap_ms
     repeated = ultra > rules.repeated_ultra_fast
-    sustained = F.col("avg_click_interval_ms") < rules.sustained_avg_gap_ms
-    return metrics.where(suspicious | repeated | sustained).withColumns(
-        {
-            "fraud_flags": flag_list(
-                (inhuman, "INHUMAN_SPEED"),
-                (bot_like, "BOT_LIKE_SPEED"),
-                (suspicious, "SUSPICIOUS_SPEED"),
-                (repeated, "REPEATED_ULTRA_FAST"),
-                (sustained, "CONSISTENTLY_FAST"),
-            ),
-            "fraud_reason": F.coalesce(
-                F.when(inhuman, "INHUMAN_VELOCITY_BOT"),
-                F.when(bot_like, "HIGH_VELOCITY_BOT"),
-                F.when(suspicious, "SUSPICIOUS_VELOCITY"),
-                F.when(repeated, "REPEATED_FAST_PATTERN"),
-                F.lit("VELOCITY_ANOMALY"),
-            ),
-        }
+    sustained = value("avg_click_interval_ms") < rules.sustained_avg_gap_ms
+    return Verdict(
+        suspicious | repeated | sustained,
+        flag_list(
+            (inhuman, "INHUMAN_SPEED"),
+            (bot_like, "BOT_LIKE_SPEED"),
+            (suspicious, "SUSPICIOUS_SPEED"),
+            (repeated, "REPEATED_ULTRA_FAST"),
+            (sustained, "CONSISTENTLY_FAST"),
+        ),
+        F.coalesce(
+            F.when(inhuman, "INHUMAN_VELOCITY_BOT"),
+            F.when(bot_like, "HIGH_VELOCITY_BOT"),
+            F.when(suspicious, "SUSPICIOUS_VELOCITY"),
+            F.when(repeated, "REPEATED_FAST_PATTERN"),
+            F.lit("VELOCITY_ANOMALY"),
+        ),
     )
 
 
+def flag_high_velocity(metrics: DataFrame, rules: DetectionRules = DETECTION) -> DataFrame:
+    """Keep addresses over any entry cut-off and say why."""
+    return velocity_verdict(rules=rules).kept(metrics)
+
+
 def high_velocity_suspects(
     logs: DataFrame, rules: DetectionRules = DETECTION, keys: Sequence[str] = ADDRESS
 ) -> DataFrame:

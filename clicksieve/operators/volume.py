@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicksieve.functions.columns import flag_list
+from clicksieve.functions.columns import Verdict, flag_list
 from clicksieve.rules import DETECTION, DetectionRules
 
 ADDRESS = ("ip_address",)
+# Counted columns and the names of their distinct counts.
+COUNTED = {"user_agent": "distinct_uas", "campaign_id": "distinct_campaigns", "publisher_id": "distinct_publishers"}
 
 
 def volume_metrics(logs: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFrame:
@@ -25,8 +27,7 @@ def volume_metrics(logs: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFrame:
     a ``min`` of a string any earlier would make Spark sort the rows instead of
     hashing them.
     """
-    place, counted = ["country_code", "device_type"], ["user_agent", "campaign_id", "publisher_id"]
-    names = {"user_agent": "distinct_uas", "campaign_id": "distinct_campaigns", "publisher_id": "distinct_publishers"}
+    place, counted, names = ["country_code", "device_type"], list(COUNTED), COUNTED
     sets = [[*keys, *place]] + [[*keys, c] for c in counted]
     per_value = logs.groupingSets(sets, *keys, *place, *counted).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -55,38 +56,42 @@ def volume_metrics(logs: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFrame:
     )
 
 
-def flag_high_volume(metrics: DataFrame, rules: DetectionRules = DETECTION) -> DataFrame:
-    """Keep addresses over any entry cut-off and say why.
+def volume_verdict(value: Callable[[str], Column] = F.col, rules: DetectionRules = DETECTION) -> Verdict:
+    """Whether metrics are over any entry cut-off, and why.
 
     Many publishers alone raise a flag but do not make a suspect.
     """
-    events, uas = F.col("total_events"), F.col("distinct_uas")
-    campaigns, publishers = F.col("distinct_campaigns"), F.col("distinct_publishers")
+    events, uas = value("total_events"), value("distinct_uas")
+    campaigns, publishers = value("distinct_campaigns"), value("distinct_publishers")
     high, rotating, spam = (
         events > rules.high_volume_events,
         uas > rules.rotating_uas,
         campaigns > rules.many_campaigns,
     )
-    return metrics.where(high | rotating | spam).withColumns(
-        {
-            "fraud_flags": flag_list(
-                (high, "HIGH_VOLUME"),
-                (rotating, "UA_ROTATION"),
-                (spam, "CAMPAIGN_SPAM"),
-                (publishers > rules.many_publishers, "PUBLISHER_HOPPING"),
-            ),
-            "fraud_reason": F.coalesce(
-                F.when(events > rules.extreme_volume_events, "EXTREME_HIGH_VOLUME"),
-                F.when(high, "HIGH_VOLUME_SUSPECT"),
-                F.when(uas > rules.aggressive_uas, "AGGRESSIVE_UA_ROTATION"),
-                F.when(rotating, "UA_ROTATION_BOT"),
-                F.when(spam, "CAMPAIGN_SPAMMER"),
-                F.lit("VOLUME_ANOMALY"),
-            ),
-        }
+    return Verdict(
+        high | rotating | spam,
+        flag_list(
+            (high, "HIGH_VOLUME"),
+            (rotating, "UA_ROTATION"),
+            (spam, "CAMPAIGN_SPAM"),
+            (publishers > rules.many_publishers, "PUBLISHER_HOPPING"),
+        ),
+        F.coalesce(
+            F.when(events > rules.extreme_volume_events, "EXTREME_HIGH_VOLUME"),
+            F.when(high, "HIGH_VOLUME_SUSPECT"),
+            F.when(uas > rules.aggressive_uas, "AGGRESSIVE_UA_ROTATION"),
+            F.when(rotating, "UA_ROTATION_BOT"),
+            F.when(spam, "CAMPAIGN_SPAMMER"),
+            F.lit("VOLUME_ANOMALY"),
+        ),
     )
 
 
+def flag_high_volume(metrics: DataFrame, rules: DetectionRules = DETECTION) -> DataFrame:
+    """Keep addresses over any entry cut-off and say why."""
+    return volume_verdict(rules=rules).kept(metrics)
+
+
 def high_volume_suspects(
     logs: DataFrame, rules: DetectionRules = DETECTION, keys: Sequence[str] = ADDRESS
 ) -> DataFrame:

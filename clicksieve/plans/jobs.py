@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clicksieve.functions.columns import AsOf
 from clicksieve.operators import alerts as alert_ops
-from clicksieve.operators import evaluation, scoring, suspects, velocity, volume
+from clicksieve.operators import evaluation, fused, scoring, suspects, velocity, volume
 from clicksieve.rules import ACTIONS, DETECTION, EVALUATION, SCORING, ActionRules, DetectionRules, EvaluationRules, ScoringRules
 from clicksieve.sources import bid_logs, tables
 
@@ -29,10 +29,11 @@ class Tables:
     scores: str
     alerts: str
     performance: str
+    metrics: str
 
     @staticmethod
     def under(folder: str) -> "Tables":
-        names = ("high_volume", "high_velocity", "suspects", "scores", "alerts", "performance")
+        names = ("high_volume", "high_velocity", "suspects", "scores", "alerts", "performance", "metrics")
         return Tables(**{n: f"{folder.rstrip('/')}/{n}" for n in names})
 
 
@@ -51,10 +52,11 @@ def _rows(df: DataFrame) -> list[dict]:
 def run_filtering(
     logs: DataFrame, out: Tables, as_of: AsOf, rules: DetectionRules = DETECTION
 ) -> JobResult:
-    """Logs to suspects. Both detectors' tables are written, then merged from disk."""
+    """Logs to suspects. The logs are read once, for the metrics of all addresses; the detectors work on these."""
     recent = bid_logs.trailing_window(logs, as_of, rules)
-    by_volume = tables.overwrite(volume.high_volume_suspects(recent, rules), out.high_volume)
-    by_velocity = tables.overwrite(velocity.high_velocity_suspects(recent, rules), out.high_velocity)
+    metrics = tables.overwrite(fused.detector_metrics(recent, rules=rules), out.metrics)
+    by_volume = tables.overwrite(volume.flag_high_volume(fused.volume_metrics(metrics), rules), out.high_volume)
+    by_velocity = tables.overwrite(velocity.flag_high_velocity(fused.velocity_metrics(metrics), rules), out.high_velocity)
     merged = suspects.merge_suspects(suspects.combine_detectors(by_volume, by_velocity))
     written = tables.overwrite(suspects.finish_suspects(merged, as_of, rules), out.suspects)
     return JobResult(
@@ -139,9 +141,6 @@ def alert_history(logs: DataFrame, rules: DetectionRules = DETECTION) -> DataFra
     """
     keys = ("ip_address", "event_day")
     dated = logs.withColumn("event_day", F.col("timestamp").cast("date"))
-    by_volume = volume.high_volume_suspects(dated, rules, keys)
-    by_velocity = velocity.high_velocity_suspects(dated, rules, keys)
-    merged = suspects.merge_suspects(suspects.combine_detectors(by_volume, by_velocity, keys), keys)
-    found = suspects.finish_suspects(merged, F.col("last_seen"), rules)
+    found = fused.suspect_ips(dated, F.col("last_seen"), rules, keys)
     scored = scoring.risk_scores(found, F.col("last_seen"))
     return alert_ops.actionable_alerts(scored, F.col("detected_at"))

@@ -92,7 +92,7 @@ def trailing_window(df: DataFrame, as_of: AsOf, rules: DetectionRules = DETECTIO
 ROWS_PER_FILE = 20_000_000
 
 
-def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS_PER_FILE) -> None:
+def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> None:
     """Store logs by date, clustered on address and time inside each date.
 
     Range partitioning on (date, address, time) cuts a hot address into several
@@ -105,5 +105,5 @@ def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS
     dated = df.withColumn(EVENT_DATE, F.col("timestamp").cast("date"))
     order = [EVENT_DATE, "ip_address", "timestamp"]
     ranged = dated.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    writer = ranged.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    writer = ranged.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(EVENT_DATE).parquet(path)

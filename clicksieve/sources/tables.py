@@ -31,20 +31,45 @@ def overwrite(df: DataFrame, target: str) -> DataFrame:
     return read(spark, target)
 
 
+class Files:
+    """Folders of whatever file system the paths are on."""
+
+    def __init__(self, spark: SparkSession):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _on(self, path: str):
+        return self._path(path).getFileSystem(self._conf)
+
+    def exists(self, path: str) -> bool:
+        return self._on(path).exists(self._path(path))
+
+    def rename(self, old: str, new: str) -> bool:
+        return self._on(old).rename(self._path(old), self._path(new))
+
+    def delete(self, path: str) -> None:
+        self._on(path).delete(self._path(path), True)
+
+    def partitions(self, path: str, column: str) -> list[str]:
+        """Values of a partition column, from the names of the folders right under ``path``."""
+        if not self.exists(path):
+            return []
+        names = [s.getPath().getName() for s in self._on(path).listStatus(self._path(path)) if s.isDirectory()]
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
+
 def _replace(spark: SparkSession, fresh: str, target: str) -> None:
     """Puts a complete folder where the old one was; the old one goes last."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    old = path(f"{fresh}-old")
-    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had_one = files.exists(path(target))
-    if had_one and not files.rename(path(target), old):
+    files, old = Files(spark), f"{fresh}-old"
+    had_one = files.exists(target)
+    if had_one and not files.rename(target, old):
         raise OSError(f"{target} could not be set aside; the new rows are in {fresh}")
-    if not files.rename(path(fresh), path(target)):
+    if not files.rename(fresh, target):
         if had_one:
-            files.rename(old, path(target))
+            files.rename(old, target)
         raise OSError(f"{target} could not be replaced; the new rows are in {fresh}")
     if had_one:
-        files.delete(old, True)
+        files.delete(old)
     spark.catalog.refreshByPath(target)
 
 

@@ -453,6 +453,14 @@ def oracle_sql() -> dict[str, str]:
     sql["alert_history"] = f"{_HISTORY} SELECT * FROM alerts"
     sql["bulk_status_update"] = f"""{_WORKED}
       SELECT alert_id, final_action, action_status, actioned_by, actioned_at FROM worked"""
+    sql["status_changes"] = f"""{_HISTORY}, changed AS (
+        SELECT *, CASE WHEN final_action = 'BLOCK_IP_IMMEDIATELY' THEN 'EXECUTED' WHEN expires_at <= {AS_OF} THEN 'DISMISSED'
+                       WHEN priority = 'MEDIUM' THEN 'ESCALATED' ELSE 'PENDING' END AS now_status FROM alerts)
+      SELECT alert_id, priority, final_action, now_status AS action_status,
+             CASE now_status WHEN 'EXECUTED' THEN 'auto' WHEN 'DISMISSED' THEN 'clean-up' WHEN 'ESCALATED' THEN 'analyst' END AS actioned_by,
+             CASE WHEN now_status <> 'PENDING' THEN {AS_OF} END AS actioned_at FROM changed"""
+    sql["expired_cleanup"] = f"""{_HISTORY}
+      SELECT alert_id, cast(created_at AS DATE) AS event_day, final_action, expires_at FROM alerts WHERE expires_at > {AS_OF}"""
     sql["unexpired_alerts"] = f"{_HISTORY} SELECT alert_id, expires_at FROM alerts WHERE expires_at > {AS_OF}"
     sql["masked_alerts"] = f"""{_HISTORY}
       SELECT sha256(ip_address || 'pepper') AS ip_address,

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from clicksieve.operators import suspects, velocity, volume
+from clicksieve.operators import fused, velocity, volume
 from clicksieve.sources import adapters, bid_logs
 from tests.conftest import SF_DIR
 
@@ -51,10 +51,21 @@ def test_scan_is_filtered_and_narrow(stored):
 
 
 def test_no_python_in_the_main_path(spark):
-    text = plan(suspects.suspect_ips(adapters.bid_logs(spark, SF_DIR), adapters.AS_OF))
+    text = plan(fused.suspect_ips(adapters.bid_logs(spark, SF_DIR), adapters.AS_OF))
     assert "Python" not in text and "Arrow" not in text
 
 
+def test_both_detectors_share_one_scan_and_one_exchange_of_raw_rows(stored):
+    found = fused.suspect_ips(stored, adapters.AS_OF)
+    assert plan(found).count("FileScan") == 1
+    last, middle, raw = exchanges(found)
+    assert "_slice" in raw and "ip_address" in raw
+    assert "value" in middle and "_slice" not in middle and "value" not in last
+    # what travels on has been summed up where the raw rows were dealt to
+    between = plan(found).split("Exchange hashpartitioning(ip_address", 2)[2].split("Exchange", 1)[0]
+    assert "HashAggregate" in between and "Window" in between and "Generate" in between
+
+
 @pytest.mark.parametrize("name", [n for n in entry._QUERIES if not n.startswith("stream") and n not in
                                   ("json_ingest", "dated_layout", "stored_alerts")])
 def test_no_cross_joins(spark, name):

@@ -102,11 +102,11 @@ def test_history_equals_one_run_per_day(spark, make_logs):
     logs = make_logs(events)
     history = jobs.alert_history(logs).select("ip_address", F.to_date("created_at").alias("d"), "risk_score", "total_clicks")
     daily = []
-    from clicksieve.operators import scoring, suspects
+    from clicksieve.operators import fused, scoring
 
     for day in ("2024-01-30", "2024-01-31", "2024-02-01"):
         one = logs.where(F.to_date("timestamp") == F.lit(day).cast("date"))
-        scored = scoring.risk_scores(suspects.suspect_ips(one, day), day)
+        scored = scoring.risk_scores(fused.suspect_ips(one, day), day)
         daily.append(scored.select("ip_address", F.lit(day).cast("date").alias("d"), "risk_score", "total_clicks"))
     assert rows(history) == rows(daily[0].union(daily[1]).union(daily[2]))
     assert history.where("ip_address = 'edge'").count() == 0

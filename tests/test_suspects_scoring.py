@@ -3,15 +3,16 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from clicksieve.operators import scoring, suspects
+from clicksieve.operators import fused, scoring, suspects, velocity, volume
 from clicksieve.rules import SCORING
+from tests.conftest import rows
 
 AS_OF = "2024-01-31 00:00:00"
 
 
 def test_address_caught_by_both_detectors(make_logs):
     logs = make_logs([("both", i * 20, {"user_agent": f"u{i % 8}"}) for i in range(1200)] + [("quiet", 1), ("quiet", 90_000)])
-    found = suspects.suspect_ips(logs, AS_OF).collect()
+    found = fused.suspect_ips(logs, AS_OF).collect()
     assert [r.ip_address for r in found] == ["both"]
     row = found[0]
     assert (row.total_clicks, row.events_total) == (1200 + 1199, 1200)
@@ -23,14 +24,32 @@ def test_address_caught_by_both_detectors(make_logs):
     )
 
 
+@pytest.mark.parametrize("slice_seconds", [1, 60, 3600])
+def test_one_scan_gives_what_the_detectors_give_apart(make_logs, slice_seconds):
+    """A hot address with many values, values that come back, missing values and addresses, single events."""
+    hot = [("hot", i * 37 % 90_000, {"user_agent": f"u{i % 5 // 2}", "campaign_id": f"c{i}", "publisher_id": None}) for i in range(2000)]
+    mixed = [(f"a{i % 9}", i * i * 911 % 5_000_000, {"user_agent": [None, "x", "y"][i % 3], "country_code": "UDC"[i % 3]}) for i in range(300)]
+    logs = make_logs(hot + mixed + [("single", 7), ("none", 1), ("none", 5), ("none", 5), ("same", 3), ("same", 3)])
+    logs = logs.withColumn("ip_address", F.nullif("ip_address", F.lit("none")))
+    metrics = fused.detector_metrics(logs, slice_seconds=slice_seconds)
+    apart = {"volume": volume.volume_metrics(logs), "velocity": velocity.velocity_metrics(logs)}
+    together = {"volume": fused.volume_metrics(metrics), "velocity": fused.velocity_metrics(metrics)}
+    for name, df in apart.items():
+        assert together[name].columns == df.columns and rows(together[name]) == rows(df)
+    merged = suspects.merge_suspects(
+        suspects.combine_detectors(volume.flag_high_volume(apart["volume"]), velocity.flag_high_velocity(apart["velocity"]))
+    )
+    assert rows(fused.suspect_ips(logs, AS_OF)) == rows(suspects.finish_suspects(merged, AS_OF)) and merged.count() > 1
+
+
 def test_volume_only_suspect_shows_no_gaps(make_logs):
     logs = make_logs([("a", i * 60_000, {"user_agent": f"u{i}"}) for i in range(6)])
-    row = suspects.suspect_ips(logs, AS_OF).first()
+    row = fused.suspect_ips(logs, AS_OF).first()
     assert (row.fastest_click_ms, row.avg_click_interval_ms, row.distinct_uas) == (None, None, 6)
 
 
 def test_velocity_only_suspect_shows_no_agents(make_logs):
-    row = suspects.suspect_ips(make_logs([("a", 0), ("a", 60)]), AS_OF).first()
+    row = fused.suspect_ips(make_logs([("a", 0), ("a", 60)]), AS_OF).first()
     assert (row.distinct_uas, row.fastest_click_ms, row.total_clicks, row.events_total) == (None, 60, 1, 2)
 
 
@@ -52,7 +71,7 @@ def test_primary_reason(spark, reasons, primary):
 
 def test_summary_and_top(make_logs):
     logs = make_logs([(ip, i * 60_000, {"user_agent": f"u{i}"}) for ip, n in (("a", 6), ("b", 8), ("c", 8)) for i in range(n)])
-    found = suspects.suspect_ips(logs, AS_OF)
+    found = fused.suspect_ips(logs, AS_OF)
     assert [r.ip_address for r in suspects.top_suspects(found, 2).collect()] == ["b", "c"]
     summary = suspects.filtering_summary(found).first()
     assert (summary.total_suspects, summary.total_suspicious_clicks, summary.affected_countries) == (3, 22, 1)
@@ -108,7 +127,7 @@ def test_confidence(spark, fastest, uas, clicks, expected):
 def test_score_table_columns(make_logs):
     from clicksieve.schemas import FINAL_RISK_SCORES
 
-    scored = scoring.risk_scores(suspects.suspect_ips(make_logs([("a", 0), ("a", 5)]), AS_OF), AS_OF)
+    scored = scoring.risk_scores(fused.suspect_ips(make_logs([("a", 0), ("a", 5)]), AS_OF), AS_OF)
     assert scored.dtypes == [(f.name, f.dataType.simpleString()) for f in FINAL_RISK_SCORES.fields]
     row = scored.first()
     assert row.risk_score == 0.98 * 0.4 + 1.0 * 0.3 + 0.25 * 0.2 + 0.1 * 0.1
