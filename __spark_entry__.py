@@ -46,6 +46,7 @@ except ModuleNotFoundError as missing:
 AS_OF = adapters.AS_OF
 STATE_PARTITIONS = 8  # of the registered streams
 LAYOUT_FILES = 16
+JSON_FILES = 8
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,8 +287,36 @@ def _auc(spark, d):
 def _stream_alerts(spark, d):
     folder = work_folder(spark, "stream-alerts")
     found = detect.suspect_ips(_timed_stream(spark, d))
-    sinks.upsert_alerts(found, f"{folder}/alerts", f"{folder}/checkpoint").awaitTermination()
-    return sinks.alerts_by_window(spark.read.parquet(f"{folder}/alerts"))
+    alerts_folder = f"{folder}/alerts"
+    sinks.finish(
+        lambda: sinks.upsert_alerts(found, alerts_folder, f"{folder}/checkpoint"), found.sparkSession, "stream-alerts"
+    )
+    return spark.read.parquet(alerts_folder).drop(sinks.WINDOW_DAY)
+
+
+def _json_stream_ingest(spark, d):
+    """Logs as JSON, some lines cut off and some without an address, taken in file by file."""
+    folder = work_folder(spark, "json-stream")
+    by_time = F.col("time_to_click_ms") % 50
+    logs = _logs(spark, d)
+    nameless = logs.withColumn("ip_address", F.when(~by_time.eqNullSafe(11), F.col("ip_address")))
+    lines = bid_logs.json_lines(nameless).withColumn("_cut", F.get_json_object("value", "$.time_to_click_ms").cast("bigint") % 50 == 7)
+    cut = F.when(F.col("_cut"), F.substring("value", 1, 40)).otherwise(F.col("value"))
+    lines.select(cut.alias("value")).repartition(JSON_FILES).write.text(f"{folder}/lines")
+    stream = bid_logs.read_lines_stream(spark, f"{folder}/lines", maxFilesPerTrigger="2")
+    sinks.finish(lambda: sinks.ingest_json(stream, f"{folder}/stored", f"{folder}/checkpoint"), spark, "json-stream")
+    typed, rejected = sinks.ingested(spark, f"{folder}/stored")
+
+    def counted(rows, outcome, address, moment):
+        return rows.groupBy(outcome.alias("outcome")).agg(
+            F.count(F.lit(1)).alias("lines"), F.count_distinct(address).alias("addresses"),
+            F.min(moment).alias("first_event"), F.max(moment).alias("last_event"),
+        )
+
+    no_time = F.lit(None).cast("timestamp_ntz")
+    return counted(typed, F.concat(F.lit("typed "), F.col("event_type")), F.col("ip_address"), F.col("timestamp")).unionByName(
+        counted(rejected, F.concat(F.lit("rejected, "), F.col("reason")), F.lit(None).cast("string"), no_time)
+    )
 
 
 def _by_window_end(windowed: DataFrame) -> DataFrame:
@@ -386,6 +415,7 @@ _QUERIES: dict[str, Query] = {
     "roc_auc": _auc,
     "data_quality": lambda s, d: evaluation.data_quality(_logs(s, d)),
     # streams
+    "json_stream_ingest": _json_stream_ingest,
     "stream_dedup": lambda s, d: sinks.drain(
         detect.dedup(_stream(s, d)).select("bid_request_id"), "stream-dedup", s
     ),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clicksieve.functions.columns import AsOf, as_timestamp, hours_before
 from clicksieve.rules import DETECTION, DetectionRules
@@ -35,27 +35,70 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("timestampNTZFormat", JSON_TIME_FORMAT).json(path)
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines with the fixed schema, as (typed rows, rejected rows); nothing is inferred or lost.
+LINE, REASON = "line", "reason"
+UNREADABLE = "unreadable"
+STORED = StructType([StructField(c.name, c.dataType, True) for c in BID_LOGS.fields])
+REJECTED = StructType([StructField(LINE, StringType()), StructField(REASON, StringType())])
+
 
-    A line is rejected as a whole if any of its values cannot be read or a
-    required column is missing. Rejected rows have the typed columns, as far as
-    they could be read, and the line in ``_corrupt_record``, which is null for
-    a readable line without a required value.
+def parsed_json(lines: DataFrame) -> DataFrame:
+    """Lines of text (``value``) with what could be read of them, the line, and why it is rejected (null if it is not).
+
+    Blank lines are no lines. Nothing is inferred. A line is rejected as a
+    whole if any of its values cannot be read or a required column is missing.
     """
     # as a file source, JSON only checks the columns that a query happens to use
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", _lenient(BID_LOGS), options)
-    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(parsed.alias("_row")).select("_row.*")
-    required = [F.col(c.name).isNotNull() for c in BID_LOGS.fields if not c.nullable]
-    good = F.col(CORRUPT).isNull()
-    for present in required:
-        good = good & present
-    return with_defaults(raw.where(good).drop(CORRUPT)), raw.where(~good)
+    raw = lines.where(F.length(F.trim("value")) > 0).select(F.col("value").alias(LINE), parsed.alias("_row")).select(LINE, "_row.*")
+    missing = [F.when(F.col(c.name).isNull(), F.lit(c.name)) for c in BID_LOGS.fields if not c.nullable]
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit(UNREADABLE)).otherwise(
+        F.nullif(F.concat_ws(", ", *missing), F.lit(""))
+    )
+    return raw.withColumn(REASON, reason)
+
+
+def typed_rows(parsed: DataFrame) -> DataFrame:
+    """The rows of ``parsed_json`` that are no rejects, in the layout of the logs."""
+    return with_defaults(parsed.where(F.col(REASON).isNull()).select(*BID_LOGS.fieldNames()))
+
+
+def rejected_rows(parsed: DataFrame) -> DataFrame:
+    """Lines that were rejected, as they came, and why: unreadable, or the required columns that are missing."""
+    return parsed.where(F.col(REASON).isNotNull()).select(LINE, REASON)
+
+
+def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with the fixed schema, as (typed rows, rejected rows); nothing is inferred or lost.
+
+    Rejected rows have the typed columns, as far as they could be read, and the
+    line in ``_corrupt_record``, which is null for a readable line without a
+    required value.
+    """
+    parsed = parsed_json(spark.read.text(path))
+    return typed_rows(parsed), parsed.where(F.col(REASON).isNotNull()).drop(LINE, REASON)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """Logs as JSON lines that ``parsed_json`` gives back unchanged."""
+    return df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": JSON_TIME_FORMAT}).alias("value"))
+
+
+def read_lines_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Lines of new files of a folder as a stream, for ``parsed_json``."""
+    reader = spark.readStream
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.text(path)
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """New files of a folder as a stream. Late defaults apply as in batch."""
+    """New files of a folder as a stream. Late defaults apply as in batch.
+
+    Of JSON, lines that are no rows are left out here; ``ingest_json`` keeps them.
+    """
+    if fmt == "json":
+        return typed_rows(parsed_json(read_lines_stream(spark, path, **options)))
     reader = spark.readStream.schema(BID_LOGS).format(fmt)
     for key, value in options.items():
         reader = reader.option(key, value)

@@ -615,6 +615,12 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_velocity"] = f"""{_STREAM}
       SELECT * EXCLUDE (fraud_flags, median_click_ms, click_interval_stddev, first_seen),
              date_trunc('millisecond', first_seen) AS first_seen, {flags} FROM high_velocity"""
+    sql["json_stream_ingest"] = f"""{_with(LOGS)}, told AS (
+        SELECT *, CASE WHEN time_to_click_ms % 50 = 7 THEN 'rejected, unreadable' WHEN time_to_click_ms % 50 = 11 THEN 'rejected, ip_address'
+                       ELSE 'typed ' || event_type END AS outcome FROM bid_logs)
+      SELECT outcome, count(*) AS lines, count(DISTINCT ip_address) FILTER (outcome LIKE 'typed%') AS addresses,
+             min(ts) FILTER (outcome LIKE 'typed%') AS first_event, max(ts) FILTER (outcome LIKE 'typed%') AS last_event
+      FROM told GROUP BY outcome"""
     sql["stream_alerts"] = f"""{_STREAM}, {suspects(_WINDOWED, 'window_end')}, {SCORES}, {alerts('detected_at')}
       SELECT * FROM alerts"""
     return sql

@@ -73,24 +73,91 @@ def test_events_later_than_the_watermark_are_dropped(stream_of):
         sinks.drain(detect.velocity_metrics(timed), "t-late")
 
 
-def test_alerts_are_written_per_batch_and_rerun_safely(spark, stream_of, tmp_path):
+def test_late_rows_of_early_batches_are_counted(spark, stream_of):
+    """A query's own progress reports are the latest few; the late row is in none of them."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        far = 50 * HOUR
+        timed = detect.with_event_time(
+            stream_of([("a", 0)], [("a", far)], [("a", far + 1)], [("a", 40)], *[[("a", far + 2 + i)] for i in range(4)])
+        )
+        with pytest.raises(sinks.LateRows, match="^1 rows"):
+            sinks.drain(detect.velocity_metrics(timed), "t-late-early")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_alerts_are_merged_by_address_and_window(spark, stream_of, tmp_path):
     burst = [("bot", i * 5) for i in range(200)] + [("rotator", i * 600_000, {"user_agent": f"u{i}"}) for i in range(7)]
-    timed = detect.with_event_time(stream_of(burst, [CLOSER]))
-    target, checkpoint = str(tmp_path / "alerts"), str(tmp_path / "cp")
-    sinks.upsert_alerts(detect.suspect_ips(timed), target, checkpoint).awaitTermination()
-    stored = spark.read.parquet(target)
+    later = [("bot", 30 * HOUR + i * 5) for i in range(200)]
+    timed = detect.with_event_time(stream_of(burst, later, [CLOSER]))
+    target = str(tmp_path / "alerts")
+
+    def run(checkpoint):
+        sinks.finish(lambda: sinks.upsert_alerts(detect.suspect_ips(timed), target, str(tmp_path / checkpoint)), spark, "alerts")
+        return spark.read.parquet(target)
+
+    stored = run("cp")
     before = rows(stored)
     assert {r.ip_address for r in stored.collect()} == {"bot", "rotator"}
-    assert stored.where("ip_address = 'bot'").count() == 24  # one per sliding window
+    # one row per sliding window and address, in storage
+    assert stored.where("ip_address = 'bot'").count() == stored.select("ip_address", "created_at").distinct().where("ip_address = 'bot'").count() == 48
     newest = {r.ip_address: r for r in sinks.current_alerts(stored).collect()}
-    assert set(newest) == {"bot", "rotator"}
-    assert newest["bot"].created_at == START + timedelta(hours=24)
+    assert newest["bot"].created_at == START + timedelta(hours=54)
     assert (newest["bot"].risk_level, newest["bot"].final_action) == ("HIGH", "SEND_TO_MANUAL_REVIEW")
-    # nothing new to read: a restart from the checkpoint adds nothing
-    sinks.upsert_alerts(detect.suspect_ips(timed), target, checkpoint).awaitTermination()
-    assert rows(spark.read.parquet(target)) == before
-    # a new checkpoint reads everything again: nothing is overwritten, and the merge has each alert once
-    merged = rows(sinks.alerts_by_window(stored))
-    sinks.upsert_alerts(detect.suspect_ips(timed), target, str(tmp_path / "cp2")).awaitTermination()
-    both = spark.read.parquet(target)
-    assert both.count() == 2 * len(before) and rows(sinks.alerts_by_window(both)) == merged
+    # nothing new to read; then everything again with a new checkpoint
+    assert rows(run("cp")) == before and rows(run("cp2")) == before
+    # alerts that saw less of the same windows take nothing away
+    seen = spark.read.parquet(target).drop("window_day").withColumn("total_clicks", F.col("total_clicks") - 1)
+    assert len(sinks.merge_alerts(seen, target)) == 3 and rows(spark.read.parquet(target)) == before
+    assert len(list((tmp_path / "alerts").glob("window_day=*/*.parquet"))) <= 4 * len(list((tmp_path / "alerts").glob("window_day=*")))
+
+
+def test_merging_leaves_other_days_alone(spark, stream_of, tmp_path):
+    target = tmp_path / "alerts"
+    day = [("bot", i * 5) for i in range(200)]
+    timed = detect.with_event_time(stream_of(day, [CLOSER]))
+    sinks.finish(lambda: sinks.upsert_alerts(detect.suspect_ips(timed), str(target), str(tmp_path / "cp")), spark, "alerts")
+    stored = spark.read.parquet(str(target)).drop("window_day").cache()
+    kept = {p: p.stat().st_mtime_ns for p in target.glob("window_day=2024-01-30/*.parquet")}
+    one = stored.where("created_at >= '2024-01-31'").limit(1)
+    fuller = one.withColumn("total_clicks", one["total_clicks"] + 1)
+    assert [str(d) for d in sinks.merge_alerts(fuller, str(target))] == ["2024-01-31"]
+    after = spark.read.parquet(str(target))
+    assert kept and {p: p.stat().st_mtime_ns for p in target.glob("window_day=2024-01-30/*.parquet")} == kept
+    assert after.count() == stored.count() and after.agg({"total_clicks": "sum"}).first()[0] == stored.agg({"total_clicks": "sum"}).first()[0] + 1
+    assert sinks.merge_alerts(stored.limit(0), str(target)) == []
+
+
+def test_alerts_are_not_stored_silently_without_late_rows(spark, stream_of, tmp_path):
+    far = 50 * HOUR
+    timed = detect.with_event_time(stream_of([("a", 0)], [("a", far)], [("a", far + 1)], [("a", 40)], [CLOSER]))
+    with pytest.raises(sinks.LateRows):
+        sinks.finish(lambda: sinks.upsert_alerts(detect.suspect_ips(timed), str(tmp_path / "a"), str(tmp_path / "c")), spark, "alerts")
+
+
+def test_json_stream_keeps_every_line(spark, make_logs, tmp_path):
+    source = tmp_path / "lines"
+    source.mkdir()
+    logs = make_logs([("a", 1.5), ("b", 2, {"event_type": None, "user_agent": "é | \\ \""})])
+    good = [r.value for r in bid_logs.json_lines(logs).collect()]
+    odd = ['{"broken', "not json", "[1, 2]", "   ", "", '{"bid_request_id":"x","ip_address":"c"}', "{}",
+           '{"bid_request_id":"h","timestamp":"2024-01-30T00:00:00.000000","ip_address":"c","time_to_click_ms":"oops"}']
+    (source / "1.txt").write_text("\n".join([good[0], *odd[:4]]) + "\n")
+    (source / "2.txt").write_text("\n".join([*odd[4:], good[1]]))
+
+    def run(checkpoint):
+        stream = bid_logs.read_lines_stream(spark, str(source), maxFilesPerTrigger="1")
+        sinks.finish(lambda: sinks.ingest_json(stream, str(tmp_path / "out"), str(tmp_path / checkpoint)), spark, "json")
+        return sinks.ingested(spark, str(tmp_path / "out"))
+
+    typed, rejected = run("cp")
+    assert rows(typed) == rows(bid_logs.with_defaults(logs))
+    assert {(r.line, r.reason) for r in rejected.collect()} == {
+        (odd[0], "unreadable"), (odd[1], "unreadable"), (odd[2], "unreadable"), (odd[5], "timestamp"),
+        ("{}", "bid_request_id, timestamp, ip_address"), (odd[7], "unreadable"),
+    }
+    typed, rejected = run("cp")
+    assert (typed.count(), rejected.count()) == (2, 6)
+    # as a stream of rows, what is no row is left out and none is made up
+    assert rows(sinks.drain(bid_logs.read_stream(spark, str(source), fmt="json"), "t-json")) == rows(typed)
