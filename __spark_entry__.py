@@ -34,7 +34,7 @@ from clicksieve.plans import gold, jobs  # noqa: E402
 from clicksieve.rules import BLOCK, DISMISSED, ESCALATED, EXECUTED, PENDING, STRICT_ACTIONS, StagedFilterRules  # noqa: E402
 from clicksieve.session import configure, work_folder  # noqa: E402
 from clicksieve.sources import adapters, bid_logs, tables  # noqa: E402
-from clicksieve.streaming import detect, sinks  # noqa: E402
+from clicksieve.streaming import detect, keyed, sinks  # noqa: E402
 
 try:
     from clicksieve.llm import queries as text_queries  # noqa: E402
@@ -425,6 +425,9 @@ _QUERIES: dict[str, Query] = {
     "stream_velocity": lambda s, d: _by_window_end(
         sinks.drain(detect.high_velocity_suspects(_timed_stream(s, d)), "stream-velocity", s)
     ),
+    "stream_velocity_keyed": lambda s, d: _by_window_end(
+        sinks.drain(keyed.high_velocity_suspects(_timed_stream(s, d)), "stream-keyed", s)
+    ),
     "stream_alerts": _stream_alerts,
 }
 

@@ -137,9 +137,22 @@ def velocity_metrics(
             ).alias("_minute"),
         )
     )
+    return over_minutes(minutes, F.window_time("window"), rules, slide)
+
+
+MINUTE = ("start", "end", "second", "events", "fastest", "ultra", "very")
+
+
+def over_minutes(minutes: DataFrame, time: Column, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
+    """Sliding windows over one row per minute and address with event time ``time``.
+
+    ``_minute`` has the fields ``MINUTE``: the first, last and second event's
+    millisecond, how many events, the least gap, and how many gaps are below
+    the two bounds of the rules.
+    """
     minute, steps = F.col("_minutes"), F.col("_between")
     return (
-        minutes.groupBy(_trailing(rules, slide), "ip_address")
+        minutes.groupBy(F.window(time, f"{rules.window_hours} hours", slide), "ip_address")
         .agg(
             F.sort_array(F.collect_list("_minute")).alias("_minutes"),
             F.min("country_code").alias("country_code"),

@@ -615,6 +615,7 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_velocity"] = f"""{_STREAM}
       SELECT * EXCLUDE (fraud_flags, median_click_ms, click_interval_stddev, first_seen),
              date_trunc('millisecond', first_seen) AS first_seen, {flags} FROM high_velocity"""
+    sql["stream_velocity_keyed"] = sql["stream_velocity"]
     sql["json_stream_ingest"] = f"""{_with(LOGS)}, told AS (
         SELECT *, CASE WHEN time_to_click_ms % 50 = 7 THEN 'rejected, unreadable' WHEN time_to_click_ms % 50 = 11 THEN 'rejected, ip_address'
                        ELSE 'typed ' || event_type END AS outcome FROM bid_logs)
