@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,18 @@ from pyspark.sql import functions as F
 from ..session import work_folder
 
 ROW = "_row"
+_TABLE: dict = {}
+
+
+def worker_table(name, make: Callable[[], dict]) -> dict:
+    """A table of words that is kept while a Python worker lives, until it is asked for another one.
+
+    Workers outlive a stage, so tables of several operators would add up.
+    """
+    if name not in _TABLE:
+        _TABLE.clear()
+        _TABLE[name] = make()
+    return _TABLE[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, whole
+from .common import staged, table, whole, worker_table
 
 K = 64
 MISSED = 2e-7  # the largest part of the links at exactly ``percent`` that sketches may miss
@@ -49,15 +49,10 @@ class _Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
-
-
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; empty without words."""
     listed = text.encode().lower().split()  # of bytes, both know ASCII only
-    known = _hashes()
+    known = worker_table("shingle words", _Hashes)
     hashed = np.fromiter(map(known.__getitem__, listed), np.uint64, len(listed))
     size = min(words, len(hashed))
     if not size:

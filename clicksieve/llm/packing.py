@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ROW, numbered, staged, table, whole
+from .common import ROW, numbered, staged, table, whole, worker_table
 
 CHUNK_ROWS = 4096
 CHUNK_WINDOWS = 4096
@@ -87,11 +87,6 @@ class _Words(dict):
         return [b"".join(map(self.__getitem__, words) if None in ids else ids) for words, ids in zip(listed, found)]
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
-
-
 def tokenise(documents: DataFrame, tokenizer: str, end_id: int, queue: Column, id_col: str, text_col: str) -> DataFrame:
     """doc_id, queue, n and ids, packed little-endian, with the end id at the end.
 
@@ -100,7 +95,7 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int, queue: Column, i
     schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kind = _words(tokenizer), id_type(tokenizer)
+        words, kind = worker_table(("ids of words", tokenizer), lambda: _Words(tokenizer)), id_type(tokenizer)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

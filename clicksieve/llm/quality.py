@@ -15,14 +15,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import table, whole, worker_table
 
 SLOTS = 1 << 16
 FULL_WORDS = 30  # up to so many distinct words each counts whole
@@ -59,11 +58,6 @@ class _Slots(dict):
         return slots
 
 
-@lru_cache(maxsize=1)
-def _slots() -> _Slots:
-    return _Slots()
-
-
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values: one value for all distinct words, and shares of marks, capitals and repeats.
 
@@ -71,7 +65,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     its length and its shares still show among many words.
     """
     words = text.split()
-    known = _slots()
+    known = worker_table("slots of words", _Slots)
     distinct = set(words)
     present = np.fromiter({s for w in distinct for s in known[w]}, np.int64)
     n = len(words)
