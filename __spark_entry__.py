@@ -225,9 +225,9 @@ def _classify(rules=None):
     )
 
 
-def _classify_in_sql(function: str):
+def _classify_in_sql(function: str, register=udfs.register):
     def run(spark, d):
-        udfs.register(spark)
+        register(spark)
         return _classified(_scores(spark, d), F.expr(f"{function}({_SCORE}, {_CONFIDENCE})"))
 
     return run
@@ -354,6 +354,8 @@ _QUERIES: dict[str, Query] = {
     "decision_udf": _classify_in_sql(udfs.DECISION_FUNCTION),
     "classify_fraud": _classify(STRICT_ACTIONS),
     "classify_fraud_udf": _classify_in_sql(udfs.STRICT_FUNCTION),
+    "decision_sql": _classify_in_sql(f"{udfs.DECISION_FUNCTION}_sql", udfs.register_in_sql),
+    "classify_fraud_sql": _classify_in_sql(f"{udfs.STRICT_FUNCTION}_sql", udfs.register_in_sql),
     "evidence_summary": _evidence,
     "simple_evidence": _short_evidence,
     "actionable_alerts": _alerts,

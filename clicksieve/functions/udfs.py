@@ -46,3 +46,27 @@ def register(spark: SparkSession) -> None:
     """Make both rules callable from SQL in this session."""
     spark.udf.register(DECISION_FUNCTION, action_udf(ACTIONS))
     spark.udf.register(STRICT_FUNCTION, action_udf(STRICT_ACTIONS))
+
+
+def sql_body(rules: ActionRules = ACTIONS) -> str:
+    """The rule as a SQL expression of ``score`` and ``confidence``, generated from the same tiers."""
+    sign = ">=" if rules.inclusive else ">"
+
+    def reaches(value: str, bound: float) -> str:
+        # NaN is greater than every number in Spark; here it reaches no bound
+        return f"({value} {sign} {bound!r}D AND NOT isnan({value}))"
+
+    sure = f"coalesce(confidence, {rules.missing_confidence!r}D)"
+    chain = [f"WHEN score IS NULL THEN '{MISSING_SCORE}'"]
+    for action, min_score, min_confidence in rules.tiers:
+        holds = [reaches("score", min_score)] + ([] if min_confidence is None else [reaches(sure, min_confidence)])
+        chain.append(f"WHEN {' AND '.join(holds)} THEN '{action}'")
+    return f"CASE {' '.join(chain)} ELSE '{rules.otherwise}' END"
+
+
+def register_in_sql(spark: SparkSession) -> None:
+    """Both rules as SQL functions with a body, which the optimizer writes into the query: no Python worker."""
+    for name, rules in ((f"{DECISION_FUNCTION}_sql", ACTIONS), (f"{STRICT_FUNCTION}_sql", STRICT_ACTIONS)):
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(score DOUBLE, confidence DOUBLE) RETURNS STRING RETURN {sql_body(rules)}"
+        )

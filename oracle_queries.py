@@ -432,10 +432,10 @@ def oracle_sql() -> dict[str, str]:
     # alerts
     sql["classify_action"] = f"""{_SCORES}
       SELECT ip_address, risk_score, confidence_level, {ACTION} AS final_action FROM scores"""
-    sql["decision_udf"] = sql["classify_action"]
+    sql["decision_udf"] = sql["decision_sql"] = sql["classify_action"]
     sql["classify_fraud"] = f"""{_SCORES}
       SELECT ip_address, risk_score, confidence_level, {STRICT_ACTION} AS final_action FROM scores"""
-    sql["classify_fraud_udf"] = sql["classify_fraud"]
+    sql["classify_fraud_udf"] = sql["classify_fraud_sql"] = sql["classify_fraud"]
     sql["evidence_summary"] = f"{_SCORES} SELECT ip_address, {EVIDENCE} AS evidence_summary FROM scores"
     sql["simple_evidence"] = f"""{_SCORES}
       SELECT ip_address, concat_ws(' | ', coalesce({RISK_TEXT}, 'Standard risk'), country_code,
