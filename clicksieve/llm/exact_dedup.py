@@ -1,14 +1,17 @@
-"""Exact dedup: a salted aggregation of digests in levels, in DataFrame functions only.
+"""Exact dedup: a tree of merges of sorted digest runs, in DataFrame functions only.
 
 Every text is reduced to a digest. Rows start in ``fan ** rounds`` leaf runs.
 In round r the runs whose numbers agree in all but one base-``fan`` digit
 exchange rows: that digit of the run number is replaced by the same digit of
-the digest, and the rows of the ``fan`` runs that meet are merged by hash
-aggregation, which stands in for a merge of sorted runs, keeping one row with the best identifier and the number of copies per digest. After the last
-round a run is a digest range and every digest is in one place. The verdicts
-then go down the same tree, so a text that fills a third of the table is
-spread over all leaf runs on the way up and on the way down, and no row count
-of a step depends on the size of a group.
+the digest. Each task sorts its rows by (run, digest) and keeps one row per
+digest with the best identifier and the number of copies, so what it sends is a
+sorted run without repeats; where the ``fan`` runs meet they are put in order
+again and neighbours that agree are merged in the same way, and the result is
+written as sorted runs for the next round. After the last round a run is a
+digest range and every digest is in one place. A run is spread over tasks by
+digest. The verdicts then go down the same tree, so a text that fills a third
+of the table is spread over all leaf runs on the way up and on the way down,
+and no row count of a step depends on the size of a group.
 
 Digests are verified: rows only merge when the SHA-256, the length in bytes
 and a second, independent hash of the text all agree.
@@ -47,17 +50,24 @@ def signatures(documents: DataFrame, rounds: int, fan: int, id_col: str, text_co
 
 
 def _merge(runs: DataFrame, best, level: int, rounds: int, fan: int) -> DataFrame:
+    """One row per run and digest, from sorted rows on both sides of the exchange.
+
+    The best identifier is taken of a struct, which Spark aggregates over
+    sorted rows and never in a hash table. A missing identifier is no struct,
+    so any other is better.
+    """
     located = runs.withColumn("_run", _run(level, rounds, fan))
     below = fan ** (rounds - level)
     return (
         located.groupBy("_run", *DIGEST)
         .agg(
-            best("keep_id").alias("keep_id"),
+            best(F.when(F.col("keep_id").isNotNull(), F.struct("keep_id"))).alias("_best"),
             F.sum("group_size").alias("group_size"),
             F.first("_range").alias("_range"),
             F.first(F.col("_leaf") % below).alias("_leaf"),
         )
-        .sortWithinPartitions("_run", "digest")
+        .withColumn("keep_id", F.col("_best.keep_id"))
+        .drop("_best")
     )
 
 
