@@ -9,7 +9,10 @@ cover enough of the template, and each hit's words are compared, not only
 their hashes. A short phrase is a template of a single gram, so each of its
 hits is a place of the phrase.
 
-The template table is fixed text of a few hundred rows, whatever the corpus.
+Grams whose hash no template has are left out while they are still an array, so
+only hits are exploded, each with its own words: the work grows with the length
+of a text and not with its square. The template table is the caller's, of at
+most ``MOST_POSITIONS`` rows, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ NOTICES = {
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
 }
 
+MOST_POSITIONS = 50_000  # rows of the template table; they are broadcast
 NO_GRAM = 0  # template number of the one row that every document has
 
 
@@ -86,6 +90,8 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
     frame = spark.createDataFrame(
         listed, "tid int, tpos int, size int, gram array<string>, label string, is_phrase boolean, n_grams int"
     )
+    if len(listed) > MOST_POSITIONS:
+        raise ValueError(f"{len(listed)} template positions, at most {MOST_POSITIONS} can be broadcast")
     sizes = {row[2] for row in listed}
     hashed = F.coalesce(*(
         F.when(F.col("size") == s, F.xxhash64(F.lit(s), *(F.xxhash64(F.get("gram", F.lit(j))) for j in range(s))))
@@ -97,27 +103,32 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
 def hits(documents: DataFrame, positions: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
     """Verified hits, and for each document one row of template ``NO_GRAM``.
 
-    ``at`` numbers the grams of a document: first all of the first size, then
-    all of the next; ``dpos`` is the word it starts at.
+    ``dpos`` is the word a hit starts at.
     """
     none = positions.sparkSession.createDataFrame(
         [(NO_GRAM, 0, 0, "", None, False, 1, NO_GRAM)], "tid int, tpos int, size int, gram string, label string, is_phrase boolean, n_grams int, h long"
     )
     known = F.broadcast(positions.unionByName(none))
+    hashes = [r.h for r in positions.select("h").distinct().collect()]
     words = numbered(documents.select(F.col(id_col).alias("doc_id"), words_of(whole(text_col)).alias("_words")))
     n = F.size("_words")
     hashed = words.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("n_words", n)
-    grams = F.concat(F.array(F.lit(NO_GRAM).cast("long")), *(_rolling(F.col("_hashes"), n, s) for s in sizes))
-    rolled = hashed.select(ROW, "doc_id", "_words", "n_words", F.posexplode(grams).alias("at", "h"))
-    start, dpos = F.lit(1), F.lit(0)
-    for s in sizes:
-        dpos = F.when((F.col("size") == s), F.col("at") - start).otherwise(dpos)
-        start = start + F.greatest(F.lit(0), F.col("n_words") - s + 1)
-    found = rolled.join(known, "h").withColumn("dpos", dpos.cast("int"))
-    text = F.when(F.col("tid") == NO_GRAM, "").otherwise(
-        F.concat_ws(" ", F.slice("_words", F.col("dpos") + 1, F.col("size")))
-    )
-    return found.where(text == F.col("gram")).select(
+
+    def placed(size: int) -> Column:
+        """Grams of one size that a template has: place, hash and words."""
+        rolled = F.transform(_rolling(F.col("_hashes"), n, size), lambda h, i: F.struct(i.alias("dpos"), h.alias("h")))
+        return F.transform(
+            F.filter(rolled, lambda g: g["h"].isin(hashes)),
+            lambda g: F.struct(
+                g["dpos"].alias("dpos"), F.lit(size).alias("gram_size"), g["h"].alias("h"),
+                F.concat_ws(" ", F.slice("_words", g["dpos"] + 1, size)).alias("words"),
+            ),
+        )
+
+    every = F.struct(F.lit(0).alias("dpos"), F.lit(0).alias("gram_size"), F.lit(NO_GRAM).cast("long").alias("h"), F.lit("").alias("words"))
+    grams = hashed.select(ROW, "doc_id", "n_words", F.inline(F.concat(F.array(every), *(placed(s) for s in sizes))))
+    same = (F.col("size") == F.col("gram_size")) & (F.col("gram") == F.col("words"))
+    return grams.join(known, "h").where(same).select(
         ROW, "doc_id", F.col("n_words").cast("long").alias("n_words"), "tid", "tpos", "dpos", "label", "is_phrase", "n_grams"
     )
 
@@ -155,7 +166,8 @@ def scan(
 
     Null text is empty: no words, no labels, score 0. ``score`` is the largest
     share of a template found; a phrase counts as found whole. Rows repeated
-    under one id, or without one, each get their own row.
+    under one id, or without one, each get their own row. Templates of more
+    than ``MOST_POSITIONS`` grams are refused.
     """
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clicksieve.llm import language_id, lm_score, near_dedup
+from clicksieve.llm import exact_dedup, language_id, license_scan, lm_score, near_dedup
 from tests.conftest import SF_DIR
 from tests.llm.test_dedup import documents, family, shingles
 
@@ -96,3 +98,33 @@ def test_language_stage_goes_by_the_network(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = corpus_pipeline.known_language(spark, unlabelled, BIGGER)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == lettered
+
+
+def test_license_scan_of_a_long_text_takes_linear_time(spark):
+    """A million words with a phrase at every hundredth; a copy of the words per gram would not end."""
+    text = " ".join("mit license" if i % 99 == 0 else f"w{i % 9973}" for i in range(1, 1_000_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (2, None)], "doc_id long, text string")
+    began = time.monotonic()
+    got = sorted(license_scan.scan(docs).collect(), key=lambda r: (r.doc_id, r.n_words))
+    assert time.monotonic() - began < 120
+    n = len(text.split())
+    assert [(r.doc_id, r.n_words, r.n_base) for r in got] == [(1, n, n - 999_999), (2, 0, 0), (2, n, n - 999_999)]
+    assert got[0].first_word == 98 and got[0].labels == "mit"
+
+
+def test_license_templates_of_the_caller_are_checked(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")
+    assert license_scan.scan(docs, {}, {"two three four five six": "own"}).first().labels == "own"
+    with pytest.raises(ValueError, match="positions"):
+        license_scan.scan(docs, {}, {" ".join(map(str, range(license_scan.MOST_POSITIONS + 5))): "long"})
+
+
+def test_exact_dedup_merges_sorted_runs(spark):
+    docs = spark.createDataFrame([(i, f"Text {i % 7}") for i in range(50)] + [(None, "text 1"), (None, "alone")], "doc_id long, text string")
+    runs = exact_dedup.signatures(docs, 2, 8, "doc_id", "text").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1))
+    merged = exact_dedup._merge(runs, F.min, 0, 2, 8)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") == 2 and plan.count("Exchange") == 1
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()}
+    sizes = {i: sum(j % 7 == i for j in range(50)) + (i == 1) for i in range(7)}
+    assert got == {(i, i % 7, sizes[i % 7], i < 7) for i in range(50)} | {(None, 1, sizes[1], False), (None, None, 1, True)}
