@@ -284,6 +284,14 @@ def _auc(spark, d):
     return evaluation.roc_auc(_traffic(spark, d)).withColumn("auc", F.round("auc", 12))
 
 
+def _fractional(spark, d):
+    return _traffic(spark, d).withColumn("clicks_per_minute", F.col("total_clicks") / F.lit(1440.0))
+
+
+def _fractional_auc(spark, d):
+    return evaluation.roc_auc(_fractional(spark, d), "clicks_per_minute").withColumn("auc", F.round("auc", 12))
+
+
 def _stream_alerts(spark, d):
     folder = work_folder(spark, "stream-alerts")
     found = detect.suspect_ips(_timed_stream(spark, d))
@@ -415,6 +423,8 @@ _QUERIES: dict[str, Query] = {
     ),
     "roc_curve": lambda s, d: evaluation.roc_curve(_traffic(s, d)),
     "roc_auc": _auc,
+    "roc_curve_fractional": lambda s, d: evaluation.roc_curve(_fractional(s, d), "clicks_per_minute"),
+    "roc_auc_fractional": _fractional_auc,
     "data_quality": lambda s, d: evaluation.data_quality(_logs(s, d)),
     # streams
     "json_stream_ingest": _json_stream_ingest,

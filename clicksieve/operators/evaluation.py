@@ -18,6 +18,7 @@ from clicksieve.functions.columns import (
     round2,
 )
 from clicksieve.rules import EVALUATION, EvaluationRules
+from clicksieve.session import work_folder
 
 TP, TN, FP, FN = "TRUE_POSITIVE", "TRUE_NEGATIVE", "FALSE_POSITIVE", "FALSE_NEGATIVE"
 
@@ -261,6 +262,34 @@ def review_queue(traffic: DataFrame, clicks: tuple[int, int] | None = None, rule
 # ROC --------------------------------------------------------------------------
 
 _BLOCK_BITS = 16
+RANGE = "_block"
+SCORES_PER_FILE = 1_000_000
+
+
+def label_counts(traffic: DataFrame, score: str, kind: str) -> DataFrame:
+    """Labelled rows per distinct score: score, bots, humans."""
+    bot = F.col("is_actually_bot")
+    return (
+        traffic.where(bot.isNotNull() & F.col(score).isNotNull())
+        .groupBy(F.col(score).cast(kind).alias("score"))
+        .agg(F.count_if(bot).alias("bots"), F.count_if(~bot).alias("humans"))
+    )
+
+
+def ranked(rows: DataFrame, by: str, rows_per_file: int = SCORES_PER_FILE) -> DataFrame:
+    """The rows with the number of a range of neighbouring ``by``; higher numbers hold higher ``by``.
+
+    A sort cuts the rows at sampled quantiles, so ranges hold alike many rows
+    wherever the values lie; it is written once, each range to files of at most
+    ``rows_per_file`` rows, and a file is a range. Neither the cut nor the
+    numbers change when a task is run again.
+    """
+    folder = work_folder(rows.sparkSession, "ranked")
+    rows.orderBy(F.desc(by)).write.option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    name = F.col("_metadata.file_name")
+    place = [F.regexp_extract(name, pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    return stored.withColumn(RANGE, -(place[0] * 1_000_000 + place[1]))
 
 
 def _score_counts(traffic: DataFrame, score: str) -> DataFrame:
@@ -270,28 +299,15 @@ def _score_counts(traffic: DataFrame, score: str) -> DataFrame:
     into blocks instead, and the running sum over block totals sees one row
     per block. Whole numbers are cut every 65,536 values, so the window inside
     a block sees at most that many rows. Other scores keep their fractions and
-    are cut into 65,536 ranges between the least and the largest score.
+    are cut by rank, see ``ranked``; infinite scores stand at the ends and NaN
+    above all, as Spark sorts them.
     """
-    bot = F.col("is_actually_bot")
     whole = isinstance(traffic.schema[score].dataType, (ByteType, ShortType, IntegerType, LongType))
-    per_score = (
-        traffic.where(bot.isNotNull() & F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("bigint" if whole else "double").alias("score"))
-        .agg(F.count_if(bot).alias("bots"), F.count_if(~bot).alias("humans"))
-    )
     if whole:
-        block = F.shiftright("score", _BLOCK_BITS)
+        per_score = label_counts(traffic, score, "bigint")
+        per_score = per_score.withColumn(RANGE, F.shiftright("score", _BLOCK_BITS).cast("bigint"))
     else:
-        endless = F.isnan("score") | (F.abs("score") == float("inf"))
-        low, high = per_score.where(~endless).agg(F.min("score"), F.max("score")).first()
-        even = low is None or low == high  # no ranges to cut
-        block = F.lit(0) if even else F.width_bucket("score", F.lit(low), F.lit(high), F.lit(1 << _BLOCK_BITS))
-        # blocks of their own at both ends; NaN is above all, as Spark sorts it
-        last = (1 << _BLOCK_BITS) + 2
-        block = F.when(F.isnan("score"), last + 1).when(F.col("score") == float("inf"), last).when(
-            F.col("score") == float("-inf"), -1
-        ).otherwise(block)
-    per_score = per_score.withColumn("_block", block.cast("bigint"))
+        per_score = ranked(label_counts(traffic, score, "double"), "score")
     higher_blocks = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         per_score.groupBy("_block")

@@ -597,6 +597,10 @@ def oracle_sql() -> dict[str, str]:
       SELECT max(all_bots) AS bots, max(all_humans) AS humans,
              round(sum(humans * (2 * tp - bots))::DOUBLE / nullif(2.0::DOUBLE * max(all_bots) * max(all_humans), 0), 12) AS auc
       FROM curve"""
+    sql["roc_curve_fractional"] = sql["roc_curve"].replace(
+        "SELECT score_at_least, tp,", "SELECT score_at_least::DOUBLE / 1440.0::DOUBLE AS score_at_least, tp,"
+    )
+    sql["roc_auc_fractional"] = sql["roc_auc"]
     columns = (
         "bid_request_id", "timestamp", "ip_address", "user_agent", "time_to_click_ms", "campaign_id", "publisher_id",
         "advertiser_id", "device_type", "country_code", "region", "event_type", "processed_at",
