@@ -23,6 +23,7 @@ from clicksieve.operators import (  # noqa: E402
     alerts,
     evaluation,
     fused,
+    hourly,
     reporting,
     scoring,
     staged_filters,
@@ -33,7 +34,7 @@ from clicksieve.operators import (  # noqa: E402
 from clicksieve.plans import gold, jobs  # noqa: E402
 from clicksieve.rules import BLOCK, DISMISSED, ESCALATED, EXECUTED, PENDING, STRICT_ACTIONS, StagedFilterRules  # noqa: E402
 from clicksieve.session import configure, work_folder  # noqa: E402
-from clicksieve.sources import adapters, bid_logs, tables  # noqa: E402
+from clicksieve.sources import adapters, bid_logs, bucketed, tables  # noqa: E402
 from clicksieve.streaming import detect, keyed, sinks  # noqa: E402
 
 try:
@@ -75,6 +76,25 @@ def _suspects(spark, d):
     return fused.suspect_ips(_recent(spark, d), AS_OF)
 
 
+def _bucketed_suspects(spark, d):
+    folder = work_folder(spark, "bucketed-logs")
+    name = "bid_logs_" + folder.rsplit("-", 1)[1]
+    stored = bucketed.write_bucketed(_logs(spark, d), name, LAYOUT_FILES, path=folder)
+    return fused.suspect_ips(bid_logs.trailing_window(stored, AS_OF), AS_OF)
+
+
+def _hourly_medians(spark, d):
+    """Medians of the last day from kept hours, held against the gaps themselves."""
+    logs = _logs(spark, d)
+    hours = tables.overwrite(hourly.hourly_gaps(logs), work_folder(spark, "hourly-gaps"))
+    found = tables.overwrite(hourly.window_metrics(hours, AS_OF), work_folder(spark, "hourly-window"))
+    exact = bid_logs.trailing_window(velocity.with_previous_event(logs), AS_OF)
+    return found.join(hourly.median_rank(found, exact), "ip_address").select(
+        "ip_address", "total_clicks", "fastest_click_ms", "ultra_fast_clicks", "avg_click_interval_ms",
+        (F.col("off") <= hourly.RANK_ERROR).alias("median_in_bound"),
+    )
+
+
 def _scores(spark, d):
     return scoring.risk_scores(_suspects(spark, d), AS_OF)
 
@@ -349,6 +369,8 @@ _QUERIES: dict[str, Query] = {
     "velocity_phase_summary": lambda s, d: velocity.velocity_phase_summary(_velocity(s, d)),
     "suspects_merged": _merged,
     "suspect_ips": _suspects,
+    "suspect_ips_bucketed": _bucketed_suspects,
+    "hourly_medians": _hourly_medians,
     "filtering_summary": lambda s, d: suspects.filtering_summary(_suspects(s, d)),
     "top_suspects": lambda s, d: suspects.top_suspects(_suspects(s, d)),
     # scores

@@ -23,7 +23,7 @@ from clicksieve.operators.velocity import (
     SLICE_SECONDS,
     gap_statistics,
     gap_sums,
-    time_slice,
+    slice_of,
     velocity_verdict,
 )
 from clicksieve.operators.volume import COUNTED, volume_verdict
@@ -37,7 +37,7 @@ def _reduced(logs: DataFrame, keys: Sequence[str], slice_seconds: int) -> DataFr
     by_slice = ["_slice", *keys]
     in_slice = Window.partitionBy(*by_slice).orderBy("timestamp")
     counted = list(COUNTED)
-    rows = logs.select(*keys, "timestamp", "country_code", "device_type", *counted, time_slice(slice_seconds).alias("_slice"))
+    rows = logs.select(*keys, "timestamp", "country_code", "device_type", *counted, slice_of(logs, slice_seconds).alias("_slice"))
     rows = rows.withColumns(
         {"_gap": millis(F.col("timestamp")) - millis(F.lag("timestamp").over(in_slice))}
         | {f"_same_{c}": F.col(c).eqNullSafe(F.lag(c).over(in_slice)) for c in counted}

@@ -34,6 +34,16 @@ def time_slice(seconds: int = SLICE_SECONDS) -> Column:
     return F.expr(f"unix_millis(cast(timestamp as timestamp)) div {int(seconds) * 1000}")
 
 
+def stored_slice(seconds: int = SLICE_SECONDS) -> str:
+    """The column in which a bucketed table keeps the slice."""
+    return f"slice_{int(seconds)}s"
+
+
+def slice_of(logs: DataFrame, seconds: int = SLICE_SECONDS) -> Column:
+    """The slice of a row: from the table if it keeps it, so its buckets serve as the exchange."""
+    return F.col(stored_slice(seconds)) if stored_slice(seconds) in logs.columns else time_slice(seconds)
+
+
 def with_previous_event(
     logs: DataFrame,
     keys: Sequence[str] = ADDRESS,
@@ -46,7 +56,7 @@ def with_previous_event(
     event. Only the first row of a slice, with the slice's end, goes through a
     window over the address, so no row is joined and none with a NULL key lost.
     """
-    sliced = logs.withColumn(_SLICE, time_slice(slice_seconds))
+    sliced = logs.withColumn(_SLICE, slice_of(logs, slice_seconds))
     in_slice = Window.partitionBy(_SLICE, *keys).orderBy("timestamp", *tie_break)
     whole_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_address = Window.partitionBy(*keys).orderBy(_SLICE)
@@ -86,7 +96,7 @@ def gap_counts(
     )
     gap_in_slice = millis(F.col("timestamp")) - millis(F.lag("timestamp").over(in_slice))
     reduced = (
-        logs.select(*keys, "timestamp", "country_code", "device_type", time_slice(slice_seconds).alias(_SLICE))
+        logs.select(*keys, "timestamp", "country_code", "device_type", slice_of(logs, slice_seconds).alias(_SLICE))
         .withColumn("gap_ms", gap_in_slice)
         .groupBy(*by_slice, "gap_ms", "country_code", "device_type")
         .agg(

@@ -366,6 +366,13 @@ def oracle_sql() -> dict[str, str]:
       SELECT bid_request_id, ip_address, gap AS time_diff_ms FROM gaps WHERE gap IS NOT NULL"""
 
     # detectors
+    sql["hourly_medians"] = f"""{_with(LOGS)}, gaps AS (
+        SELECT ip_address, ts, date_diff('millisecond', lag(ts) OVER (PARTITION BY ip_address ORDER BY ts, bid_request_id), ts) AS gap
+        FROM bid_logs)
+      SELECT ip_address, count(*) AS total_clicks, min(gap) AS fastest_click_ms,
+             count(*) FILTER (gap < 50) AS ultra_fast_clicks, sum(gap)::DOUBLE / count(*) AS avg_click_interval_ms,
+             TRUE AS median_in_bound
+      FROM gaps WHERE gap IS NOT NULL AND ts >= {AS_OF} - INTERVAL 24 HOUR GROUP BY ip_address"""
     sql["volume_metrics"] = f"{_METRICS} SELECT * FROM volume"
     velocity = "* EXCLUDE (click_interval_stddev), round(click_interval_stddev, 3) AS click_interval_stddev"
     sql["velocity_metrics"] = f"{_METRICS} SELECT {velocity} FROM velocity"
@@ -387,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
              {_LIST.format('all_fraud_flags')}, {_LIST.format('fraud_reasons')},
              {_LIST.format('detection_methods')} FROM merged"""
     sql["suspect_ips"] = f"{_SUSPECTS} SELECT {_SUSPECT_COLUMNS} FROM suspects"
+    sql["suspect_ips_bucketed"] = sql["suspect_ips"]
     sql["filtering_summary"] = f"""{_SUSPECTS}
       SELECT 'FILTERING_COMPLETE' AS status, count(*) AS total_suspects,
              count(DISTINCT primary_fraud_reason) AS fraud_types_detected,
