@@ -23,6 +23,13 @@ from .common import staged, table
 
 EXACT_IN_DOUBLE = 2**53
 STRIP = 256
+SHARD_ROWS = 16_384
+LEAST_SHARDS = 64
+
+
+def shards_for(rows: int) -> int:
+    """Enough shards that each holds some ``SHARD_ROWS`` candidates, and that small tables use several tasks."""
+    return max(LEAST_SHARDS, -(-rows // SHARD_ROWS))
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -111,7 +118,7 @@ def top_k(
     k: int = 5,
     scale: int = 256,
     bins: int = 4096,
-    shards: int = 64,
+    shards: int | None = None,
     query_block: int = 2048,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -122,10 +129,12 @@ def top_k(
     to the smaller id. ``queries`` holds ids (column ``id_col``) of rows of
     ``vectors``. With fewer than k other rows, all are returned; vectors of
     different lengths have no score. ``shards`` is how many candidate groups a
-    block of queries meets; choose it so that a shard holds some thousand rows.
+    block of queries meets; unless given it follows from the number of rows, so
+    a task's share does not grow with the table.
     """
     rows = staged(integer_vectors(vectors, scale, id_col, vector_col), "topk-vectors")
-    largest = rows.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()
+    largest = rows.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.count(F.lit(1))).first()
+    shards = shards or shards_for(largest[2])
     reach = (largest[0] or 0) * (largest[1] or 0) ** 2 + 1
     dtype = np.float64 if reach < EXACT_IN_DOUBLE else np.int64
     asked = rows.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")

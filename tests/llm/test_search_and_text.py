@@ -62,6 +62,16 @@ def test_top_k(spark):
         assert sorted(tuple(r) for r in got.collect()) == best(vectors, asked, 5)
 
 
+def test_top_k_shards_follow_the_rows(spark, monkeypatch):
+    assert [topk_search.shards_for(n) for n in (0, 10**5, 10**9)] == [64, 64, 61_036]
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 20)
+    monkeypatch.setattr(topk_search, "LEAST_SHARDS", 2)
+    vectors = [(i, [float(i % 7), float(i % 5)]) for i in range(150)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = topk_search.top_k(df, df.where(F.col("vec_id") % 50 == 0))
+    assert sorted(tuple(r) for r in got.collect()) == best(vectors, [0, 50, 100], 5)
+
+
 def test_top_k_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert rows(topk_search.top_k(df, df.where("vec_id = 0"))) == [(0, 1, 1, 256 * 512)]
