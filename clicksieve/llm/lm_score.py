@@ -1,18 +1,20 @@
 """Stupid-backoff language model scores, gathered and joined relationally.
 
 All words of all documents are counted, and all pairs of neighbouring words. A
-word is known by a 64-bit hash, a pair by those of both its words. Documents
-lie in blocks of some megabytes. A block sums up its words and pairs and sends
-one row of each to a table partitioned by the hashes, which adds them up over
-all blocks; where other blocks have more of a word or pair, the total goes
-back to the block. A document's own pairs are taken off their counts.
+word and a pair are known by a 64-bit hash, their key. Documents lie in blocks
+of some megabytes. A block sums up its words and pairs and sends their sorted
+keys, as differences, and their counts to a table partitioned by ranges of
+keys, one row per range. There they are added up over all blocks; a block gets
+back which of its entries others have too, a bit each, and the totals of
+these. A range has as many entries on average whatever the input is, and a
+frequent word or pair one from each block. A document's own pairs are taken
+off their counts; its own words stay in c(w1), which is never zero that way.
 
     score(w2 | w1) = c(w1 w2) / c(w1)       if others have the pair
                      0.4 * c(w2) / N        otherwise
 
-Per document, the logarithms are summed. What a block gets back names its
-words and pairs by their number in the block: sorted by hash they have the
-same numbers each time the block is read.
+Per document, the logarithms are summed. What a block gets back goes by the
+order of its keys, which is the same each time the block is read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import staged, table, whole
 
@@ -33,6 +34,9 @@ BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20  # of text, on average; a block is held by a task
 WORD = 0  # stands for the second hash in the rows of single words; no word has it
 OTHERS = 1  # hash of the class of words outside a vocabulary
+RANGE_ENTRIES = 1 << 19  # words and pairs in a range of keys, on average; a range is held by a task
+BYTES_PER_ENTRY = 6  # of text; there are hardly more words and pairs than that
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def _words(text: str) -> list[bytes]:
@@ -90,33 +94,99 @@ def counted(texts: list[str], vocabulary: np.ndarray | None = None) -> Block:
     )
 
 
-_SENT = pa.schema([("block", pa.int32()), ("i", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+def keys_of(found: Block) -> np.ndarray:
+    """A 64-bit key of each word and pair of a block, words first."""
+    a = np.concatenate([found.hashes, found.hashes[found.first]])
+    b = np.concatenate([np.full(len(found.hashes), WORD, np.uint64), found.hashes[found.second]])
+    x = a ^ (b * _MULTIPLIERS[0])
+    for multiplier in _MULTIPLIERS[1:]:
+        x = (x ^ (x >> np.uint64(31))) * multiplier
+    return x ^ (x >> np.uint64(33))
 
 
-def _sums(vocabulary):
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, the ranges that have any, and where these begin; one end more."""
+    order = np.argsort(keys, kind="stable")
+    if not bits:
+        return order, np.zeros(min(1, len(keys)), np.int64), np.array([0, len(keys)][: 1 + min(1, len(keys))])
+    held, begin = np.unique(keys[order] >> np.uint64(64 - bits), return_index=True)
+    return order, held.astype(np.int64), np.append(begin, len(keys))
+
+
+def packed_numbers(values: np.ndarray) -> bytes:
+    """As many low bytes of each as the largest needs, all first bytes first."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked_numbers(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, size)
+    wide = np.zeros((size, 8), np.uint8)
+    wide[:, : len(planes)] = planes.T
+    return wide.view("<u8")[:, 0]
+
+
+_SENT = pa.schema([("block", pa.int32()), ("range", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+_BACK = pa.schema([("block", pa.int32()), ("range", pa.int64()), ("more", pa.binary()), ("totals", pa.binary())])
+
+
+def _sums(vocabulary, bits: int):
     def run(rows: pa.Table) -> pa.Table:
-        """A block to its words and pairs with their counts; words have the first numbers."""
+        """A block to the keys and counts of its words and pairs, a row per range of keys."""
         found = counted(rows["text"].to_pylist(), vocabulary and vocabulary.value)
-        a = np.concatenate([found.hashes, found.hashes[found.first]]).view(np.int64)
-        b = np.concatenate([np.full(len(found.hashes), WORD, np.uint64), found.hashes[found.second]]).view(np.int64)
-        n = np.concatenate([found.word_n, found.pair_n])
-        columns = (np.full(len(n), rows["block"][0].as_py()), np.arange(len(n)), a, b, n)
+        keys, n = keys_of(found), np.concatenate([found.word_n, found.pair_n])
+        order, held, begin = _ranges(keys, bits)
+        keys, n = keys[order], n[order]
+        steps = np.diff(keys, prepend=np.uint64(0))
+        steps[begin[:-1]] = keys[begin[:-1]]
+        if bits:
+            steps[begin[:-1]] &= np.uint64((1 << (64 - bits)) - 1)
+        cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
+        columns = (
+            np.full(len(held), rows["block"][0].as_py()), held, np.diff(begin), [packed_numbers(steps[a:z]) for a, z in cuts],
+            [packed_numbers(n[a:z]) for a, z in cuts],
+        )
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
 
     return run
 
 
+def _added(rows: pa.Table) -> pa.Table:
+    """A range of keys from all blocks: which entries of each block others have too, and their totals."""
+    sizes = rows["size"].to_pylist()
+    keys = np.concatenate([np.cumsum(unpacked_numbers(k, s), dtype=np.uint64) for k, s in zip(rows["keys"].to_pylist(), sizes)])
+    n = np.concatenate([unpacked_numbers(c, s) for c, s in zip(rows["n"].to_pylist(), sizes)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    first = np.append(True, np.diff(keys[order]) != 0)
+    total = np.empty_like(n)
+    total[order] = np.add.reduceat(n[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+    more = total > n
+    ends = np.cumsum(sizes)
+    cuts = [slice(z - s, z) for z, s in zip(ends.tolist(), sizes)]
+    columns = (
+        rows["block"].to_numpy(), rows["range"].to_numpy(), [np.packbits(more[c]).tobytes() for c in cuts],
+        [packed_numbers(total[c][more[c]]) if more[c].any() else b"" for c in cuts],
+    )
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _BACK)], schema=_BACK)
+
+
 _SCORED = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_seen", pa.int64()), ("n_backed_off", pa.int64()), ("part", pa.float64()),
 ])
 
 
-def _scored(vocabulary):
+def _scored(vocabulary, bits: int):
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
         """A block and the totals that exceed its own to scores without N."""
         found = counted(rows["text"].to_pylist(), vocabulary and vocabulary.value)
         n = np.concatenate([found.word_n, found.pair_n])
-        n[totals["i"].to_numpy()] = totals["total"].to_numpy()
+        order, held, begin = _ranges(keys_of(found), bits)
+        places = dict(zip(held.tolist(), zip(begin[:-1].tolist(), begin[1:].tolist())))
+        for key_range, more, packed in zip(*(totals[c].to_pylist() for c in ("range", "more", "totals"))):
+            if packed:
+                a, z = places[key_range]
+                there = order[a:z][np.unpackbits(np.frombuffer(more, np.uint8), count=z - a).astype(bool)]
+                n[there] = unpacked_numbers(packed, len(there))
         one, two = n[: len(found.hashes)], n[len(found.hashes) :]
         others = two[found.pairs] - found.own
         seen = others > 0
@@ -167,17 +237,17 @@ def lm_scores(
     # the block follows from the row alone, however often it is read
     block = F.pmod(F.xxhash64(id_col, text), F.lit(size // block_bytes + 1)).cast("int")
     rows = documents.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    sent = "block int, i int, a long, b long, n long"
+    bits = max(0, (size // (BYTES_PER_ENTRY * RANGE_ENTRIES)).bit_length())
     vocabulary = None
     if vocabulary_size is not None:
         found = _most_frequent(rows.select("text"), vocabulary_size - 1)
         vocabulary = documents.sparkSession.sparkContext.broadcast(found)
-    sums = rows.groupBy("block").applyInArrow(_sums(vocabulary), sent)
-    total = F.sum("n").over(Window.partitionBy("a", "b"))
-    totals = sums.withColumn("total", total).where(F.col("total") > F.col("n")).select("block", "i", "total")
+    blocks = rows.groupBy("block")
+    sums = blocks.applyInArrow(_sums(vocabulary, bits), "block int, range long, size int, keys binary, n binary")
+    totals = sums.groupBy("range").applyInArrow(_added, "block int, range long, more binary, totals binary")
     scored = staged(
-        rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
-            _scored(vocabulary), "doc_id long, n_words long, n_seen long, n_backed_off long, part double"
+        blocks.cogroup(totals.groupBy("block")).applyInArrow(
+            _scored(vocabulary, bits), "doc_id long, n_words long, n_seen long, n_backed_off long, part double"
         ),
         "lm-scored",
     )

@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,25 @@ def test_lm_scores_count_every_word(spark):
             assert (got[i].n_words, got[i].n_seen) == (len(t), seen) and abs(got[i].log_score - score) < 1e-3
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 23, 300])
+def test_lm_scores_by_ranges_of_keys(spark, monkeypatch, block_bytes):
+    """Many ranges and blocks give what one range gives; a word of every text and rows without id are in it."""
+    draw = random.Random(8)
+    texts = ["the " + " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(draw.randrange(60))) for _ in range(120)]
+    docs = documents(spark, [*((i if i % 9 else None, t) for i, t in enumerate(texts)), (500, None), (501, ""), (502, "alone")])
+    want = sorted(map(tuple, lm_score.lm_scores(docs, block_bytes=block_bytes).collect()), key=repr)
+    monkeypatch.setattr(lm_score, "RANGE_ENTRIES", 8)
+    got = lm_score.lm_scores(docs, block_bytes=block_bytes)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) == 123
+
+
+def test_numbers_are_packed_and_unpacked():
+    for values in ([0], [1, 255], [256, 0, 3], [2**64 - 1, 5], [2**47, 2**40 + 1]):
+        packed = lm_score.packed_numbers(np.array(values, np.uint64))
+        assert lm_score.unpacked_numbers(packed, len(values)).tolist() == values
+        assert len(packed) == len(values) * max(1, (max(values).bit_length() + 7) // 8)
+
+
 def test_lm_scores_of_repeated_rows(spark):
     got = lm_score.lm_scores(documents(spark, [(1, "a b"), (2, "a b c"), (1, "a b")]))
     assert [tuple(r)[:3] for r in got.orderBy("doc_id", "n_words").collect()] == [(1, 2, 1), (1, 2, 1), (2, 3, 1)]
