@@ -24,6 +24,7 @@ from clicksieve.operators import (  # noqa: E402
     evaluation,
     fused,
     hourly,
+    load_slices,
     reporting,
     scoring,
     staged_filters,
@@ -48,6 +49,7 @@ AS_OF = adapters.AS_OF
 STATE_PARTITIONS = 8  # of the registered streams
 LAYOUT_FILES = 16
 JSON_FILES = 8
+SMALL_PARTS = 4  # events; the given tables have minutes of an address with more, so that slices are cut
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +78,10 @@ def _suspects(spark, d):
     return fused.suspect_ips(_recent(spark, d), AS_OF)
 
 
+def _recent_by_load(spark, d):
+    return load_slices.with_load_slices(_recent(spark, d), rows_per_part=SMALL_PARTS)
+
+
 def _bucketed_suspects(spark, d):
     folder = work_folder(spark, "bucketed-logs")
     name = "bid_logs_" + folder.rsplit("-", 1)[1]
@@ -370,6 +376,8 @@ _QUERIES: dict[str, Query] = {
     "suspects_merged": _merged,
     "suspect_ips": _suspects,
     "suspect_ips_bucketed": _bucketed_suspects,
+    "velocity_metrics_by_load": lambda s, d: _rounded_spread(velocity.velocity_metrics(_recent_by_load(s, d))),
+    "suspect_ips_by_load": lambda s, d: fused.suspect_ips(_recent_by_load(s, d), AS_OF),
     "hourly_medians": _hourly_medians,
     "filtering_summary": lambda s, d: suspects.filtering_summary(_suspects(s, d)),
     "top_suspects": lambda s, d: suspects.top_suspects(_suspects(s, d)),

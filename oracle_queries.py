@@ -395,6 +395,8 @@ def oracle_sql() -> dict[str, str]:
              {_LIST.format('detection_methods')} FROM merged"""
     sql["suspect_ips"] = f"{_SUSPECTS} SELECT {_SUSPECT_COLUMNS} FROM suspects"
     sql["suspect_ips_bucketed"] = sql["suspect_ips"]
+    sql["suspect_ips_by_load"] = sql["suspect_ips"]
+    sql["velocity_metrics_by_load"] = sql["velocity_metrics"]
     sql["filtering_summary"] = f"""{_SUSPECTS}
       SELECT 'FILTERING_COMPLETE' AS status, count(*) AS total_suspects,
              count(DISTINCT primary_fraud_reason) AS fraud_types_detected,
