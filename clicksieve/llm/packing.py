@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,7 @@ CHUNK_WINDOWS = 4096
 CACHED_WORDS = 1_000_000
 _STOPS = frozenset((b".", b","))
 ENCODED_AT_ONCE = 1024
+TEXTS_AT_ONCE = 2048
 
 
 @lru_cache(maxsize=2)
@@ -66,25 +68,36 @@ class _Words(dict):
         for word, a, b in zip(words, (cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist()):
             self[word] = packed[a:b]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Adds new words. A full stop or comma behind a letter or digit is a token of its own, so the rest is looked up."""
         ended = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[-2:-1].isalnum()}
-        plain = list(((words - ended.keys()) | set(ended.values()) | _STOPS) - self.keys())
+        wanted = {w for w in words if w not in ended} | set(ended.values()) | _STOPS
+        plain = [w for w in wanted if w not in self]
         for at in range(0, len(plain), ENCODED_AT_ONCE):
             self._encoded(plain[at : at + ENCODED_AT_ONCE])
         for word, rest in ended.items():
             self[word] = self[rest] + self[word[-1:]]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        listed = [t.encode().split() for t in texts]
-        found = [list(map(self.get, words)) for words in listed]
-        missing = {w for words, ids in zip(listed, found) if None in ids for w, i in zip(words, ids) if i is None}
+    def of(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Packed ids of each text with ``end`` behind; each different word is looked up once."""
+        listed = pc.ascii_split_whitespace(texts)
+        coded = listed.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
         if len(self) + 2 * len(missing) > CACHED_WORDS:
             self.clear()
-            missing = set().union(*listed)
+            missing = words
         if missing:
-            self.learn(missing)
-        return [b"".join(map(self.__getitem__, words) if None in ids else ids) for words, ids in zip(listed, found)]
+            self.learn([w for w in missing if w])
+            self[b""] = b""  # beside white space at the ends of a text
+            found = list(map(self.__getitem__, words))
+        starts = listed.offsets.to_numpy().astype(np.int64)
+        places = np.insert(coded.indices.to_numpy(), starts[1:], len(found))
+        joined = pa.array([*found, end], pa.binary()).take(pa.array(places))
+        _, offsets, data = joined.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[starts + np.arange(len(starts))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), data])
 
 
 def tokenise(documents: DataFrame, tokenizer: str, end_id: int, queue: Column, id_col: str, text_col: str) -> DataFrame:
@@ -98,11 +111,11 @@ def tokenise(documents: DataFrame, tokenizer: str, end_id: int, queue: Column, i
         words, kind = worker_table(("ids of words", tokenizer), lambda: _Words(tokenizer)), id_type(tokenizer)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [i + end for i in words.of(part.column("text").to_pylist())]
-                n = pa.array([len(i) // len(end) for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), n, pa.array(ids, pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                ids = words.of(part.column("text"), end)
+                n = pc.divide(pc.binary_length(ids).cast(pa.int64()), len(end))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), n, ids], schema=schema)
 
     plain = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(queue.cast("string"), F.lit("")).alias("queue"), whole(text_col).alias("text")
