@@ -128,11 +128,14 @@ def _big(value) -> Column:
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids before the row in its queue."""
+    """Adds ``start``, the ids before the row in its queue, and ``queue_ids``, all ids of the queue."""
     chunked = rows.withColumn("_chunk", F.shiftright(F.col(ROW), 12))
     totals = chunked.groupBy("queue", "_chunk").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy("queue").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("queue", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = totals.select(
+        "queue", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+        F.sum("_n").over(Window.partitionBy("queue")).alias("queue_ids"),
+    )
     inside = Window.partitionBy("queue", "_chunk").orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
     placed = chunked.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return placed.join(bases, ["queue", "_chunk"]).withColumn("start", F.col("_base") + F.col("_inside")).drop(
@@ -140,21 +143,20 @@ def _places(rows: DataFrame) -> DataFrame:
     )
 
 
-def served(rows: DataFrame, weights: DataFrame, total_weight: int, window: int, packet: int) -> DataFrame:
+def served(rows: DataFrame, weight: Column, total_weight: int, window: int, packet: int) -> DataFrame:
     """Packets with ``window``, the round of deficit round-robin in which they leave.
 
     A packet whose last id is number e of its queue leaves in the first round
     j (from 0) with ``(j + 1) * window * weight >= e * total_weight``.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))
-    packets = rows.select(ROW, "queue", "n", F.col("start").alias("_start"), F.explode(starts).alias("begin")).withColumn(
-        "size", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("begin"))
-    )
-    joined = packets.join(weights, "queue")
+    packets = rows.select(
+        ROW, "queue", "n", F.col("start").alias("_start"), weight.alias("_weight"), F.explode(starts).alias("begin")
+    ).withColumn("size", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("begin")))
     last = _big(F.col("_start") + F.col("begin") + F.col("size"))
-    share = _big(window) * _big(F.col("weight"))
+    share = _big(window) * _big(F.col("_weight"))
     return (
-        joined.withColumn("_needed", last * _big(total_weight))
+        packets.withColumn("_needed", last * _big(total_weight))
         .withColumn("_share", share)
         .withColumn("window", F.expr("cast((_needed + _share - 1) div _share as bigint) - 1"))
         .select(ROW, "queue", "begin", "size", "window", (F.col("_start") + F.col("begin")).alias("_place"))
@@ -243,13 +245,12 @@ def pack(
     coded = tokenise(documents, tokenizer, end_id, F.col(queue_col), id_col, text_col)
     rows = staged(numbered(coded), "packing-ids")
     lengths = staged(_places(rows.select(ROW, "queue", "n")), "packing-places")
-    if weights is None:
-        by_queue = lengths.groupBy("queue").agg(F.sum("n").alias("weight"))
-    else:
-        named = F.coalesce(*(F.when(F.col("queue") == q, F.lit(w)) for q, w in weights.items()), F.lit(1)).cast("long")
-        by_queue = lengths.select("queue").distinct().withColumn("weight", named)
+    weight = F.col("queue_ids")
+    if weights is not None:
+        weight = F.coalesce(*(F.when(F.col("queue") == q, F.lit(w)) for q, w in weights.items()), F.lit(1)).cast("long")
+    by_queue = lengths.select("queue", weight.alias("weight")).distinct()
     total = by_queue.agg(F.sum("weight")).first()[0] or 1
-    pieces = cut(laid_out(staged(served(lengths, by_queue, total, window, packet), "packing-packets")), length)
+    pieces = cut(laid_out(staged(served(lengths, weight, total, window, packet), "packing-packets")), length)
     per_row = pieces.groupBy(ROW).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "window")).alias("pieces"))
     joined = rows.select(ROW, "doc_id", "ids").join(per_row, ROW).select("doc_id", "ids", "pieces")
     return joined.mapInArrow(
