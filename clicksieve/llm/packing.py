@@ -32,10 +32,11 @@ from .common import ROW, numbered, staged, table, whole, worker_table
 
 CHUNK_ROWS = 4096
 CHUNK_WINDOWS = 4096
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
+MET_SLOTS = 1 << 22
 _STOPS = frozenset((b".", b","))
 ENCODED_AT_ONCE = 1024
-TEXTS_AT_ONCE = 2048
+TEXTS_AT_ONCE = 512
 
 
 @lru_cache(maxsize=2)
@@ -51,13 +52,18 @@ def id_type(path: str) -> str:
 
 
 class _Words(dict):
-    """Packed ids of words, kept while a Python worker lives; bounded."""
+    """Packed ids of words, kept while a Python worker lives; bounded.
+
+    More than half of all words occur once, so a word is kept when it is met
+    again. What was met is a table of hashes; two words in one slot only mean
+    that a word is kept early.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer, self.kind = _tokenizer(path), id_type(path)
+        self.tokenizer, self.kind, self.met = _tokenizer(path), id_type(path), bytearray(MET_SLOTS)
 
-    def _encoded(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Encodes many words at once: white space ends a word for this tokenizer."""
         texts = [w.decode() for w in words]
         coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
@@ -65,18 +71,29 @@ class _Words(dict):
         ids = np.array(coded.ids, self.kind)
         cuts = np.searchsorted([a for a, _ in coded.offsets], starts)
         packed, size = ids.tobytes(), ids.itemsize
-        for word, a, b in zip(words, (cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist()):
-            self[word] = packed[a:b]
+        return ((w, packed[a:b]) for w, a, b in zip(words, (cuts[:-1] * size).tolist(), (cuts[1:] * size).tolist()))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Adds new words. A full stop or comma behind a letter or digit is a token of its own, so the rest is looked up."""
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept. A full stop or comma behind a letter or digit is a token of its own, so the rest is looked up."""
         ended = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[-2:-1].isalnum()}
         wanted = {w for w in words if w not in ended} | set(ended.values()) | _STOPS
-        plain = [w for w in wanted if w not in self]
+        plain, new = [w for w in wanted if w not in self], {}
         for at in range(0, len(plain), ENCODED_AT_ONCE):
-            self._encoded(plain[at : at + ENCODED_AT_ONCE])
-        for word, rest in ended.items():
-            self[word] = self[rest] + self[word[-1:]]
+            new.update(self._encoded(plain[at : at + ENCODED_AT_ONCE]))
+        known = lambda w: new[w] if w in new else self[w]
+        new.update([(word, known(rest) + known(word[-1:])) for word, rest in ended.items()])
+        self._keep(new)
+        return new
+
+    def _keep(self, new: dict[bytes, bytes]) -> None:
+        slots = [hash(w) & MET_SLOTS - 1 for w in new]
+        again = [w for w, slot in zip(new, slots) if self.met[slot]]
+        if len(self) + len(again) > CACHED_WORDS:
+            self.clear()
+            self.met = bytearray(MET_SLOTS)
+        for slot in slots:
+            self.met[slot] = 1
+        self.update((w, new[w]) for w in again[:CACHED_WORDS])
 
     def of(self, texts: pa.Array, end: bytes) -> pa.Array:
         """Packed ids of each text with ``end`` behind; each different word is looked up once."""
@@ -84,14 +101,10 @@ class _Words(dict):
         coded = listed.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.get, words))
-        missing = [w for w, ids in zip(words, found) if ids is None]
-        if len(self) + 2 * len(missing) > CACHED_WORDS:
-            self.clear()
-            missing = words
-        if missing:
-            self.learn([w for w in missing if w])
-            self[b""] = b""  # beside white space at the ends of a text
-            found = list(map(self.__getitem__, words))
+        missing = [w for w, ids in zip(words, found) if ids is None and w]
+        new = self.learn(missing) if missing else {}
+        new[b""] = b""  # beside white space at the ends of a text
+        found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
         starts = listed.offsets.to_numpy().astype(np.int64)
         places = np.insert(coded.indices.to_numpy(), starts[1:], len(found))
         joined = pa.array([*found, end], pa.binary()).take(pa.array(places))
