@@ -32,7 +32,7 @@ from .common import ROW, numbered, staged, table, whole, worker_table
 
 CHUNK_ROWS = 4096
 CHUNK_WINDOWS = 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 MET_SLOTS = 1 << 22
 _STOPS = frozenset((b".", b","))
 ENCODED_AT_ONCE = 1024
