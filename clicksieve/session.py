@@ -16,6 +16,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows of logs compress to a few bytes in a shuffle and take hundreds when a
+    # task sorts them: small partitions, and enough of them to be put together.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     # After a window the rows are already sorted by address; aggregating them in
     # that order is cheaper than hashing and needs no memory per address.
     "spark.sql.execution.replaceHashWithSortAgg": "true",

@@ -133,6 +133,12 @@ def trailing_window(df: DataFrame, as_of: AsOf, rules: DetectionRules = DETECTIO
 
 
 ROWS_PER_FILE = 20_000_000
+ROWS_PER_TASK = 500_000  # what a writing task sorts
+
+
+def writing_tasks(df: DataFrame, at_least: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """How many tasks write ``df``: as many as asked for, and more where they would have more rows than a task sorts."""
+    return max(at_least, -(-df.count() // rows_per_task))
 
 
 def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> None:
@@ -142,11 +148,12 @@ def write_layout(df: DataFrame, path: str, files: int, rows_per_file: int = ROWS
     files along its time axis. Hash partitioning or bucketing by address would
     put all its rows into one task and one file. Clustered files also make the
     detectors cheaper: the map-side halves of their aggregations see each
-    address in few tasks. ``files`` is how many tasks write, to be chosen for
-    the size of the logs; none writes a file of more than ``rows_per_file``.
+    address in few tasks. ``files`` is how many tasks write at least; larger
+    logs get one per ``ROWS_PER_TASK`` rows, which are counted first. None
+    writes a file of more than ``rows_per_file``.
     """
     dated = df.withColumn(EVENT_DATE, F.col("timestamp").cast("date"))
     order = [EVENT_DATE, "ip_address", "timestamp"]
-    ranged = dated.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    ranged = dated.repartitionByRange(writing_tasks(df.select("timestamp"), files), *order).sortWithinPartitions(*order)
     writer = ranged.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     writer.partitionBy(EVENT_DATE).parquet(path)
