@@ -33,13 +33,24 @@ GAPS = 0  # kind of a gap row; the counted columns follow from 1
 
 
 def _reduced(logs: DataFrame, keys: Sequence[str], slice_seconds: int) -> DataFrame:
-    """Gap and presence rows, one per (slice, address) and what they tell apart."""
+    """Gap and presence rows, one per (slice, address) and what they tell apart.
+
+    What a row does not need stays null, as it costs most of what travels on: a
+    presence row has neither slice nor count nor times, and of the gap rows of
+    a slice only those of its first two events have ``first_ts`` and only that
+    of its last has ``last_ts``. No other event can be the first or last of its
+    address, the first with a gap or the neighbour of another slice.
+    """
     by_slice = ["_slice", *keys]
     in_slice = Window.partitionBy(*by_slice).orderBy("timestamp")
     counted = list(COUNTED)
     rows = logs.select(*keys, "timestamp", "country_code", "device_type", *counted, slice_of(logs, slice_seconds).alias("_slice"))
     rows = rows.withColumns(
-        {"_gap": millis(F.col("timestamp")) - millis(F.lag("timestamp").over(in_slice))}
+        {
+            "_gap": millis(F.col("timestamp")) - millis(F.lag("timestamp").over(in_slice)),
+            "_early": F.when(F.row_number().over(in_slice) <= 2, F.col("timestamp")),
+            "_late": F.when(F.lead(F.lit(True)).over(in_slice).isNull(), F.col("timestamp")),
+        }
         | {f"_same_{c}": F.col(c).eqNullSafe(F.lag(c).over(in_slice)) for c in counted}
     )
     nothing = F.lit(None).cast("string")
@@ -54,10 +65,12 @@ def _reduced(logs: DataFrame, keys: Sequence[str], slice_seconds: int) -> DataFr
         F.when(F.col(c).isNotNull() & ~F.col(f"_same_{c}"), row(i, F.lit(None).cast("bigint"), F.col(c), nothing, nothing))
         for i, c in enumerate(counted, GAPS + 1)
     ]
-    told_apart = rows.select(*by_slice, "timestamp", F.inline(F.array_compact(F.array(gaps, *values))))
-    return told_apart.groupBy(*by_slice, "kind", "gap_ms", "value", "country_code", "device_type").agg(
-        F.count(F.lit(1)).alias("clicks"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")
+    told_apart = rows.select(*by_slice, "_early", "_late", F.inline(F.array_compact(F.array(gaps, *values))))
+    summed = told_apart.groupBy(*by_slice, "kind", "gap_ms", "value", "country_code", "device_type").agg(
+        F.count(F.lit(1)).alias("clicks"), F.min("_early").alias("first_ts"), F.max("_late").alias("last_ts")
     )
+    of_gaps = {name: F.when(F.col("kind") == GAPS, F.col(name)) for name in ("_slice", "clicks", "first_ts", "last_ts")}
+    return summed.withColumns(of_gaps)
 
 
 def detector_metrics(

@@ -41,3 +41,14 @@ def test_raw_rows_are_dealt_out_widely_whatever_the_session_says(many):
     for metrics in (velocity.velocity_metrics(many), fused.detector_metrics(many)):
         dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*, (\d+)\)", plan(metrics))]
         assert dealt and min(dealt) >= 1000
+
+
+def test_rows_carry_only_what_is_needed(make_logs):
+    logs = make_logs([("a", i * i, {"user_agent": f"u{i % 7}"}) for i in range(400)])
+    reduced = fused._reduced(logs, ("ip_address",), 60)
+    presence, gaps = reduced.where(F.col("kind") != fused.GAPS), reduced.where(F.col("kind") == fused.GAPS)
+    assert presence.count() >= 9
+    assert presence.where("_slice is not null or clicks is not null or first_ts is not null or last_ts is not null").count() == 0
+    slices = gaps.select("_slice").distinct().count()
+    assert gaps.count() >= 390 and gaps.agg(F.sum("clicks")).first()[0] == 400
+    assert gaps.where("first_ts is not null").count() <= 2 * slices and gaps.where("last_ts is not null").count() == slices
