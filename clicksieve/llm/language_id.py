@@ -213,30 +213,45 @@ MARGIN = 0.95
 LEAST_PIECES = 100  # a band with fewer right pieces says nothing about the scores to expect
 
 
-def least_scores(documents: DataFrame, net: ByteNet, at_most: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[float]:
+PIECES = (8, 16, 48, 100, 200, 300)  # characters
+
+
+def right_scores(net: ByteNet, texts: list[str], languages: list[str]) -> Iterator[tuple[int, float]]:
+    """Length band and score of each text, and of each piece from its start, that is told right."""
+    pieces = [piece for t in texts for piece in (t, *(t[:n] for n in PIECES))]
+    labels = [l for l in languages for _ in range(len(PIECES) + 1)]
+    for piece, label, name, score in zip(pieces, labels, *predict(net, pieces)):
+        if name == label:
+            yield int(np.searchsorted(BANDS, len(piece.encode()), side="right")), score
+
+
+def least_scores(documents: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[float]:
     """Per length band, and for longer texts, MARGIN of the lowest score with which a held-out labelled text is told right.
 
     Texts that score less are unlike what the network was seen to tell, which
-    is a hint and no proof: it is the lowest of a small sample. Short texts
-    score less than long ones, so pieces of the texts stand for them. At most
-    about ``at_most`` texts of up to 20,000 characters are drawn, as for
-    training; a band with fewer than LEAST_PIECES right pieces has 0.
+    is a hint and no proof. Short texts score less than long ones, so pieces of
+    the texts stand for them. All held-out labelled texts are told, whole and in
+    pieces, where they lie; a task sends a row per band. A band with fewer than
+    LEAST_PIECES right pieces has 0.
     """
-    usable = documents.where(
-        F.col(lang_col).isNotNull() & held_out(F.col(id_col)) & F.length(text_col).between(1, 20_000)
-    )
-    rate = min(1.0, 1.2 * at_most / max(usable.count(), 1))
-    drawn = F.pmod(F.xxhash64(id_col, F.lit(19)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1
-    sample = usable.where(drawn).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * at_most).collect()
-    right = [[] for _ in range(len(BANDS) + 1)]
-    for r in sample:
-        pieces = [r.t, *(r.t[:n] for n in (8, 16, 48, 100, 200, 300))]
-        for piece, name, score in zip(pieces, *predict(net, pieces)):
-            if name == r.l:
-                right[int(np.searchsorted(BANDS, len(piece.encode()), side="right"))].append(score)
+    usable = documents.where(F.col(lang_col).isNotNull() & held_out(F.col(id_col)) & (F.length(text_col) > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, lowest = [0] * (len(BANDS) + 1), [1.0] * (len(BANDS) + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                for band, score in right_scores(net, part.column("t").to_pylist(), part.column("l").to_pylist()):
+                    counts[band] += 1
+                    lowest[band] = min(lowest[band], score)
+        yield pa.RecordBatch.from_pydict({"band": list(range(len(counts))), "n": counts, "least": lowest})
+
+    told = usable.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(run, "band long, n long, least double")
+    found = {r.band: r for r in told.groupBy("band").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect()}
+    bands = range(len(BANDS) + 1)
     # no text needs more than a longer one
-    lowest = np.minimum.accumulate([min(scores, default=1.0) for scores in reversed(right)])[::-1]
-    return [MARGIN * float(low) if len(scores) >= LEAST_PIECES else 0.0 for low, scores in zip(lowest, right)]
+    lowest = np.minimum.accumulate([found[b].least if b in found else 1.0 for b in reversed(bands)])[::-1]
+    return [MARGIN * float(low) if b in found and found[b].n >= LEAST_PIECES else 0.0 for b, low in zip(bands, lowest)]
 
 
 def least_score(text: Column, least: list[float]) -> Column:
