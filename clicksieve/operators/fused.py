@@ -118,20 +118,22 @@ def velocity_metrics(metrics: DataFrame, keys: Sequence[str] = ADDRESS) -> DataF
     return metrics.where(F.col("velocity").isNotNull()).select(*keys, "velocity.*")
 
 
+def detector_rows(rules: DetectionRules = DETECTION) -> dict[str, Column]:
+    """Each detector's row for the metrics ``volume`` and ``velocity``; null where it does not catch the address."""
+    volume, velocity = F.col("volume"), F.col("velocity")
+    by_volume, by_velocity = volume_verdict(volume.getField, rules), velocity_verdict(velocity.getField, rules)
+    return {
+        "volume": F.when(by_volume.caught, combined_row("HIGH_VOLUME", volume.getField, by_volume)),
+        "velocity": F.when(by_velocity.caught, combined_row("HIGH_VELOCITY", velocity.getField, by_velocity)),
+    }
+
+
 def combined_suspects(metrics: DataFrame, keys: Sequence[str] = ADDRESS, rules: DetectionRules = DETECTION) -> DataFrame:
     """What ``combine_detectors`` gives: a row per detector that caught the address.
 
     Both rows come from one, so the address stays where it is.
     """
-    volume, velocity = F.col("volume"), F.col("velocity")
-    by_volume, by_velocity = volume_verdict(volume.getField, rules), velocity_verdict(velocity.getField, rules)
-    caught = F.array_compact(
-        F.array(
-            F.when(by_volume.caught, combined_row("HIGH_VOLUME", volume.getField, by_volume)),
-            F.when(by_velocity.caught, combined_row("HIGH_VELOCITY", velocity.getField, by_velocity)),
-        )
-    )
-    return metrics.select(*keys, F.inline(caught))
+    return metrics.select(*keys, F.inline(F.array_compact(F.array(*detector_rows(rules).values()))))
 
 
 def suspect_ips(

@@ -68,6 +68,26 @@ def merge_suspects(combined: DataFrame, keys: Sequence[str] = ADDRESS) -> DataFr
     )
 
 
+def merged_row(volume: Column, velocity: Column) -> dict[str, Column]:
+    """What ``merge_suspects`` makes of both detectors' rows of an address, here side by side; one may be null."""
+    rows = F.array_compact(F.array(volume, velocity))
+    each = lambda name: F.transform(rows, lambda row: row[name])
+    return {
+        "total_clicks": F.coalesce(volume["total_clicks"], F.lit(0)) + F.coalesce(velocity["total_clicks"], F.lit(0)),
+        "events_total": F.coalesce(volume["total_clicks"], velocity["total_clicks"] + 1),
+        "distinct_uas": volume["distinct_uas"],
+        "fastest_click_ms": velocity["fastest_click_ms"],
+        "avg_click_interval_ms": velocity["avg_click_interval_ms"],
+        "all_fraud_flags": F.sort_array(F.flatten(each("fraud_flags"))),
+        "fraud_reasons": F.sort_array(F.array_distinct(each("fraud_reason"))),
+        "detection_methods": F.sort_array(each("detection_method")),
+        "country_code": F.array_min(each("country_code")),
+        "device_type": F.array_min(each("device_type")),
+        "first_seen": F.array_min(each("first_seen")),
+        "last_seen": F.array_max(each("last_seen")),
+    }
+
+
 def primary_reason(reasons: Column, rules: DetectionRules = DETECTION) -> Column:
     """Strongest reason present; failing those, the first in sorted order."""
     named = [F.when(F.array_contains(reasons, name), F.lit(name)) for name in rules.reason_priority]

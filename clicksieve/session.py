@@ -23,6 +23,8 @@ RUNTIME_SETTINGS = {
     # After a window the rows are already sorted by address; aggregating them in
     # that order is cheaper than hashing and needs no memory per address.
     "spark.sql.execution.replaceHashWithSortAgg": "true",
+    # Keyed state of a stream is kept in RocksDB only, and so not limited by the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicksieve.functions.columns import millis
-from clicksieve.operators.suspects import combine_detectors, finish_suspects, merge_suspects
+from clicksieve.operators.fused import detector_rows
+from clicksieve.operators.suspects import finish_suspects, merged_row
 from clicksieve.operators.velocity import flag_high_velocity
 from clicksieve.operators.volume import flag_high_volume
 from clicksieve.rules import DETECTION, DetectionRules
+from clicksieve.streaming import panes
 
 EVENT_TIME = "event_time"
 WINDOW_KEYS = ("window", "ip_address")
+PANE_TIME = "pane_time"
+COUNTED = {"user_agent": "uas", "campaign_id": "campaigns", "publisher_id": "publishers"}
+_SEEN = {"country_code": "string", "device_type": "string", "last_us": "long"}
+VOLUME_PANE = {"events": "long", **dict.fromkeys(COUNTED.values(), "binary"), "first_us": "long", **_SEEN}
+VELOCITY_PANE = {**dict.fromkeys(("start", "end", "second", "events", "fastest", "ultra", "very"), "long"), **_SEEN}
 
 
 def with_event_time(logs: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -33,9 +40,53 @@ def dedup(logs: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return with_event_time(logs, delay).dropDuplicatesWithinWatermark(["bid_request_id"])
 
 
-def _trailing(rules: DetectionRules, slide: str) -> Column:
-    """The sliding detection window over already windowed rows."""
-    return F.window(F.window_time("window"), f"{rules.window_hours} hours", slide)
+def _micros(moment: Column) -> Column:
+    return F.unix_micros(moment.cast("timestamp"))
+
+
+def _moment(micros: Column) -> Column:
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
+
+
+def _each(rows: Column, field: str) -> Column:
+    return F.transform(rows, lambda row: row[field])
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def volume_panes(timed: DataFrame, slide: str = "1 hour", sketch_bits: int = 14) -> DataFrame:
+    """An hour (``slide``) of an address as a row, given out when it is over."""
+    hourly = timed.groupBy(F.window(EVENT_TIME, slide), "ip_address").agg(
+        F.count(F.lit(1)).alias("events"),
+        *[F.hll_sketch_agg(column, sketch_bits).alias(name) for column, name in COUNTED.items()],
+        _micros(F.min("timestamp")).alias("first_us"),
+        _micros(F.max("timestamp")).alias("last_us"),
+        F.min("country_code").alias("country_code"),
+        F.min("device_type").alias("device_type"),
+    )
+    return hourly.withColumn(PANE_TIME, F.window_time("window")).drop("window")
+
+
+def _volume_of(rows: Column) -> dict[str, Column]:
+    """Volume metrics of a window from its panes."""
+
+    def estimate(name: str) -> Column:
+        sketches = _each(rows, name)
+        union = F.aggregate(F.slice(sketches, F.lit(2), F.size(sketches)), F.get(sketches, F.lit(0)), lambda a, b: F.hll_union(a, b))
+        return F.hll_sketch_estimate(union)
+
+    return {
+        "total_events": _total(_each(rows, "events")),
+        "distinct_uas": estimate("uas"),
+        "distinct_campaigns": estimate("campaigns"),
+        "distinct_publishers": estimate("publishers"),
+        "first_seen": _moment(F.array_min(_each(rows, "first_us"))),
+        "last_seen": _moment(F.array_max(_each(rows, "last_us"))),
+        "country_code": F.array_min(_each(rows, "country_code")),
+        "device_type": F.array_min(_each(rows, "device_type")),
+    }
 
 
 def volume_metrics(
@@ -45,32 +96,12 @@ def volume_metrics(
 
     A stream cannot count distinct values exactly, so agents, campaigns and
     publishers are sketched (about 0.8 % error at 14 bits; small counts are
-    exact). Events are reduced to one row per hour first: the sliding window
-    then multiplies hourly rows and not events by 24.
+    exact). Events are reduced to one row per hour first, and windows are put
+    together from these (``panes``).
     """
-    counted = {"user_agent": "_uas", "campaign_id": "_campaigns", "publisher_id": "_publishers"}
-    hourly = timed.groupBy(F.window(EVENT_TIME, slide), "ip_address").agg(
-        F.count(F.lit(1)).alias("_events"),
-        *[F.hll_sketch_agg(column, sketch_bits).alias(name) for column, name in counted.items()],
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.min("country_code").alias("country_code"),
-        F.min("device_type").alias("device_type"),
-    )
-
-    def estimate(name: str) -> Column:
-        return F.hll_sketch_estimate(F.hll_union_agg(name))
-
-    return hourly.groupBy(_trailing(rules, slide), "ip_address").agg(
-        F.sum("_events").alias("total_events"),
-        estimate("_uas").alias("distinct_uas"),
-        estimate("_campaigns").alias("distinct_campaigns"),
-        estimate("_publishers").alias("distinct_publishers"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-        F.min("country_code").alias("country_code"),
-        F.min("device_type").alias("device_type"),
-    )
+    hourly = volume_panes(timed, slide, sketch_bits)
+    windows = panes.sliding(hourly, PANE_TIME, VOLUME_PANE, "first_us", rules.window_hours, slide)
+    return windows.select(*WINDOW_KEYS, *_named(_volume_of(F.col("panes"))))
 
 
 def _steps(sorted_ticks: Column, start: str, end: str) -> Column:
@@ -88,109 +119,107 @@ def _below(steps: Column, bound: int) -> Column:
     return F.size(F.filter(steps, lambda s: s < bound)).cast("bigint")
 
 
-def velocity_metrics(
-    timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour"
-) -> DataFrame:
-    """Gap statistics per sliding window and address, exact.
+def velocity_panes(timed: DataFrame, rules: DetectionRules = DETECTION) -> DataFrame:
+    """A minute of an address as a row with the fields ``VELOCITY_PANE``, given out when it is over.
 
-    Milliseconds within a minute (at most 60,000 ticks), then minutes within
-    the sliding window (at most 1,440 for a day). Events may arrive in any
-    order until the watermark passes; gaps are taken from the sorted ticks, so
-    they are never negative. As in batch, the first event of a window has no
-    gap and ``first_seen`` is the second one, here to the millisecond.
+    These are the first, last and second event's millisecond, how many events,
+    the least gap, how many gaps are below the two bounds of the rules, and
+    what else a window is told by. Events may arrive in any order until the
+    watermark passes; gaps are taken from the sorted milliseconds (at most
+    60,000), so they are never negative.
     """
     ticks = timed.groupBy(
         F.window(EVENT_TIME, "1 minute"), "ip_address", "country_code", "device_type",
         millis(F.col("timestamp")).alias("at"),
     ).agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("_last"))
 
-    minutes = (
+    return (
         ticks.groupBy(F.window(F.window_time("window"), "1 minute"), "ip_address")
         .agg(
             F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_ticks"),
-            F.max("_last").alias("_last"),
+            _micros(F.max("_last")).alias("last_us"),
             F.min("country_code").alias("country_code"),
             F.min("device_type").alias("device_type"),
         )
         .withColumn("_steps", _steps(F.col("_ticks"), "at", "at"))
-        .withColumn("_events", _total(F.transform("_ticks", lambda t: t["n"])))
+        .withColumn("events", _total(_each(F.col("_ticks"), "n")))
         # events beyond the first of a millisecond follow at a gap of zero
-        .withColumn("_repeats", F.col("_events") - F.size("_ticks"))
+        .withColumn("_repeats", F.col("events") - F.size("_ticks"))
         .select(
-            "window",
+            F.window_time("window").alias(PANE_TIME),
             "ip_address",
-            "country_code",
-            "device_type",
-            "_last",
-            F.struct(
-                F.element_at("_ticks", 1)["at"].alias("start"),
-                F.element_at("_ticks", -1)["at"].alias("end"),
-                F.when(F.element_at("_ticks", 1)["n"] > 1, F.element_at("_ticks", 1)["at"])
-                .otherwise(F.get("_ticks", F.lit(1))["at"])
-                .alias("second"),
-                F.col("_events").alias("events"),
-                F.when(F.col("_repeats") > 0, F.lit(0).cast("bigint"))
-                .otherwise(F.array_min("_steps"))
-                .alias("fastest"),
-                (F.col("_repeats") + _below(F.col("_steps"), rules.ultra_fast_gap_ms)).alias("ultra"),
-                (F.col("_repeats") + _below(F.col("_steps"), rules.very_fast_gap_ms)).alias("very"),
-            ).alias("_minute"),
+            F.element_at("_ticks", 1)["at"].alias("start"),
+            F.element_at("_ticks", -1)["at"].alias("end"),
+            F.when(F.element_at("_ticks", 1)["n"] > 1, F.element_at("_ticks", 1)["at"])
+            .otherwise(F.get("_ticks", F.lit(1))["at"])
+            .alias("second"),
+            "events",
+            F.when(F.col("_repeats") > 0, F.lit(0).cast("bigint")).otherwise(F.array_min("_steps")).alias("fastest"),
+            (F.col("_repeats") + _below(F.col("_steps"), rules.ultra_fast_gap_ms)).alias("ultra"),
+            (F.col("_repeats") + _below(F.col("_steps"), rules.very_fast_gap_ms)).alias("very"),
+            *_SEEN,
         )
     )
-    return over_minutes(minutes, F.window_time("window"), rules, slide)
 
 
-MINUTE = ("start", "end", "second", "events", "fastest", "ultra", "very")
+def velocity_metrics(
+    timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour"
+) -> DataFrame:
+    """Gap statistics per sliding window and address, exact.
 
+    Milliseconds within a minute, then minutes within the sliding window (at
+    most 1,440 for a day). As in batch, the first event of a window has no gap
+    and ``first_seen`` is the second one, here to the millisecond.
+    """
+    return over_panes(velocity_panes(timed, rules), rules, slide)
+
+
+def _velocity_of(rows: Column, rules: DetectionRules) -> dict[str, Column]:
+    """Velocity metrics of a window from its panes in the order of time; ``total_clicks`` may be zero."""
+    between = _steps(rows, "start", "end")
+    clicks = _total(_each(rows, "events")) - 1
+    first, last = F.get(rows, F.lit(0)), F.element_at(rows, -1)
+    return {
+        "total_clicks": clicks,
+        # a pane of one event has no gap; the columns that come through Python have no nulls
+        "fastest_click_ms": F.least(
+            F.array_min(F.transform(rows, lambda p: F.when(p["events"] > 1, p["fastest"]))), F.array_min(between)
+        ),
+        "avg_click_interval_ms": (last["end"] - first["start"]).cast("double") / clicks.cast("double"),
+        "ultra_fast_clicks": _total(_each(rows, "ultra")) + _below(between, rules.ultra_fast_gap_ms),
+        "very_fast_clicks": _total(_each(rows, "very")) + _below(between, rules.very_fast_gap_ms),
+        "country_code": F.array_min(_each(rows, "country_code")),
+        "device_type": F.array_min(_each(rows, "device_type")),
+        "first_seen": F.timestamp_millis(
+            F.when(first["events"] > 1, first["second"]).otherwise(F.get(rows, F.lit(1))["start"])
+        ).cast("timestamp_ntz"),
+        "last_seen": _moment(F.array_max(_each(rows, "last_us"))),
+    }
 
-def over_minutes(minutes: DataFrame, time: Column, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
-    """Sliding windows over one row per minute and address with event time ``time``.
 
-    ``_minute`` has the fields ``MINUTE``: the first, last and second event's
-    millisecond, how many events, the least gap, and how many gaps are below
-    the two bounds of the rules.
-    """
-    minute, steps = F.col("_minutes"), F.col("_between")
-    return (
-        minutes.groupBy(F.window(time, f"{rules.window_hours} hours", slide), "ip_address")
-        .agg(
-            F.sort_array(F.collect_list("_minute")).alias("_minutes"),
-            F.min("country_code").alias("country_code"),
-            F.min("device_type").alias("device_type"),
-            F.max("_last").alias("last_seen"),
-        )
-        .withColumn("_between", _steps(minute, "start", "end"))
-        .withColumn("total_clicks", _total(F.transform(minute, lambda m: m["events"])) - 1)
-        .where(F.col("total_clicks") > 0)
-        .select(
-            "window",
-            "ip_address",
-            "total_clicks",
-            F.least(
-                F.array_min(F.transform(minute, lambda m: m["fastest"])), F.array_min(steps)
-            ).alias("fastest_click_ms"),
-            (
-                (F.element_at(minute, -1)["end"] - F.element_at(minute, 1)["start"]).cast("double")
-                / F.col("total_clicks").cast("double")
-            ).alias("avg_click_interval_ms"),
-            (
-                _total(F.transform(minute, lambda m: m["ultra"])) + _below(steps, rules.ultra_fast_gap_ms)
-            ).alias("ultra_fast_clicks"),
-            (
-                _total(F.transform(minute, lambda m: m["very"])) + _below(steps, rules.very_fast_gap_ms)
-            ).alias("very_fast_clicks"),
-            "country_code",
-            "device_type",
-            F.timestamp_millis(F.coalesce(F.element_at(minute, 1)["second"], F.get(minute, F.lit(1))["start"]))
-            .cast("timestamp_ntz")
-            .alias("first_seen"),
-            "last_seen",
-        )
+def _without_nulls(velocity: DataFrame) -> DataFrame:
+    return velocity.fillna(0, ["second", "fastest"])
+
+
+def over_panes(
+    velocity: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour", keyed: bool = False
+) -> DataFrame:
+    """Sliding windows over rows with the fields ``VELOCITY_PANE``, at most one per address and stretch of time."""
+    windows = panes.sliding(_without_nulls(velocity), PANE_TIME, VELOCITY_PANE, "start", rules.window_hours, slide, keyed)
+    return windows.where(_total(_each(F.col("panes"), "events")) > 1).select(
+        *WINDOW_KEYS, *_named(_velocity_of(F.col("panes"), rules))
     )
 
 
 def high_volume_suspects(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
-    return flag_high_volume(volume_metrics(timed, rules, slide), rules)
+    windows = panes.sliding(volume_panes(timed, slide), PANE_TIME, VOLUME_PANE, "first_us", rules.window_hours, slide)
+    told = windows.where(_enough(F.col("panes"), rules)).select(*WINDOW_KEYS, *_named(_volume_of(F.col("panes"))))
+    return flag_high_volume(told, rules)
+
+
+def _enough(rows: Column, rules: DetectionRules) -> Column:
+    """Whether a window has the events that any entry cut-off asks for; there are no more different values than events."""
+    return _total(_each(rows, "events")) > min(rules.high_volume_events, rules.rotating_uas, rules.many_campaigns)
 
 
 def high_velocity_suspects(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
@@ -198,11 +227,27 @@ def high_velocity_suspects(timed: DataFrame, rules: DetectionRules = DETECTION,
 
 
 def suspect_ips(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
-    """Both detectors merged per window and address, stamped with the window end."""
-    merged = merge_suspects(
-        combine_detectors(
-            high_volume_suspects(timed, rules, slide), high_velocity_suspects(timed, rules, slide), WINDOW_KEYS
-        ),
-        WINDOW_KEYS,
-    )
+    """Both detectors merged per window and address, stamped with the window end.
+
+    The panes of both are kept together, so a window is one row and merging is column expressions.
+    """
+    by_volume, by_velocity = volume_panes(timed, slide), _without_nulls(velocity_panes(timed, rules))
+    pane = {"of_volume": "long", **VOLUME_PANE, **VELOCITY_PANE}
+
+    def laid_out(rows: DataFrame, of_volume: int, own: dict[str, str]) -> DataFrame:
+        # numbers have no nulls on their way through Python
+        other = {"long": F.lit(0).cast("long"), "binary": F.lit(None).cast("binary")}
+        fields = [(F.col(n) if n in own else other[t]).alias(n) for n, t in pane.items() if n != "of_volume"]
+        return rows.select(PANE_TIME, "ip_address", F.lit(of_volume).cast("long").alias("of_volume"), *fields)
+
+    both = laid_out(by_volume, 1, VOLUME_PANE).unionByName(laid_out(by_velocity, 0, VELOCITY_PANE))
+    windows = panes.sliding(both, PANE_TIME, pane, "start", rules.window_hours, slide)
+    of = lambda kind: F.filter(F.col("panes"), lambda p: p["of_volume"] == kind)
+    sides = windows.select(*WINDOW_KEYS, of(1).alias("_by_volume"), of(0).alias("_by_velocity"))
+    volume = F.when(_enough(F.col("_by_volume"), rules), F.struct(*_named(_volume_of(F.col("_by_volume")))))
+    has_gap = _total(_each(F.col("_by_velocity"), "events")) > 1
+    velocity = F.when(has_gap, F.struct(*_named(_velocity_of(F.col("_by_velocity"), rules))))
+    metrics = sides.select(*WINDOW_KEYS, volume.alias("volume"), velocity.alias("velocity"))
+    found = metrics.select(*WINDOW_KEYS, *_named(detector_rows(rules))).where("volume IS NOT NULL OR velocity IS NOT NULL")
+    merged = found.select(*WINDOW_KEYS, *_named(merged_row(F.col("volume"), F.col("velocity"))))
     return finish_suspects(merged, F.col("window.end"), rules)

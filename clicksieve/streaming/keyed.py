@@ -1,21 +1,24 @@
-"""Velocity over a stream with state kept per (address, minute).
+"""Velocity over a stream with state kept per shard of addresses and stretch of minutes.
 
 The built-in chain in ``detect`` groups milliseconds and collects them when the
-watermark closes a minute. Here each minute of an address is a key with a state
+watermark closes a minute. Here ten minutes of a shard are a key with a state
 of its own, a list of milliseconds with numbers of events, which every
-micro-batch adds to, and a timer at the minute's end. When the watermark passes
-it, the minute is reduced to one row, its state is cleared and the row goes to
-the sliding windows. A key holds at most 60,000 entries per micro-batch whatever
-the traffic, and an address that sends a third of all events is a new key every
-minute, so it moves from task to task and none keeps it.
+micro-batch adds to, and a timer at the end. When the watermark passes it, the
+stretch is reduced to one row per address, its state is cleared and the rows go to
+the sliding windows. Python is called once per key and batch and works on whole
+columns, so what an address costs there does not depend on how many keys a
+sparse log has. An address has at most 600,000 entries in a key whatever the
+traffic, and one that sends a third of all events is with a new key every ten
+minutes, so it moves from task to task and none keeps it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,63 +26,73 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from clicksieve.functions.columns import millis
 from clicksieve.operators.velocity import flag_high_velocity
 from clicksieve.rules import DETECTION, DetectionRules
-from clicksieve.streaming.detect import EVENT_TIME, MINUTE, over_minutes
+from clicksieve.streaming.detect import EVENT_TIME, PANE_TIME, VELOCITY_PANE, over_panes
+from clicksieve.streaming.panes import changes, packed, shard_of, unpacked
 
-MINUTE_MS = 60_000
-KEY = ["ip_address", "minute"]
-_MINUTE_ROW = (
-    "ip_address string, minute_time timestamp, country_code string, device_type string, last_us long, start long, end long,"
-    " second long, events long, fastest long, ultra long, very long"
-)
+STRETCH_MS = 600_000
+STRETCH_SHARDS = 8  # fixed by a stream's first run, like its state partitions
+KEY = ["shard", "stretch"]
+_PLACES = ["ip_address", "country_code", "device_type"]
+_EVENTS = pa.schema([(c, pa.string()) for c in _PLACES] + [(c, pa.int64()) for c in ("at", "n", "last_us")])
+_PANE_ROW = f"{PANE_TIME} timestamp, ip_address string, " + ", ".join(f"`{name}` {kind}" for name, kind in VELOCITY_PANE.items())
 
 
-def _smallest(values) -> str | None:
-    return min((v for v in values if isinstance(v, str)), default=None)
+def _counted(events: pa.Table) -> pa.Table:
+    """One row per address, place and millisecond."""
+    keys = [*_PLACES, "at"]
+    counts = events.group_by(keys, use_threads=False).aggregate([("n", "sum"), ("last_us", "max")])
+    return counts.rename_columns([*keys, "n", "last_us"]).select(_EVENTS.names)
 
 
-class _Minutes(StatefulProcessor):
-    """Counts events per millisecond and reports a minute once it is over."""
+class _Stretches(StatefulProcessor):
+    """Counts events per address and millisecond and reports a stretch of time once it is over."""
 
     def __init__(self, ultra_fast_ms: int, very_fast_ms: int):
         self.ultra_fast_ms, self.very_fast_ms = ultra_fast_ms, very_fast_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ticks = handle.getListState("ticks", "at long, n long, country_code string, device_type string, last_us long")
+        self.ticks = handle.getListState("ticks", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # added without reading what is there: two calls to the state per key and batch
-        for part in rows:
-            told = part.groupby("at").agg(
-                {"n": "sum", "country_code": _smallest, "device_type": _smallest, "last_us": "max"}
-            )
-            self.ticks.appendList([(int(r.Index), int(r.n), r.country_code, r.device_type, int(r.last_us)) for r in told.itertuples()])
-        self.handle.registerTimer((int(key[1]) + 1) * MINUTE_MS)
+        parts = [pa.Table.from_pandas(part[_EVENTS.names], _EVENTS, preserve_index=False) for part in rows]
+        self.ticks.appendValue((packed(_counted(pa.concat_tables(parts))),))
+        self.handle.registerTimer((int(key[1]) + 1) * STRETCH_MS)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        counted: Counter[int] = Counter()
-        countries, devices, last = [], [], 0
-        for at, n, country, device, last_us in self.ticks.get():
-            counted[at] += n
-            countries.append(country)
-            devices.append(device)
-            last = max(last, last_us)
+        events = pa.concat_tables([unpacked(rows) for (rows,) in self.ticks.get()])
         self.ticks.clear()
-        country, device = _smallest(countries), _smallest(devices)
-        ticks = sorted(counted.items())
-        at = [t for t, _ in ticks]
-        steps = [b - a for a, b in zip(at, at[1:])]
-        events = sum(n for _, n in ticks)
-        repeats = events - len(ticks)  # events beyond the first of a millisecond follow at a gap of zero
-        second = at[0] if ticks[0][1] > 1 else at[1] if len(at) > 1 else None
-        yield pd.DataFrame({
-            "ip_address": [key[0]], "minute_time": [pd.Timestamp((int(key[1]) + 1) * MINUTE_MS * 1000 - 1, unit="us")],
-            "country_code": [country], "device_type": [device], "last_us": [last],
-            "start": [at[0]], "end": [at[-1]], "second": pd.array([second], "Int64"), "events": [events],
-            "fastest": pd.array([0 if repeats else min(steps, default=None)], "Int64"),
-            "ultra": [repeats + sum(s < self.ultra_fast_ms for s in steps)], "very": [repeats + sum(s < self.very_fast_ms for s in steps)],
+        found = self._panes(events)
+        found[PANE_TIME] = pd.Timestamp((int(key[1]) + 1) * STRETCH_MS * 1000 - 1, unit="us")
+        yield found[[PANE_TIME, "ip_address", *VELOCITY_PANE]]
+
+    def _panes(self, events: pa.Table) -> pd.DataFrame:
+        ticks = events.group_by(["ip_address", "at"], use_threads=False).aggregate([("n", "sum"), ("last_us", "max")])
+        ticks = ticks.sort_by([("ip_address", "ascending"), ("at", "ascending")]).combine_chunks()
+        at, n = ticks.column("at").to_numpy(), ticks.column("n_sum").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], changes(ticks.column("ip_address"))]))
+        ends = np.append(starts[1:], len(at)) - 1
+        steps = np.diff(at, prepend=0)
+        steps[starts] = STRETCH_MS  # no gap before the first; longer than any within
+        each = lambda values: np.add.reduceat(values, starts)
+        counted = each(n)
+        repeats = counted - (ends - starts + 1)  # events beyond the first of a millisecond follow at a gap of zero
+        following = np.minimum(starts + 1, ends)
+        found = pd.DataFrame({
+            "ip_address": ticks.column("ip_address").take(pa.array(starts)).to_pandas(),
+            "start": at[starts], "end": at[ends], "second": np.where(n[starts] > 1, at[starts], at[following]), "events": counted,
+            "fastest": np.where(repeats > 0, 0, np.minimum.reduceat(steps, starts)),
+            "ultra": repeats + each((steps < self.ultra_fast_ms).astype(np.int64)),
+            "very": repeats + each((steps < self.very_fast_ms).astype(np.int64)),
+            "last_us": np.maximum.reduceat(ticks.column("last_us_max").to_numpy(), starts),
         })
+        places = events.group_by("ip_address", use_threads=False).aggregate([("country_code", "min"), ("device_type", "min")])
+        places = places.sort_by("ip_address")  # the same addresses in the same order
+        for column in ("country_code", "device_type"):
+            found[column] = places.column(f"{column}_min").to_pandas()
+        return found
 
     def close(self) -> None:
         pass
@@ -88,20 +101,14 @@ class _Minutes(StatefulProcessor):
 def velocity_metrics(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
     """The rows of ``detect.velocity_metrics``, from keyed state; see there for what they mean."""
     at = millis(F.col("timestamp"))
-    events = timed.select(
-        EVENT_TIME, "ip_address", (F.floor(at / MINUTE_MS)).cast("long").alias("minute"), at.alias("at"), F.lit(1).cast("long").alias("n"),
-        "country_code", "device_type", F.unix_micros(EVENT_TIME).alias("last_us"),
+    events = timed.where(F.col(EVENT_TIME).isNotNull()).select(
+        EVENT_TIME, shard_of(F.col("ip_address"), STRETCH_SHARDS).alias("shard"), F.floor(at / STRETCH_MS).cast("long").alias("stretch"),
+        *_PLACES, at.alias("at"), F.lit(1).cast("long").alias("n"), F.unix_micros(EVENT_TIME).alias("last_us"),
     )
-    minutes = events.groupBy(*KEY).transformWithStateInPandas(
-        _Minutes(rules.ultra_fast_gap_ms, rules.very_fast_gap_ms), _MINUTE_ROW, "append", "EventTime", eventTimeColumnName="minute_time",
-    )
-    return over_minutes(
-        minutes.select(
-            "minute_time", "ip_address", "country_code", "device_type",
-            F.timestamp_micros("last_us").cast("timestamp_ntz").alias("_last"), F.struct(*MINUTE).alias("_minute"),
-        ),
-        F.col("minute_time"), rules, slide,
+    stretches = events.groupBy(*KEY).transformWithStateInPandas(
+        _Stretches(rules.ultra_fast_gap_ms, rules.very_fast_gap_ms), _PANE_ROW, "append", "EventTime", eventTimeColumnName=PANE_TIME,
     )
+    return over_panes(stretches, rules, slide, keyed=True)
 
 
 def high_velocity_suspects(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
