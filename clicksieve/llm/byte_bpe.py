@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-Documents are gathered in blocks of a bounded size, each one
-row: the distinct words that no earlier block of the task had and, per document,
-which words it has in which order. The merges run over these words as Spark higher-order
-functions: a fold whose state is the word's pieces; each step merges the
-lowest-ranked neighbouring pair. The table of words that a task has met is
+Documents are gathered in blocks of a bounded size: rows of the distinct words
+that no earlier block of the task had and, per document, which words it has in
+which order. A word comes as its bytes' pieces. The merges run over these words
+as Spark higher-order functions: a fold whose state is the word's pieces; each
+step merges the lowest-ranked neighbouring pair. The table of words that a task has met is
 bounded and starts anew when it is full. The ranks are
 a literal, a table of pairs of piece ids made from the rank file.
 Decoding looks up each id's bytes and concatenates them.
@@ -34,8 +34,13 @@ from .common import table, whole
 FOLDED_BYTES = 96
 BLOCK_CHARACTERS = 8_000_000
 TABLE_WORDS = 500_000
-SLOTS = 1 << 18
+ROW_WORDS = 1 << 15
 NO_ENTRY = 1 << 54
+NO_RANK = 1 << 20
+# of a piece: its id, its place among the pieces of its word, both
+ID_BITS, ONE_PLACE = (1 << 17) - 1, 1 << 17
+PLACE_BITS = 127 << 17
+LOW_BITS = ID_BITS | PLACE_BITS
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,79 +59,129 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     }
 
 
-def _slots(left, right, both):
-    """The two slots that a pair may be in."""
-    return both(left * 40503 + right * 9973), both(left * 24851 + right * 50021)
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Offset of each id, and ``left << 20 | rank`` of each pair in slot ``offset of left + right``.
 
-
-def pair_table(ranks: dict[bytes, int]) -> list[int]:
-    """``pair << 20 | rank`` of all pairs, each in one of its two slots (cuckoo hashing)."""
-    table = [NO_ENTRY] * SLOTS
+    The rows of all left ids lie over one another in one table, each moved to
+    where its entries meet free slots (first fit, longest rows first).
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
     for (left, right), rank in pair_ranks(ranks).items():
-        entry, slot = (left << 17 | right) << 20 | rank, None
-        for _ in range(1000):
-            pair = entry >> 20
-            first, second = _slots(pair >> 17, pair & 0x1FFFF, lambda x: x & SLOTS - 1)
-            slot = second if slot == first else first
-            entry, table[slot] = table[slot], entry
-            if entry == NO_ENTRY:
+        rows.setdefault(left, []).append((right, rank))
+    width = max(ranks.values(), default=-1) + 1
+    offsets, free, entries = [0] * width, np.ones(0, bool), np.zeros(0, np.int64)
+    for done, (left, row) in enumerate(sorted(rows.items(), key=lambda x: (-len(x[1]), x[0]))):
+        rights, values = np.array(row, np.int64).T
+        if done % 64 == 0:
+            slots = np.flatnonzero(free)
+        for at in range(0, len(slots) + 1, 4096):
+            fits = slots[at : at + 4096] - rights[0]
+            fits = fits[(fits >= 0) & (fits + width <= len(free))]
+            for right in rights:
+                fits = fits[free[fits + right]]
+                if not len(fits):
+                    break
+            if len(fits):
                 break
-        else:
-            raise ValueError(f"{SLOTS} slots are too few for these ranks")
-    return table
+        else:  # behind all others it fits
+            fits = [len(free)]
+            free = np.append(free, np.ones(2 * width, bool))
+            entries = np.append(entries, np.full(2 * width, NO_ENTRY, np.int64))
+            slots = np.flatnonzero(free)
+        offset = offsets[left] = int(fits[0])
+        free[offset + rights] = False
+        entries[offset + rights] = left << 20 | values
+    used = np.flatnonzero(~free)
+    return offsets, entries[: used[-1] + 1 if len(used) else 0].tolist()
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """Struct of literals: ``pairs``, the table of ranks, and ``bytes``, the ids of single bytes."""
+    """Struct of literals: ``offsets`` and ``pairs``, the table of ranks, and ``bytes``, the ids of single bytes."""
     literal = lambda value: F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), "array<bigint>")
+    offsets, pairs = pair_table(ranks)
     return F.struct(
-        literal(pair_table(ranks)).alias("pairs"), literal([ranks.get(bytes([b]), -1) for b in range(256)]).alias("bytes")
+        literal(offsets).alias("offsets"), literal(pairs).alias("pairs"),
+        literal([ranks.get(bytes([b]), ID_BITS) for b in range(256)]).alias("bytes"),
     )
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda's argument is not computed again at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with the value computed once: a lambda's argument is not computed again at each use.
 
+    The value is the start of a fold over nothing. Taking the element of a
+    transformed array instead works out the body's type at each use.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
-def fold_merges(word: Column, known: Column) -> Column:
-    """Ids of one word: binary or string in, array<bigint> out.
 
-    The state holds for each piece ``rank << 17 | id``, the rank being that of
-    the pair it starts, so that a merge looks up two pairs and no others.
-    """
-    none, rest, low_bits = F.lit(1 << 20), F.lit(FOLDED_BYTES), (1 << 17) - 1
+def _piece(known: Column, low: Column, left: Column, right: Column) -> Column:
+    """``low`` with the rank of the pair ``left``, ``right`` above it."""
+    slot = F.get(known["offsets"], left.cast("int")) + right
+    # the entry of another pair keeps a high bit, and behind the last piece is null
+    entry = F.get(known["pairs"], slot.cast("int")).bitwiseXOR(F.shiftleft(left, 20))
+    return F.shiftleft(F.least(entry, F.lit(NO_RANK)), 24).bitwiseOR(low)
 
-    def piece(left: Column, right: Column) -> Column:
-        # the entry of another pair keeps a high bit, and behind the last piece is null
-        pair = F.shiftleft(F.shiftleft(left, 17).bitwiseOR(right), 20)
-        slots = _slots(left, right, lambda x: x.bitwiseAND(SLOTS - 1))
-        entries = (F.get(known["pairs"], slot.cast("int")).bitwiseXOR(pair) for slot in slots)
-        return F.shiftleft(F.least(*entries, none), 17).bitwiseOR(left)
 
-    def step(pieces: Column, _: Column) -> Column:
-        id_at = lambda place: F.get(pieces, place).bitwiseAND(low_bits)
+def merge_pieces(start: Column, known: Column) -> Column:
+    """Ids of one word, whose bytes are given as pieces.
 
+    A piece is ``rank << 24 | first byte << 17 | id``, the rank being that of
+    the pair it starts. So the smallest piece is the leftmost of the lowest
+    rank, its rank is the id that it merges to, and a merge looks up two pairs
+    and no others. Lambdas are interpreted: a step has one over its pieces,
+    which takes less than putting slices together.
+    """
+
+    def step(pieces: Column, _: Column) -> Column:
         def merge(best: Column) -> Column:
-            at, merged = best.bitwiseAND(255).cast("int"), F.shiftright(best, 8)
-            before, after = id_at(at - 1), F.array(piece(merged, id_at(at + 2)))
-            return F.when(at == 0, F.concat(after, F.slice(pieces, F.lit(3), rest))).otherwise(
-                F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(piece(before, merged)), after, F.slice(pieces, at + 3, rest))
+            merged = F.shiftright(best, 24)
+            here = lambda at: _piece(
+                known, best.bitwiseAND(PLACE_BITS).bitwiseOR(merged), merged, F.get(pieces, at + 2).bitwiseAND(ID_BITS)
             )
+            before = lambda x: _piece(known, x.bitwiseAND(LOW_BITS), x.bitwiseAND(ID_BITS), merged)
+            put = lambda at: F.transform(
+                F.array_remove(pieces, F.get(pieces, at + 1)),
+                lambda x, i: F.when(i == at, here(at)).when(i == at - 1, before(x)).otherwise(x),
+            )
+            return _let(F.array_position(pieces, best).cast("int") - 1, put)
+
+        return _let(F.array_min(pieces), lambda best: F.when(best < NO_RANK << 24, merge(best)).otherwise(pieces))
 
-        ranked = F.transform(pieces, lambda x, at: F.shiftleft(F.shiftright(x, 17), 8).bitwiseOR(at.cast("long")))
-        least = F.array_min(ranked)  # the leftmost of the lowest rank
-        return _let(least, lambda best: F.when(best < 1 << 28, merge(best)).otherwise(pieces))
+    merges = F.slice(start, 2, FOLDED_BYTES)  # one less than there are bytes
+    return F.aggregate(merges, start, step, lambda pieces: F.transform(pieces, lambda x: x.bitwiseAND(ID_BITS)))
 
+
+def fold_merges(word: Column, known: Column) -> Column:
+    """Ids of one word: binary or string in, array<bigint> out."""
     # one character per byte, so that the bytes can be split
     one_each = F.decode(word.cast("binary"), "ISO-8859-1")
     ids = F.transform(F.split(one_each, ""), lambda c: F.get(known["bytes"], F.ascii(c)))
-    start = _let(ids, lambda i: F.transform(i, lambda x, at: piece(x, F.get(i, at + 1))))
-    merges = F.sequence(F.lit(1), F.octet_length(word) - 1)
+    low = lambda x, at: F.shiftleft(at.cast("long"), 17).bitwiseOR(x)
+    start = _let(ids, lambda i: F.transform(i, lambda x, at: _piece(known, low(x, at), x, F.get(i, at + 1))))
     empty = F.array().cast("array<bigint>")
-    return F.when(F.octet_length(word) == 0, empty).when(F.octet_length(word) == 1, ids).otherwise(
-        F.aggregate(merges, start, step, lambda pieces: F.transform(pieces, lambda x: x.bitwiseAND(low_bits)))
-    )
+    return F.when(F.octet_length(word) == 0, empty).otherwise(merge_pieces(start, known))
+
+
+def _byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Id of each byte, and rank of each pair of bytes."""
+    ids = np.array([ranks.get(bytes([b]), ID_BITS) for b in range(256)], np.int64)
+    pairs = np.full(1 << 16, NO_RANK, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2 and token[:1] in ranks and token[1:] in ranks:
+            pairs[token[0] << 8 | token[1]] = rank
+    return ids, pairs
+
+
+def _start_pieces(words: list[bytes], ids: np.ndarray, pairs: np.ndarray) -> pa.ListArray:
+    """The pieces that the merges of each word start with, one per byte."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    rank = np.full(len(flat), NO_RANK, np.int64)
+    rank[:-1] = pairs[flat[:-1] << 8 | flat[1:]]
+    rank[ends[lengths > 0] - 1] = NO_RANK
+    place = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(rank << 24 | place << 17 | ids[flat]))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -158,16 +213,33 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 _BLOCK = pa.schema([
     ("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("places", pa.binary()), ("first", pa.int64()),
-    ("words", pa.list_(pa.string())),
+    ("starts", pa.list_(pa.list_(pa.int64()))), ("long_words", pa.list_(pa.string())), ("long_at", pa.list_(pa.int64())),
 ])
+_BLOCK_DDL = (
+    "docs array<long>, ends array<long>, places binary, first long, starts array<array<long>>, long_words array<string>, long_at array<long>"
+)
 
 
-def _gather(pattern: str, block_characters: int, table_words: int):
-    """Batches of (doc_id, text) to one row per block.
+def _gather(pattern: str, ranks: dict[bytes, int], block_characters: int, table_words: int):
+    """Batches of (doc_id, text) to rows of words, and behind them one row per block.
 
-    Words are numbered through a task: a block lists those that no block before
-    it had, the first of them being word ``first``. A full table starts anew at 0.
+    Words are numbered through a task: a row lists those that no row before it
+    had, the first of them being word ``first``, and the last row of a block has
+    its documents. A full table starts anew at 0. Very long words come with no
+    pieces, and apart.
     """
+    byte_ids, byte_pairs = _byte_tables(ranks)
+
+    def row(words: list[str], first: int, docs: list, ends: list, places: bytes) -> pa.RecordBatch:
+        coded = [w.encode() for w in words]
+        long_at = [i for i, w in enumerate(coded) if len(w) > FOLDED_BYTES]
+        for i in long_at:
+            coded[i] = b""
+        starts = _start_pieces(coded, byte_ids, byte_pairs)
+        values = (docs, ends, places, first, None, [words[i] for i in long_at], long_at)
+        cells = [pa.array([x], f.type) for x, f in zip(values, _BLOCK)]
+        cells[4] = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), starts)
+        return pa.RecordBatch.from_arrays(cells, schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -176,9 +248,11 @@ def _gather(pattern: str, block_characters: int, table_words: int):
         numbers: dict[str, int] = {}
         docs, ends, places, new, first, held, total = [], [], [], [], 0, 0, 0
 
-        def block() -> pa.RecordBatch:
-            values = (docs, ends, np.concatenate(places).tobytes(), first, new)
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCK)], schema=_BLOCK)
+        def block() -> Iterator[pa.RecordBatch]:
+            last = max(len(new) - 1, 0) // ROW_WORDS * ROW_WORDS
+            for at in range(0, last, ROW_WORDS):
+                yield row(new[at : at + ROW_WORDS], first + at, [], [], b"")
+            yield row(new[last:], first + last, docs, ends, np.concatenate(places).tobytes())
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -193,12 +267,12 @@ def _gather(pattern: str, block_characters: int, table_words: int):
                 ends.append(total)
                 held += len(text)
                 if held >= block_characters:
-                    yield block()
+                    yield from block()
                     if len(numbers) > table_words:
                         numbers.clear()
                     docs, ends, places, new, first, held, total = [], [], [], [], len(numbers), 0, 0
         if docs:
-            yield block()
+            yield from block()
 
     return run
 
@@ -219,12 +293,14 @@ def _deal(ranks: dict[bytes, int]):
             for row in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[row].values  # noqa: E731, B023
                 ids, words = cell("ids"), cell("long_words").to_pylist()
-                if words:  # these folded to null
+                if words:  # these have no ids yet
                     listed = ids.to_pylist()
                     for at, word in zip(cell("long_at").to_pylist(), words):
                         listed[at] = heap_merges(word.encode(), ranks)
                     ids = pa.array(listed, pa.list_(pa.int64()))
                 table = pa.concat_arrays([table.slice(0, batch.column("first")[row].as_py()), ids.cast(table.type)])
+                if not len(cell("docs")):
+                    continue
                 taken = table.take(pa.array(np.frombuffer(batch.column("places")[row].as_py(), np.int32)))
                 starts = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
                 ends = cell("ends").to_numpy(zero_copy_only=False)
@@ -238,23 +314,12 @@ def _deal(ranks: dict[bytes, int]):
 def _folded(
     documents: DataFrame, ranks: dict[bytes, int], pattern: str, block_characters: int, id_col: str, text_col: str, table_words: int
 ) -> DataFrame:
-    """Blocks with the ids of their new words; null for a very long word, which comes with them."""
+    """Blocks with the ids of their new words; none for a very long word, which comes with them."""
     plain = documents.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    blocks = plain.mapInArrow(
-        _gather(pattern, block_characters, table_words), "docs array<long>, ends array<long>, places binary, first long, words array<string>"
-    )
-    is_long = lambda w: F.octet_length(w) > FOLDED_BYTES
+    blocks = plain.mapInArrow(_gather(pattern, ranks, block_characters, table_words), _BLOCK_DDL)
     # naming the literal in a lambda keeps it in the plan once
-    folded = F.transform(
-        F.array(rank_literal(ranks)),
-        lambda known: F.transform("words", lambda w: F.when(~is_long(w), fold_merges(w, known))),
-    )
-    numbered = F.transform("words", lambda w, i: F.when(is_long(w), i))
-    long_at = F.filter(numbered, lambda i: i.isNotNull())
-    return blocks.select(
-        "docs", "ends", "places", "first", F.get(folded, F.lit(0)).alias("ids"),
-        F.filter("words", is_long).alias("long_words"), long_at.alias("long_at"),
-    )
+    folded = F.transform(F.array(rank_literal(ranks)), lambda known: F.transform("starts", lambda start: merge_pieces(start, known)))
+    return blocks.select("docs", "ends", "places", "first", F.get(folded, F.lit(0)).alias("ids"), "long_words", "long_at")
 
 
 def encode(

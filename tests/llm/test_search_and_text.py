@@ -13,6 +13,7 @@ from datetime import datetime
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,37 @@ def test_every_token_is_itself(spark):
     assert words.where(folded != F.array(F.col("r").cast("long"))).count() == 0
 
 
+def test_pairs_lie_over_one_another():
+    """Each pair is found by one lookup, and in no more than a few slots per pair."""
+    for ranks in (RANKS, {}, {bytes([b]): b for b in range(256)}):
+        offsets, entries = byte_bpe.pair_table(ranks)
+        pairs = byte_bpe.pair_ranks(ranks)
+        assert all(entries[offsets[left] + right] == left << 20 | rank for (left, right), rank in pairs.items())
+        assert len(entries) <= 2 * (len(ranks) + 2 * len(pairs))
+
+
+def test_words_of_a_block_come_in_rows(spark, monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(byte_bpe, "ROW_WORDS", 7)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    texts = [" ".join(f"wörd{i * j}" for j in range(9)) + "x" * (40 * i) for i in range(9)] + ["", "wörd1"]
+    gather = byte_bpe._gather(public_tokenizers.PATTERN, RANKS, 300, 20)
+    rows = [r for b in gather([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]) for r in b.to_pylist()]
+    assert max(len(r["starts"]) for r in rows) == 7 and sum(len(r["docs"]) for r in rows) == len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, block_characters=300, table_words=20).collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id])
+
+
+def test_a_merge_costs_few_expressions(spark):
+    """Lambdas are interpreted: what one step evaluates is what a word costs."""
+    known = byte_bpe.rank_literal({bytes([b]): b for b in range(256)})
+    q = spark.range(1).select(F.transform(F.array(known), lambda k: byte_bpe.merge_pieces(F.array(F.col("id")), k)).alias("ids"))
+    plan = q._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_min") == 1 and plan.count("concat(") == 0 and plan.count("array_remove") == 1
+
+
 def test_long_word_takes_the_same_merges():
     import tiktoken
 
