@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ARROW_BATCH
 from .common import table, whole
 
 FOLDED_BYTES = 96
-BLOCK_CHARACTERS = 8_000_000
+# What Python, the JVM and Arrow hold of a task at once grows with these. Arrays of
+# over half a megabyte are kept apart by the JVM's collector, which costs heap.
+BLOCK_CHARACTERS = 250_000
+ROW_WORDS = 1 << 12
 TABLE_WORDS = 500_000
-ROW_WORDS = 1 << 15
 NO_ENTRY = 1 << 54
 NO_RANK = 1 << 20
 # of a piece: its id, its place among the pieces of its word, both
@@ -280,6 +283,14 @@ def _gather(pattern: str, ranks: dict[bytes, int], block_characters: int, table_
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``held`` with ``values`` from place ``at`` on; it grows to twice the size when it is full."""
+    if at + len(values) > len(held):
+        held = np.concatenate([held[:at], np.empty(max(at, len(values)), held.dtype)])
+    held[at : at + len(values)] = values
+    return held
+
+
 def _deal(ranks: dict[bytes, int]):
     """Blocks with the ids of their new words to one row of ids per document.
 
@@ -288,7 +299,7 @@ def _deal(ranks: dict[bytes, int]):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array([], pa.list_(pa.int32()))
+        known, flat = np.zeros(1, np.int32), np.empty(0, np.int32)  # where the ids of each word of the table start, and its ids
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[row].values  # noqa: E731, B023
@@ -298,9 +309,15 @@ def _deal(ranks: dict[bytes, int]):
                     for at, word in zip(cell("long_at").to_pylist(), words):
                         listed[at] = heap_merges(word.encode(), ranks)
                     ids = pa.array(listed, pa.list_(pa.int64()))
-                table = pa.concat_arrays([table.slice(0, batch.column("first")[row].as_py()), ids.cast(table.type)])
+                first = batch.column("first")[row].as_py()
+                start = int(known[first])
+                stops = start + np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+                known = _put(known, first + 1, stops)
+                flat = _put(flat, start, ids.flatten().to_numpy(zero_copy_only=False))
                 if not len(cell("docs")):
                     continue
+                words = first + len(ids)
+                table = pa.ListArray.from_arrays(pa.array(known[: words + 1]), pa.array(flat[: known[words]]))
                 taken = table.take(pa.array(np.frombuffer(batch.column("places")[row].as_py(), np.int32)))
                 starts = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
                 ends = cell("ends").to_numpy(zero_copy_only=False)
@@ -418,5 +435,7 @@ def encoded_digests(
 def op10(spark, sf_dir):
     import public_tokenizers
 
+    # by default 64 MB of texts are held in the JVM and in Python, several times over
+    spark.conf.set(ARROW_BATCH, "1m")
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)

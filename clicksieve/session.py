@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # Timestamps at rest carry no zone. Casting them for arithmetic is only stable
 # when every session agrees on the zone, so the library pins UTC.
@@ -25,6 +26,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
     # Keyed state of a stream is kept in RocksDB only, and so not limited by the heap.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Spark's own value, for queries after one that has set a smaller one.
+    ARROW_BATCH: "64m",
 }
 
 

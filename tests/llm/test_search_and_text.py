@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from check_oracle import compare, duck
 from clicksieve.llm import byte_bpe, license_scan, lm_score, packing, queries, revisits, topk_search
+from clicksieve.session import ARROW_BATCH, configure
 from tests.conftest import SF_DIR, rows
 
 
@@ -171,6 +172,36 @@ def test_words_of_a_block_come_in_rows(spark, monkeypatch):
         assert r.ids == library.encode_ordinary(texts[r.doc_id])
 
 
+def test_what_a_task_holds_at_once_is_small():
+    """Rows under a megabyte whatever a task reads, and a table of ids that is not copied for each."""
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(400)) for _ in range(900)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = list(byte_bpe._gather(public_tokenizers.PATTERN, RANKS, byte_bpe.BLOCK_CHARACTERS, byte_bpe.TABLE_WORDS)([docs]))
+    assert sum(r.nbytes for r in rows) > 20e6 and max(r.nbytes for r in rows) < 1e6
+    held, at, moves = np.empty(0, np.int32), 0, 0
+    for r in rows:
+        values = np.arange(at, at + len(r.column("starts")[0]), dtype=np.int32)
+        moves += (grown := byte_bpe._put(held, at, values)) is not held
+        held, at = grown, at + len(values)
+    assert held[:at].tolist() == list(range(at)) and moves <= 12 < len(rows)
+    assert byte_bpe._put(held, 3, np.array([7], np.int32))[:5].tolist() == [0, 1, 2, 7, 4]  # a table that starts anew is written over
+
+
+def test_op10_bounds_arrow_batches(spark, tmp_path):
+    """The bound is on bytes, and the next query has Spark's own again."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id", F.repeat(F.lit(" x"), 2000)).alias("text"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        assert byte_bpe.op10(spark, str(tmp_path)).count() == 3000
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        sent = [r.n for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("text").mapInArrow(sizes, "n long").collect()]
+        assert max(sent) < 2e6
+    finally:
+        configure(spark)
+    assert spark.conf.get(ARROW_BATCH) == "64m"
+
+
 def test_a_merge_costs_few_expressions(spark):
     """Lambdas are interpreted: what one step evaluates is what a word costs."""
     known = byte_bpe.rank_literal({bytes([b]): b for b in range(256)})
