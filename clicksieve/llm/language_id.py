@@ -22,7 +22,6 @@ from .common import table
 WIDTHS = (2, 3, 4)
 WINDOW = 256
 UNDECIDED = "und"
-LETTER = r"\p{L}"  # what has_letter finds, for the JVM
 
 
 @dataclass
@@ -148,22 +147,25 @@ def has_letter(text: str) -> bool:
 
 
 def identify(documents: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the id (and to the ``keep`` columns).
+    """Adds lang_pred, score and whether the text has a letter to the id (and to the ``keep`` columns).
 
     ``und`` with score 0 if the text is null or has no letter, or if no
     language was learned. The score is the mean probability of the language.
     """
     kept = documents.select(F.col(id_col).alias("doc_id"), *(keep or []), F.col(text_col).alias("_text"))
-    shape = kept.select("doc_id", *(keep or []), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    shape = kept.select("doc_id", *(keep or []), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("lettered")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                names, scores = predict(net, part.column("_text").to_pylist())
-                columns = [part.column(f.name) for f in shape.fields[:-2]]
+                texts = part.column("_text").to_pylist()
+                names, scores = predict(net, texts)
+                lettered = [t is not None and has_letter(t) for t in texts]
+                columns = [part.column(f.name) for f in shape.fields[:-3]]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=shape.names
+                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())],
+                    names=shape.names,
                 )
 
     return kept.mapInArrow(run, shape)
