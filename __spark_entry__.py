@@ -46,7 +46,8 @@ except ModuleNotFoundError as missing:
     text_queries = None
 
 AS_OF = adapters.AS_OF
-STATE_PARTITIONS = 8  # of the registered streams
+STATE_PARTITIONS = 8  # of the registered streams, at least
+ROWS_PER_STATE_PARTITION = 2_000_000
 LAYOUT_FILES = 16
 JSON_FILES = 8
 SMALL_PARTS = 4  # events; the given tables have minutes of an address with more, so that slices are cut
@@ -178,7 +179,8 @@ def _rates(spark, d):
 
 
 def _stream(spark, d):
-    return adapters.bid_logs_stream(sinks.stream_session(spark, STATE_PARTITIONS), d)
+    partitions = bid_logs.writing_tasks(_logs(spark, d).select("timestamp"), STATE_PARTITIONS, ROWS_PER_STATE_PARTITION)
+    return adapters.bid_logs_stream(sinks.stream_session(spark, partitions), d)
 
 
 def _timed_stream(spark, d):

@@ -100,16 +100,19 @@ class _Stretches(StatefulProcessor):
 
 def velocity_metrics(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
     """The rows of ``detect.velocity_metrics``, from keyed state; see there for what they mean."""
+    return over_panes(_stretches(timed, rules), rules, slide, keyed=True)
+
+
+def _stretches(timed: DataFrame, rules: DetectionRules) -> DataFrame:
     at = millis(F.col("timestamp"))
     events = timed.where(F.col(EVENT_TIME).isNotNull()).select(
         EVENT_TIME, shard_of(F.col("ip_address"), STRETCH_SHARDS).alias("shard"), F.floor(at / STRETCH_MS).cast("long").alias("stretch"),
         *_PLACES, at.alias("at"), F.lit(1).cast("long").alias("n"), F.unix_micros(EVENT_TIME).alias("last_us"),
     )
-    stretches = events.groupBy(*KEY).transformWithStateInPandas(
+    return events.groupBy(*KEY).transformWithStateInPandas(
         _Stretches(rules.ultra_fast_gap_ms, rules.very_fast_gap_ms), _PANE_ROW, "append", "EventTime", eventTimeColumnName=PANE_TIME,
     )
-    return over_panes(stretches, rules, slide, keyed=True)
 
 
 def high_velocity_suspects(timed: DataFrame, rules: DetectionRules = DETECTION, slide: str = "1 hour") -> DataFrame:
-    return flag_high_velocity(velocity_metrics(timed, rules, slide), rules)
+    return flag_high_velocity(over_panes(_stretches(timed, rules), rules, slide, keyed=True, suspects=True), rules)

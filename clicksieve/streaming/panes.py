@@ -13,7 +13,7 @@ The length of a pane list is bounded by the clock, as panes are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SHARDS = 64  # fixed by a stream's first run, like its state partitions
+SHARDS = 1024  # fixed by a stream's first run, like its state partitions; a worker holds the panes of one at a time
+PART = 20_000  # panes that are listed and given out at once
 HOUR_MS = 3_600_000
 BEFORE_ALL = -(1 << 40)
 _ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+# panes in lists, the number of the list of each and how many lists there are, to whether a list is wanted
+Told = Callable[[pa.Table, np.ndarray, int], np.ndarray]
 _PACKED = pa.ipc.IpcWriteOptions(compression="lz4")
 
 
@@ -51,7 +54,12 @@ def changes(column: pa.ChunkedArray) -> np.ndarray:
     return values[1:] != values[:-1]
 
 
-def _lists(panes: pa.Table, done: int, over: int, per_window: int) -> pd.DataFrame:
+def numbered(starts: np.ndarray, rows: int) -> np.ndarray:
+    """The number of each row's list, where lists begin at ``starts``."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows)))
+
+
+def _lists(panes: pa.Table, done: int, over: int, per_window: int, told: Told | None) -> pd.DataFrame:
     """Panes listed per address and block of ``per_window`` windows: those that end after ``done`` and up to ``over``."""
     at = panes.column("at").to_numpy()
     block = (at - 1) // per_window
@@ -69,15 +77,25 @@ def _lists(panes: pa.Table, done: int, over: int, per_window: int) -> pd.DataFra
         values = both.column(name).combine_chunks()
         values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
         listed[f"{name}s"] = pa.ListArray.from_arrays(offsets, values)
-    return pa.table(listed).filter(pa.array(first <= last)).to_pandas()
+    wanted = first <= last if told is None else (first <= last) & told(both, numbered(starts, both.num_rows), len(starts))
+    return pa.table(listed).filter(pa.array(wanted)).to_pandas()
+
+
+def _in_parts(panes: pa.Table, most: int = PART) -> Iterator[pa.Table]:
+    """Panes in parts of whole addresses, about ``most`` in each; more where one address has them."""
+    panes = panes.sort_by("ip_address").combine_chunks()
+    starts = np.flatnonzero(np.concatenate([[True], changes(panes.column("ip_address"))]))
+    cuts = starts[np.flatnonzero(np.diff(starts // most, prepend=-1))]
+    for start, end in zip(cuts, np.append(cuts[1:], panes.num_rows)):
+        yield panes.slice(start, end - start)
 
 
-def _given_out(panes: pa.Table, done: int, over: int, per_window: int) -> tuple[pd.DataFrame | None, pa.Table, int]:
+def _given_out(panes: pa.Table, done: int, over: int, per_window: int, told: Told | None = None) -> tuple[pd.DataFrame | None, pa.Table, int]:
     """Lists of the windows that end after ``done`` and up to ``over``, and the panes that windows to come need."""
     at, lists = panes.column("at").to_numpy(), None
     if over > done:
         if (at <= over).any():
-            lists = _lists(panes.filter(pa.array(at <= over)), done, over, per_window)
+            lists = _lists(panes.filter(pa.array(at <= over)), done, over, per_window, told)
         done = over
     return lists, panes.filter(pa.array(at + per_window - 1 > done)), done
 
@@ -90,8 +108,8 @@ def _due(panes: pa.Table, done: int, slide_ms: int) -> int:
 class _Kept(StatefulProcessor):
     """Panes of a shard, for streams in which they come from an aggregation."""
 
-    def __init__(self, schema: pa.Schema, per_window: int, slide_ms: int):
-        self.schema, self.per_window, self.slide_ms = schema, per_window, slide_ms
+    def __init__(self, schema: pa.Schema, per_window: int, slide_ms: int, told: Told | None):
+        self.schema, self.per_window, self.slide_ms, self.told = schema, per_window, slide_ms, told
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -110,33 +128,41 @@ class _Kept(StatefulProcessor):
         over, done = timerValues.getCurrentWatermarkInMs() // self.slide_ms, max(r[1] for r in rows)
         if over == done:
             return  # another timer of this batch came first
-        lists, kept, done = _given_out(pa.concat_tables([unpacked(r[0]) for r in rows]), done, over, self.per_window)
+        kept = []
+        for part in _in_parts(pa.concat_tables([unpacked(r[0]) for r in rows])):
+            lists, left, _ = _given_out(part, done, over, self.per_window, self.told)
+            kept.append(left)
+            if lists is not None:
+                yield lists
+        kept, done = pa.concat_tables(kept), max(done, over)
         self.panes.clear()
         if kept.num_rows:
             self.panes.put([(packed(kept), done)])
             self.handle.registerTimer(_due(kept, done, self.slide_ms))
-        if lists is not None:
-            yield lists
 
     def close(self) -> None:
         pass
 
 
-def _keep(schema: pa.Schema, per_window: int, slide_ms: int):
+def _keep(schema: pa.Schema, per_window: int, slide_ms: int, told: Told | None):
     """The same for streams in which panes come from keyed state."""
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows, done = state.get if state.exists else (None, BEFORE_ALL)
         tables = [unpacked(rows)] if rows else []
         panes = pa.concat_tables(tables + [_table(part, schema) for part in parts if len(part)])
-        lists, kept, done = _given_out(panes, done, state.getCurrentWatermarkMs() // slide_ms, per_window)
+        over, kept = state.getCurrentWatermarkMs() // slide_ms, []
+        for part in _in_parts(panes):
+            lists, left, _ = _given_out(part, done, over, per_window, told)
+            kept.append(left)
+            if lists is not None:
+                yield lists
+        kept, done = pa.concat_tables(kept), max(done, over)
         if kept.num_rows:
             state.update((packed(kept), done))
             state.setTimeoutTimestamp(max(_due(kept, done, slide_ms), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if lists is not None:
-            yield lists
 
     return run
 
@@ -147,14 +173,15 @@ def _table(part: pd.DataFrame, schema: pa.Schema) -> pa.Table:
 
 def sliding(
     rows: DataFrame, time: str, fields: dict[str, str], order: str, hours: int, slide: str = "1 hour", keyed: bool = False,
-    shards: int = SHARDS,
+    shards: int = SHARDS, told: Told | None = None,
 ) -> DataFrame:
     """window, ip_address and ``panes``, the window's rows in the order of the field ``order``.
 
     ``time`` is the event time of a row, which with its watermark tells the slide that
     it belongs to; ``fields`` are its columns with their types. A window is
     given out once, when the watermark passes its end. ``keyed`` says that ``rows``
-    come from keyed state and from no aggregation.
+    come from keyed state and from no aggregation. ``told`` says which lists have
+    a window that is asked for, or may have one; no windows are cut from the others.
     """
     slide_ms = int(pd.Timedelta(slide).total_seconds() * 1000)
     if hours * HOUR_MS % slide_ms:
@@ -169,10 +196,10 @@ def sliding(
     shape = "ip_address string, first long, last long, " + ", ".join(f"`{n}s` array<{t}>" for n, t in lists.items())
     by_shard = dealt.groupBy("shard")
     if keyed:
-        keep, kept = _keep(schema, per_window, slide_ms), "panes binary, done long"
+        keep, kept = _keep(schema, per_window, slide_ms, told), "panes binary, done long"
         listed = by_shard.applyInPandasWithState(keep, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
     else:
-        listed = by_shard.transformWithStateInPandas(_Kept(schema, per_window, slide_ms), shape, "append", "EventTime")
+        listed = by_shard.transformWithStateInPandas(_Kept(schema, per_window, slide_ms, told), shape, "append", "EventTime")
     panes = F.arrays_zip(*(F.col(f"{n}s").alias(n) for n in lists))
 
     def window(end: Column) -> Column:

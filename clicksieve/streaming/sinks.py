@@ -22,12 +22,15 @@ PARTITIONS = "spark.sql.shuffle.partitions"
 QUERY_ID = "sql.streaming.queryId"
 FOLDERS = ("query_id", "batch_id")
 WINDOW_DAY = "window_day"
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "spark.sql.streaming.stateStore"
+STATE_PROVIDER = f"{STATE_STORE}.providerClass"
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
-    """Use the RocksDB store, so state is not limited by executor heap."""
+    """Use the RocksDB store, so state is not limited by executor heap; its stores share one bound of memory per executor."""
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    spark.conf.set(f"{STATE_STORE}.rocksdb.boundedMemoryUsage", "true")
+    spark.conf.set(f"{STATE_STORE}.rocksdb.maxMemoryUsageMB", "500")
 
 
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
