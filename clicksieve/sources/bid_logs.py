@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -79,9 +79,9 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return typed_rows(parsed), parsed.where(F.col(REASON).isNotNull()).drop(LINE, REASON)
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """Logs as JSON lines that ``parsed_json`` gives back unchanged."""
-    return df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": JSON_TIME_FORMAT}).alias("value"))
+def json_lines(df: DataFrame, *others: Column) -> DataFrame:
+    """Logs as JSON lines that ``parsed_json`` gives back unchanged, and ``others`` beside them."""
+    return df.select(F.to_json(F.struct(*df.columns), {"timestampNTZFormat": JSON_TIME_FORMAT}).alias("value"), *others)
 
 
 def read_lines_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:

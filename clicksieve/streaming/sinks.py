@@ -187,7 +187,9 @@ def ingest_json(lines: DataFrame, path: str, checkpoint: str, available_now: boo
         query_id = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
         if not query_id:
             raise RuntimeError("lines are only taken in from within a running stream")
-        read = bid_logs.parsed_json(batch).persist()
+        # of a line that is taken, the typed columns are all that is kept
+        rejected = F.when(F.col(bid_logs.REASON).isNotNull(), F.col(bid_logs.LINE)).alias(bid_logs.LINE)
+        read = bid_logs.parsed_json(batch).select(rejected, bid_logs.REASON, *bid_logs.STORED.fieldNames()).persist()
         try:
             for name, rows in (("logs", bid_logs.typed_rows(read)), ("rejected", bid_logs.rejected_rows(read))):
                 rows.write.mode("overwrite").parquet(f"{path}/{name}/query_id={query_id}/batch_id={batch_id}")

@@ -7,9 +7,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+import __spark_entry__ as entry
 from clicksieve.rules import DETECTION
 from clicksieve.sources import bid_logs
 from clicksieve.streaming import detect, panes, sinks
+from tests.conftest import SF_DIR
 
 
 def test_a_minute_of_an_address_is_one_row_of_state(spark, make_logs, tmp_path):
@@ -69,3 +71,13 @@ def test_lists_without_a_suspect_are_told():
     order = np.argsort(of, kind="stable")
     told = detect._suspect_in(both.take(pa.array(order)), of[order], len(lists), DETECTION)
     assert told.tolist() == [False, True, True, True]
+
+
+def test_json_lines_are_stored_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(entry, "work_folder", lambda session, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(entry, "ROWS_PER_JSON_FILE", 200)
+    read = sum(r.lines for r in entry._json_stream_ingest(entry.configure(spark), SF_DIR).collect())
+    logs = entry._logs(spark, SF_DIR)
+    files = list((tmp_path / "json-stream" / "lines").glob("part-*"))
+    assert read == logs.count() and len(files) == -(-read // 200) > entry.JSON_FILES and {f.suffix for f in files} == {".gz"}
+    assert sum(f.stat().st_size for f in files) < read * 100
